@@ -264,6 +264,19 @@ def _frequency_records(df: DataFrame, names: list[str]) -> dict[str, _Found]:
     }
 
 
+def count_outside(
+    df: DataFrame, exprs: dict[str, Column], fences: dict[str, tuple[float, float] | None]
+) -> dict[str, int]:
+    """Values strictly outside their fences, one pass for all columns."""
+    wanted = {n: {"out": _outside(x, *fences[n])} for n, x in exprs.items() if has_spread(fences[n])}
+    rows = _aggregate(df, wanted)[0] if wanted else {}
+    return {n: rows[n]["out"] if n in rows else 0 for n in exprs}
+
+
+def _outside(x: Column, low: float, high: float) -> Column:
+    return F.count_if((x < F.lit(low)) | (x > F.lit(high)))
+
+
 def _outliers_and_skewness(
     df: DataFrame, exprs: dict[str, Column], fences: dict[str, tuple[float, float] | None], stats: dict[str, dict]
 ) -> dict[str, tuple[int, float | None]]:
@@ -274,7 +287,7 @@ def _outliers_and_skewness(
     for n, x in exprs.items():
         aggs = {}
         if has_spread(fences[n]):
-            aggs["out"] = F.count_if((x < F.lit(fences[n][0])) | (x > F.lit(fences[n][1])))
+            aggs["out"] = _outside(x, *fences[n])
         mean, std = finite_or_none(stats[n]["mean"]), finite_or_none(stats[n]["std"])
         if std and mean is not None and math.isfinite(std) and stats[n]["n_number"] > 2:
             z = (x - F.lit(mean)) / F.lit(std)
