@@ -48,22 +48,24 @@ def in_ranges(df: DataFrame, key: str, n_rows: int, *, bucket_rows: int = BUCKET
 
 
 def descending_totals(
-    df: DataFrame, key: str, sums: list[str], n_rows: int, *, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, key: str, sums: list[str], n_rows: int, *, group: list[str] | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """For distinct keys: `<sum>_to` = total of `sum` over all keys not below this one, and
+    """For distinct keys (per group): `<sum>_to` = total of `sum` over all keys not below this one, and
     `<sum>_next` = the value of `sum` at the next lower key (NULL at the end)."""
+    group = group or []
     ranged = in_ranges(df, key, n_rows, bucket_rows=bucket_rows)
-    per_bucket = ranged.groupBy("bucket").agg(
+    per_bucket = ranged.groupBy(*group, "bucket").agg(
         *[F.sum(s).alias(f"{s}_all") for s in sums], F.max_by(F.struct(*sums), key).alias("head"))
-    by_bucket = Window.orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows
+    by_bucket = Window.partitionBy(*group).orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows per group
     higher = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        "bucket", *[F.coalesce(F.sum(f"{s}_all").over(higher), F.lit(0)).alias(f"{s}_before") for s in sums],
+        *group, "bucket", *[F.coalesce(F.sum(f"{s}_all").over(higher), F.lit(0)).alias(f"{s}_before") for s in sums],
         F.lead("head").over(by_bucket).alias("head"),
     )
-    w = Window.partitionBy("bucket").orderBy(F.desc(key))
+    w = Window.partitionBy(*group, "bucket").orderBy(F.desc(key))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(F.broadcast(offsets), "bucket")
+    out = ranged.join(offsets if group else F.broadcast(offsets), [*group, "bucket"])
     return out.select(
         *df.columns,
         *[(F.col(f"{s}_before") + F.sum(s).over(running)).alias(f"{s}_to") for s in sums],
