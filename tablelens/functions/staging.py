@@ -20,9 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` once as parquet and read it back: later scans prune columns and survive lost executors."""
-    spark = df.sparkSession
+def stage(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
+    """Write `df` once as parquet and read it back, if asked in another session: later scans prune columns
+    and survive lost executors."""
+    spark = reader or df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
