@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from . import registry
 
-MODULES = ("profile_queries", "prepare_queries", "evaluate_queries")
+MODULES = ("profile_queries", "prepare_queries", "evaluate_queries", "chart_queries", "source_queries", "model_queries")
 
 
 class Catalogue(NamedTuple):
