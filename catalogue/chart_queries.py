@@ -54,7 +54,13 @@ FROM (SELECT *, (hi - lo) / bins AS step FROM (SELECT min({x}) AS lo, max({x}) A
 EVENT_NUMBERS = ("event_id", "user_id", "value")
 
 
-@query("histograms", "\nUNION ALL\n".join(histogram_sql("events", n, f"CAST({n} AS DOUBLE)") for n in EVENT_NUMBERS))
+def _enough_values(name: str) -> str:
+    """Integers with few distinct values are categories, not numbers."""
+    return f"(SELECT count(DISTINCT {name}) FROM events) > 20"
+
+
+@query("histograms", "\nUNION ALL\n".join(
+    histogram_sql("events", n, f"CAST({n} AS DOUBLE)") + f" AND {_enough_values(n)}" for n in EVENT_NUMBERS))
 def histograms(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     return _round(ch.numeric_histograms(df, _profile(df)).drop("median"), low=3, high=3)
@@ -240,8 +246,8 @@ def _bare(df: DataFrame, digits: int = 4) -> DataFrame:
 WITH m AS ({MESSY_MISSING_SQL}), o AS (
   SELECT name, outlier_ratio, n_outliers FROM ({profile_sql('documents', TABLES['documents'])}) WHERE outlier_ratio > 0.05)
 SELECT 'messy' AS section, 0 AS ord, 'size' AS rule_id, 'lineitem' AS subject, 9.0 AS value, (SELECT count(*) FROM lineitem) AS n
-UNION ALL SELECT 'messy', 1, 'type_mix', '5 numeric, 2 categorical, 1 datetime, 1 text', NULL, NULL
-  WHERE (SELECT count(DISTINCT l_suppkey) FROM lineitem) > 20
+UNION ALL SELECT 'messy', 1, 'type_mix', CASE WHEN (SELECT count(DISTINCT l_suppkey) FROM lineitem) > 20 THEN '5 numeric, 2'
+  ELSE '4 numeric, 3' END || ' categorical, 1 datetime, 1 text', NULL, NULL
 UNION ALL SELECT 'messy', 2, 'missing', 'nothing', 1.0, 4
 UNION ALL SELECT 'documents', 0, 'size', 'documents', 5.0, (SELECT count(*) FROM documents)
 UNION ALL SELECT 'documents', 1, 'type_mix', '2 numeric, 2 categorical, 0 datetime, 1 text', NULL, NULL
@@ -315,6 +321,7 @@ def findings_summary(spark, sf_dir):
 
 @query("strongest_pairs", f"""
 SELECT var1, var2, round(corr, 4) + 0.0 AS corr FROM ({corr_sql(list(EVENT_NUMBERS), 'events')})
-WHERE ord1 < ord2 AND corr IS NOT NULL ORDER BY abs(round(corr, 4)) DESC, ord1, ord2 LIMIT 15""")
+WHERE ord1 < ord2 AND corr IS NOT NULL AND ({_enough_values('user_id')} OR 'user_id' NOT IN (var1, var2))
+ORDER BY abs(round(corr, 4)) DESC, ord1, ord2 LIMIT 15""")
 def strongest_pairs(spark, sf_dir):
     return _round(top_correlations(_profile(table(spark, sf_dir, "events")).correlation()), corr=4)

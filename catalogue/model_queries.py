@@ -140,8 +140,8 @@ h AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql('k', '42')}) <= ceil(coun
 m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM h WHERE NOT test),
 o AS (SELECT y, x, row_number() OVER (ORDER BY {_hash_sql('k', '42p')}) - 1 AS p, count(*) OVER () AS n FROM h WHERE test),
 v AS (SELECT var_pop(y) * count(*) AS sst FROM o),
-e AS (SELECT r, 1 - sum((o.y - a - b * d.x) ** 2) / any_value(sst) AS r2 FROM o, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS r), m, v,
-      o AS d WHERE d.p = (o.p + r) % o.n GROUP BY r)
+e AS (SELECT r, 1 - sum((o.y - a - b * d.x) ** 2) / any_value(sst) AS r2 FROM o, range(11) g(r), m, v,
+      o AS d WHERE d.p = (o.p + r) % o.n AND r <= CASE WHEN o.n <= 5000 THEN 10 ELSE 5 END GROUP BY r)
 SELECT 'quantity' AS feature, round((SELECT r2 FROM e WHERE r = 0) - avg(r2), 5) AS importance, 100.0 AS importance_pct
 FROM e WHERE r > 0""")
 def permutation(spark, sf_dir):
@@ -151,7 +151,7 @@ def permutation(spark, sf_dir):
     train, test = parts.where("part = 1"), parts.where("part = 0")
     prep = enc.fit_prep(train, ["quantity"], [], AnalysisConfig())["all"]
     model = mo.regression_candidates()[0].fit(prep.transform(train), CONTEXT)
-    out = permutation_importance(model, prep, test, ["quantity"], C.REGRESSION, test.count(), 42)
+    out = permutation_importance(model, prep, test, {"quantity": "quantity"}, C.REGRESSION, test.count(), 42)
     return out.withColumn("importance", F.round("importance", 5))
 
 

@@ -76,6 +76,17 @@ def expand_dates(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[ref(c) for c in df.columns if c not in names], *parts)
 
 
+def unused_names(names: list[str], taken: set[str]) -> list[str]:
+    """The names, with underscores added where one is already taken; they count as taken from now on."""
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def fit_winsor(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """IQR limits of the named numeric columns; a column without spread has no limits."""
     exprs = {n: number_of(df, n) for n in names}
@@ -147,7 +158,8 @@ def clean_frame(df: DataFrame, profile: TableProfile, config: C.AnalysisConfig)
     numbers: dict[str, Column] = {}
     categories: dict[str, Column] = {}
     numeric_levels = set()
-    dates: dict[str, Column] = {}
+    dates: dict[str, list[str]] = {}
+    taken = set(df.columns)
     for c in profile.columns:
         n = c.name
         if n == target or n in dropped or n in config.key_columns:
@@ -159,8 +171,9 @@ def clean_frame(df: DataFrame, profile: TableProfile, config: C.AnalysisConfig)
             if not isinstance(dtype, NUMBER_TYPES):
                 converted.append(LogEntry("convert type", n, "text to number"))
         elif kind == C.DATETIME:
-            dates[n] = to_datetime(n, dtype)
-            numbers.update({f"{n}_{suffix}": p for suffix, p in date_parts(dates[n]).items()})
+            parts = date_parts(to_datetime(n, dtype))
+            dates[n] = unused_names([f"{n}_{suffix}" for suffix in parts], taken)
+            numbers.update(zip(dates[n], parts.values()))
         elif kind in (C.TEXT, C.EXCLUDE, C.UNSUPPORTED):
             log.append(LogEntry("drop column", n, "text or identifier"))
         else:
@@ -170,8 +183,7 @@ def clean_frame(df: DataFrame, profile: TableProfile, config: C.AnalysisConfig)
 
     counts = value_counts(rows, {**numbers, **categories, "\0rows": F.lit(1)}) if numbers or categories else {}
     n_rows = counts.get("\0rows", 0)
-    for n in dates:
-        parts = [f"{n}_{suffix}" for suffix in date_parts(dates[n])]
+    for n, parts in dates.items():
         if n_rows and counts[parts[0]] / n_rows >= C.DATE_FEATURE_SHARE:
             expanded.append(LogEntry("date parts", n, "year, month, day and weekday"))
         else:

@@ -25,9 +25,17 @@ METRICS = {C.REGRESSION: met.REGRESSION_METRICS[:3], C.CLASSIFICATION: met.CLASS
 MAX_ERROR_TEXT = 200
 
 
+#: Put before feature names in modelling rows, so that no input column can be mistaken for one of ours.
+FEATURE = "x_"
+
+
+def shown(name: str) -> str:
+    return name.removeprefix(FEATURE)
+
+
 @dataclass
 class PreparedRows:
-    """Modelling rows: `_id`, `y`, features. `labels` holds the class codes of a classification."""
+    """Modelling rows: `_id`, `y`, prefixed features. `labels` holds the class codes of a classification."""
 
     df: DataFrame
     table: CleanTable
@@ -81,21 +89,24 @@ class ModelingResult:
 
 def prepare_rows(clean: CleanTable, config: C.AnalysisConfig, task: str) -> PreparedRows:
     """Attach the target as `y` and a fixed row id, and stage the result: every later step reads it."""
-    df = clean.df
     if config.key_columns:
-        df = df.withColumn("_id", sp.row_key(list(config.key_columns)))
+        row_id = sp.row_key(list(config.key_columns))
     else:
         # Generated ids depend on how the input is read: the staged copy freezes them.
-        df = df.withColumn("_id", F.monotonically_increasing_id().cast("string"))
+        row_id = F.monotonically_increasing_id().cast("string")
+    target = F.lit(None).cast("string") if config.target is None else ref(config.target)
+    features = [f"{FEATURE}{c}" for c in clean.features]
+    df = clean.df.select(
+        row_id.alias("_id"), target.alias("_target"), *[ref(c).alias(f) for c, f in zip(clean.features, features)])
     labels = None
     if task == C.CLASSIFICATION:
         if not config.key_columns:
             df = stage(df)
-        labels = fit_labels(df, config.target)
-        df = label_encode(df, config.target, labels)
+        labels = fit_labels(df, "_target")
+        df = label_encode(df, "_target", labels)
     else:
-        df = df.withColumn("y", number_of(df, config.target))
-    staged = stage(df.select("_id", "y", *[ref(c) for c in clean.features]))
+        df = df.withColumn("y", number_of(df, "_target"))
+    staged = stage(df.select("_id", "y", *[ref(f) for f in features]))
     total = staged.agg(F.count("*").alias("n"), F.count("y").alias("present")).first()
     rows = staged.where(F.col("y").isNotNull())
     if total["n"] > total["present"]:
@@ -206,7 +217,9 @@ def run_comparison(rows: PreparedRows, config: C.AnalysisConfig, task: str) -> M
     n_test = rows.n_rows - n_train
 
     where = {f"{f}": F.col("fold") != f for f in range(k)} | {"all": F.lit(True)}
-    preps = fit_prep(train, table.numeric_features, table.categorical_features, config, where, table.numeric_levels)
+    preps = fit_prep(
+        train, [f"{FEATURE}{c}" for c in table.numeric_features], [f"{FEATURE}{c}" for c in table.categorical_features],
+        config, where, frozenset(f"{FEATURE}{c}" for c in table.numeric_levels))
     table.log.extend(preparation_entries(preps["all"], config))
     context = FitContext(n_train, rows.n_classes, config.random_state, config.models)
     scores = cross_validate(labelled, k, preps, candidates(task, config.max_models), task, context, sizes)
@@ -228,10 +241,11 @@ def run_comparison(rows: PreparedRows, config: C.AnalysisConfig, task: str) -> M
     importance = spark.createDataFrame([], "feature string, importance double, importance_pct double")
     if config.compute_importance:
         try:
-            importance = permutation_importance(model, prep, test, table.features, task, n_test, config.random_state)
+            columns = {f"{FEATURE}{c}": c for c in table.features}
+            importance = permutation_importance(model, prep, test, columns, task, n_test, config.random_state)
         except Exception as exc:
             notes.append(f"permutation importance failed, built-in importance is shown instead ({str(exc)[:100]})")
-            importance = fallback_importance(spark, model, prep)
+            importance = fallback_importance(spark, model, prep, shown)
     failed = spark.createDataFrame(
         [(s.candidate.name, s.error) for s in scores if s.error], "model string, error string")
     return ModelingResult(
@@ -241,8 +255,8 @@ def run_comparison(rows: PreparedRows, config: C.AnalysisConfig, task: str) -> M
 
 
 def preparation_entries(prep: PrepModel, config: C.AnalysisConfig) -> list[LogEntry]:
-    onehot = [n for n, c in prep.categories.items() if isinstance(c, OneHotCoding)]
-    ordinal = [n for n, c in prep.categories.items() if isinstance(c, OrdinalCoding)]
+    onehot = [shown(n) for n, c in prep.categories.items() if isinstance(c, OneHotCoding)]
+    ordinal = [shown(n) for n, c in prep.categories.items() if isinstance(c, OrdinalCoding)]
     out = []
     if onehot:
         out.append(LogEntry("encoding", ", ".join(onehot[:10]) + ("..." if len(onehot) > 10 else ""), "one-hot", len(onehot)))

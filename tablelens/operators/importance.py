@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,12 +64,13 @@ def permuted_rows(rows: DataFrame, columns: list[str], n_rows: int, repeats: int
 
 
 def permutation_importance(
-    model: FittedModel, prep: PrepModel, test: DataFrame, columns: list[str], task: str, n_test: int, seed: int
+    model: FittedModel, prep: PrepModel, test: DataFrame, columns: dict[str, str], task: str, n_test: int, seed: int
 ) -> DataFrame:
     """(feature, importance, importance_pct): mean loss of R2 or weighted F1 when one input column is
-    shuffled, not below 0, largest first. All columns and repeats are scored in one job."""
+    shuffled, not below 0, largest first. `columns` gives the name to show for each column. All columns
+    and repeats are scored in one job."""
     keys = ["_rep", "_col"]
-    rows = permuted_rows(test.select("_id", "y", *[ref(c) for c in columns]), columns, n_test, n_repeats(n_test), seed)
+    rows = permuted_rows(test.select("_id", "y", *[ref(c) for c in columns]), list(columns), n_test, n_repeats(n_test), seed)
     predicted = model.predict(prep.transform(rows).select("_id", "y", *keys, "features"))
     plain = model.predict(prep.transform(test).select("_id", "y", "features"))
     if task == C.REGRESSION:
@@ -79,7 +81,7 @@ def permutation_importance(
             "_col", F.col("f1_weighted").alias("s"))
         base = met.classification_metrics(met.confusion_counts(plain)).first()["f1_weighted"]
     drops = {r["_col"]: r["s"] for r in scores.groupBy("_col").agg(F.avg("s").alias("s")).collect()}
-    losses = [(c, max(0.0, base - drops[i]) if drops.get(i) is not None else 0.0) for i, c in enumerate(columns)]
+    losses = [(c, max(0.0, base - drops[i]) if drops.get(i) is not None else 0.0) for i, c in enumerate(columns.values())]
     return importance_table(test.sparkSession, losses)
 
 
@@ -91,12 +93,14 @@ def importance_table(spark: SparkSession, values: list[tuple[str, float]]) -> Da
     return spark.createDataFrame(rows, IMPORTANCE)
 
 
-def fallback_importance(spark: SparkSession, model: FittedModel, prep: PrepModel) -> DataFrame:
+def fallback_importance(
+    spark: SparkSession, model: FittedModel, prep: PrepModel, shown: Callable[[str], str] = str
+) -> DataFrame:
     """The model's own importances, added up per input column; empty when it has none."""
     values = model.importances()
     if values is None or len(values) != len(prep.feature_sources):
         return spark.createDataFrame([], IMPORTANCE)
     per_source: dict[str, float] = {}
     for source, v in zip(prep.feature_sources, values):
-        per_source[source] = per_source.get(source, 0.0) + v
+        per_source[shown(source)] = per_source.get(shown(source), 0.0) + v
     return importance_table(spark, list(per_source.items()))
