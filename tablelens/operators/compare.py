@@ -130,7 +130,7 @@ def split_rows(rows: PreparedRows, config: C.AnalysisConfig, task: str, notes: l
         parts = sp.stratified_holdout(df, "y", key, fraction=config.test_size, seed=seed)
     else:
         parts = sp.holdout_split(df, key, rows.n_rows, fraction=config.test_size, seed=seed)
-    df = stage(parts.assign(df, "part"))
+    df = parts.assign(df, "part")
 
     train = df.where("part = 1")
     n_train = train.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,19 +67,20 @@ def _sums_by_block(x: DataFrame, k: int) -> DataFrame:
     def block(batches):
         total = [np.zeros((k, k)) for _ in range(4)]
         for batch in batches:
-            raw = batch.to_numpy(dtype="float64", na_value=np.nan)
+            # Missing cells arrive as NaN.
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64", copy=False)
             mask = ~np.isnan(raw)
             z, m = np.where(mask, raw, 0.0), mask.astype("float64")
             for t, product in zip(total, (m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z)):
                 t += product
         n, s, ss, sp = total
         at, back = (first, second), (second, first)
-        yield pd.DataFrame({
+        yield pa.RecordBatch.from_pydict({
             "i": first.astype("int32"), "j": second.astype("int32"), "n": n[at], "sx": s[at], "sy": s[back],
             "sxx": ss[at], "syy": ss[back], "sxy": sp[at],
         })
 
-    parts = x.mapInPandas(block, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
+    parts = x.mapInArrow(block, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
     return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import field_type, present
 
-#: Suspect hashes are broadcast up to this many; beyond it the join is shuffled.
+#: Hashes met more than once are broadcast up to this many.
 BROADCAST_HASHES = 2_000_000
 
 
@@ -40,9 +40,10 @@ def count_duplicates(df: DataFrame) -> tuple[int, int]:
     n_rows = totals["n_rows"] or 0
     if totals["suspect"] == 0:
         return n_rows, 0
-    suspects = by_hash.where(F.col("cnt") > 1).select("h")
-    if totals["suspect"] <= BROADCAST_HASHES:
-        suspects = F.broadcast(suspects)
+    if totals["suspect"] > BROADCAST_HASHES:
+        # So many repeats that most rows would travel anyway; copies meet before the shuffle.
+        return n_rows, n_rows - rows.distinct().count()
+    suspects = F.broadcast(by_hash.where(F.col("cnt") > 1).select("h"))
     distinct_rows = hashed.join(suspects, "h", "left_semi").select(*rows.columns).distinct().count()
     return n_rows, n_rows - totals["single"] - distinct_rows
 

@@ -21,6 +21,7 @@ from .ranking import sorted_codes
 
 #: Levels of a code table that may be broadcast.
 BROADCAST_LEVELS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 #: Share of rows from which a level is looked up in the plan instead of being shuffled.
 HOT_SHARE = 0.001
 
@@ -49,12 +50,13 @@ class OneHotCoding:
 
 @dataclass(frozen=True)
 class OrdinalCoding:
-    """Position among the sorted training levels; -1 for others. `table` is (level, cnt, code); with
-    many levels the frequent ones are also kept in `hot`."""
+    """Position among the sorted training levels; -1 for others. `table` is (level, cnt, code): `small`
+    enough to broadcast, or with its frequent levels also kept in `hot`."""
 
     fill: str | None
     table: DataFrame
     n_levels: int
+    small: bool
     hot: dict[str, int]
 
 
@@ -125,7 +127,7 @@ def with_code(df: DataFrame, name: str, c: OneHotCoding | OrdinalCoding, output:
         code = other if known is None else F.coalesce(F.try_element_at(known, value), other)
         return df.withColumn(output, code)
     keys = c.table.select(F.col("level").alias(f"{output}_key"), F.col("code").alias(output))
-    if c.n_levels <= BROADCAST_LEVELS:
+    if c.small:
         joined = df.withColumn(f"{output}_v", value).join(
             F.broadcast(keys), F.col(f"{output}_v") == F.col(f"{output}_key"), "left")
         return joined.select(*[ref(x) for x in df.columns], F.coalesce(output, F.lit(-1)).alias(output))
@@ -282,11 +284,14 @@ def code_levels(sizes: DataFrame, fill: str | None, n_levels: int, rows: int, as
     """Sorted codes for (level, cnt). The code table is staged, as every fold and model reads it."""
     codes = sorted_codes(sizes.select("level"), "level", n_levels, as_number=as_number)
     table = stage(sizes.join(codes, "level"))
-    hot = {}
-    if n_levels > BROADCAST_LEVELS:
+    small, hot = n_levels <= BROADCAST_LEVELS, {}
+    if small:
+        n_bytes = table.agg(F.sum(F.octet_length("level"))).first()[0] or 0
+        small = n_bytes <= BROADCAST_BYTES
+    if not small:
         # At most 1 / HOT_SHARE levels can be that frequent.
         hot = {r["level"]: r["code"] for r in table.where(F.col("cnt") >= HOT_SHARE * rows).collect()}
-    return OrdinalCoding(fill, table, n_levels, hot)
+    return OrdinalCoding(fill, table, n_levels, small, hot)
 
 
 # -- pyspark.ml face ---------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def with_donors(rows: DataFrame, columns: list[str], n_rows: int, repeats: int,
     shuffle serves all repeats, and no task sees more than a block."""
     blocks = max(1, math.ceil(n_rows / BLOCK_ROWS))
     h = row_hash(F.col("_id"), f"{seed}p")
-    keyed = rows.withColumn("_h", h).withColumn("_block", F.pmod("_h", F.lit(blocks)))
+    keyed = rows.withColumn("_h", h).withColumn("_block", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
     order = Window.partitionBy("_block").orderBy("_h", "_id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     values = F.struct(*[ref(c) for c in columns])

@@ -87,7 +87,7 @@ def score_counts(rows: DataFrame, score: str = "score", positive: str = "positiv
 
 def _cumulated(rows: DataFrame, score: str, positive: str, bucket_rows: int) -> DataFrame:
     counts = score_counts(rows, score, positive)
-    return descending_totals(counts, "score", ["pos", "neg"], counts.count(), bucket_rows=bucket_rows)
+    return descending_totals(counts, "score", ["pos", "neg"], bucket_rows=bucket_rows)
 
 
 def _won() -> Column:
@@ -106,8 +106,8 @@ def roc_auc(rows: DataFrame, score: str = "score", positive: str = "positive", *
 def roc_curve(rows: DataFrame, score: str = "score", positive: str = "positive", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(threshold, fpr, tpr) from the origin (threshold NULL) down; points on a straight line are left out."""
     counts = score_counts(rows, score, positive)
-    total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top"), F.count("*").alias("m")).first()
-    c = descending_totals(counts, "score", ["pos", "neg"], total["m"], bucket_rows=bucket_rows)
+    total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top")).first()
+    c = descending_totals(counts, "score", ["pos", "neg"], bucket_rows=bucket_rows)
     end = F.col("pos_next").isNull() | (F.col("score") == F.lit(total["top"]))
     bend = (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg"))
     points = c.where(end | bend).select(
@@ -122,7 +122,7 @@ def auc_ovr(rows: DataFrame, y: str = "y", probability: str = "probability", *,
     scored = rows.select(F.col(y).alias("y"), F.posexplode(probability).alias("c", "p"))
     counts = scored.groupBy("c", "p").agg(
         F.count_if(F.col("y") == F.col("c")).alias("pos"), F.count_if(F.col("y") != F.col("c")).alias("neg"))
-    cumulated = descending_totals(counts, "p", ["pos", "neg"], counts.count(), group=["c"], bucket_rows=bucket_rows)
+    cumulated = descending_totals(counts, "p", ["pos", "neg"], group=["c"], bucket_rows=bucket_rows)
     per_class = cumulated.groupBy("c").agg(_won().alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.try_divide(F.col("won"), F.col("n_pos").cast("double") * F.col("n_neg"))
     return per_class.agg(F.try_divide(F.sum(auc * F.col("n_pos")), F.sum("n_pos")).alias("auc"))

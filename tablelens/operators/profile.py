@@ -67,7 +67,7 @@ class ColumnProfile:
 
 @dataclass
 class TableProfile:
-    """Records per column plus the table-wide counts. The correlation matrix is a lazy DataFrame."""
+    """Records per column plus the table-wide counts. The correlation matrix is computed when first asked for."""
 
     source: DataFrame
     columns: list[ColumnProfile]
@@ -126,8 +126,9 @@ class TableProfile:
         if len(names) < 2:
             return None
         if self._correlation is None:
-            self._correlation = correlation_matrix(
-                self.source, names, {n: (self[n].mean, self[n].std) for n in names})
+            matrix = correlation_matrix(self.source, names, {n: (self[n].mean, self[n].std) for n in names})
+            # At most correlation_limit squared rows: kept, as several tables are made from them.
+            self._correlation = self.source.sparkSession.createDataFrame(matrix.collect(), matrix.schema)
         return self._correlation
 
 

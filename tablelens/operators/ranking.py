@@ -12,7 +12,7 @@ from ..functions.staging import stage
 
 #: Rows one task may rank.
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 2_000
 
 
 def sorted_codes(levels: DataFrame, column: str, n_levels: int, *, as_number: bool = False,
@@ -35,26 +35,27 @@ def sorted_codes(levels: DataFrame, column: str, n_levels: int, *, as_number: bo
     return ranged.join(F.broadcast(offsets), "part").select(column, (F.col("offset") + within).cast("bigint").alias("code"))
 
 
-def in_ranges(df: DataFrame, key: str, n_rows: int, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def in_ranges(df: DataFrame, key: str, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add `bucket`: an ascending numeric range per row, each of roughly `bucket_rows` rows. The bounds
     are literals, so that recomputed rows always fall into the same range."""
-    parts = min(MAX_BUCKETS, math.ceil(n_rows / bucket_rows))
+    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    n, marks = df.agg(F.count(key), F.percentile_approx(key, probs, 10 * MAX_BUCKETS)).first()
+    parts = min(MAX_BUCKETS, math.ceil(n / bucket_rows))
     if parts <= 1:
         return df.withColumn("bucket", F.lit(0.0))
-    probs = [i / parts for i in range(1, parts)]
-    bounds = df.agg(F.percentile_approx(key, probs, min(10 * parts, 100_000))).first()[0]
-    splits = sorted({-math.inf, *bounds, math.inf})
+    bounds = {marks[i * MAX_BUCKETS // parts - 1] for i in range(1, parts)}
+    splits = [-math.inf, *sorted(bounds), math.inf]
     return Bucketizer(splits=splits, inputCol=key, outputCol="bucket", handleInvalid="keep").transform(df)
 
 
 def descending_totals(
-    df: DataFrame, key: str, sums: list[str], n_rows: int, *, group: list[str] | None = None,
+    df: DataFrame, key: str, sums: list[str], *, group: list[str] | None = None,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """For distinct keys (per group): `<sum>_to` = total of `sum` over all keys not below this one, and
     `<sum>_next` = the value of `sum` at the next lower key (NULL at the end)."""
     group = group or []
-    ranged = in_ranges(df, key, n_rows, bucket_rows=bucket_rows)
+    ranged = in_ranges(df, key, bucket_rows=bucket_rows)
     per_bucket = ranged.groupBy(*group, "bucket").agg(
         *[F.sum(s).alias(f"{s}_all") for s in sums], F.max_by(F.struct(*sums), key).alias("head"))
     by_bucket = Window.partitionBy(*group).orderBy(F.desc("bucket"))  # at most MAX_BUCKETS rows per group

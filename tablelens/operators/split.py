@@ -13,16 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ref
+from ..functions.staging import stage
 
-HASH_BITS = 60
 #: Rows of one hash bucket that a task ranks.
 BUCKET_ROWS = 50_000
-MAX_BUCKET_BITS = 20
+#: Buckets are the leading hexadecimal digits of the hash; at most this many.
+MAX_BUCKET_DIGITS = 5
 #: Classes whose range ends may be broadcast.
 BROADCAST_CLASSES = 200_000
 SMALL_SAMPLE = 30
 
-END = "struct<h:bigint,k:string>"
+END = "struct<h:string,k:string>"
 
 
 def row_key(key_columns: list[str]) -> Column:
@@ -31,9 +32,8 @@ def row_key(key_columns: list[str]) -> Column:
 
 
 def row_hash(key: Column, salt: str) -> Column:
-    """The first 60 bits of md5(salt|key): the same number in every engine."""
-    digest = F.md5(F.concat_ws("|", F.lit(salt), key))
-    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    """md5(salt|key) in hexadecimal: the same order in every engine."""
+    return F.md5(F.concat_ws("|", F.lit(salt), key))
 
 
 def holdout_fraction(n_rows: int, fraction: float) -> float:
@@ -53,7 +53,7 @@ class Parts:
     key_columns: list[str]
     label: str | None
     ends: DataFrame | None
-    literal: list[tuple[int, str]]
+    literal: list[tuple[str, str]]
     broadcast: bool = True
 
     def assign(self, df: DataFrame, output: str) -> DataFrame:
@@ -73,7 +73,7 @@ def cut_plain(df: DataFrame, key_columns: list[str], salt: str, sizes: list[int]
     """Consecutive parts of the given sizes (the last one takes the rest)."""
     cuts = [sum(sizes[: i + 1]) for i in range(len(sizes) - 1)]
     one = df.sparkSession.createDataFrame([(0, cuts)], "_class int, cuts array<bigint>")
-    rows = _find_ends(df.withColumn("_class", F.lit(0)), "_class", one, key_columns, salt, sum(sizes)).collect()
+    rows = _find_ends(df.withColumn("_class", F.lit(0)), "_class", one, key_columns, salt, sum(sizes), True).collect()
     ends = sorted((e["h"], e["k"]) for r in rows for e in r["_ends"])
     return Parts(salt, key_columns, None, None, ends)
 
@@ -82,30 +82,33 @@ def cut_by_class(
     df: DataFrame, label: str, cuts: DataFrame, key_columns: list[str], salt: str, n_rows: int, n_classes: int
 ) -> Parts:
     """Consecutive parts within every class; `cuts` is (_class, cuts) with the rank of each part's end."""
-    ends = _find_ends(df, label, cuts, key_columns, salt, n_rows)
-    return Parts(salt, key_columns, label, ends, [], broadcast=n_classes <= BROADCAST_CLASSES)
+    few = n_classes <= BROADCAST_CLASSES
+    # Staged, as every use of the parts reads it again.
+    ends = stage(_find_ends(df, label, cuts, key_columns, salt, n_rows, few))
+    return Parts(salt, key_columns, label, ends, [], broadcast=few)
 
 
-def _find_ends(df: DataFrame, label: str, cuts: DataFrame, key_columns: list[str], salt: str, n_rows: int) -> DataFrame:
+def _find_ends(
+    df: DataFrame, label: str, cuts: DataFrame, key_columns: list[str], salt: str, n_rows: int, few_classes: bool
+) -> DataFrame:
     """(_class, _ends): the (hash, key) of the rows whose rank within their class is a cut."""
-    bits = min(MAX_BUCKET_BITS, max(0, math.ceil(math.log2(max(n_rows, 1) / BUCKET_ROWS))))
+    small = F.broadcast if few_classes else (lambda x: x)
+    digits = min(MAX_BUCKET_DIGITS, max(0, math.ceil(math.log(max(n_rows, 1) / BUCKET_ROWS, 16))))
     key = row_key(key_columns)
     rows = df.select(ref(label).alias("_class"), row_hash(key, salt).alias("h"), key.alias("k")).withColumn(
-        "bucket", F.shiftright("h", HASH_BITS - bits) if bits else F.lit(0))
+        "bucket", F.substring("h", 1, digits))
     order = Window.partitionBy("_class").orderBy("bucket")
     counted = rows.groupBy("_class", "bucket").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
     wanted = cuts.select("_class", F.explode("cuts").alias("cut")).where(F.col("cut") > 0)
-    # One row per class and cut.
-    targets = (
-        counted.join(wanted, "_class").where(F.col("cut").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
-        .select("_class", "bucket", (F.col("cut") - F.col("upto") + F.col("n")).alias("rank"))
-    )
-    hits = rows.join(targets.select("_class", "bucket").distinct(), ["_class", "bucket"], "left_semi")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("_class", "bucket").orderBy("h", "k")))
-    return (
-        ranked.join(targets, ["_class", "bucket", "rank"], "left_semi")
-        .groupBy("_class").agg(F.collect_list(F.struct("h", "k")).alias("_ends"))
+    # One row per class and bucket that holds a cut, with the ranks of the cuts in it.
+    targets = stage(
+        counted.join(small(wanted), "_class").where(F.col("cut").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
+        .groupBy("_class", "bucket").agg(F.collect_set((F.col("cut") - F.col("upto") + F.col("n")).cast("int")).alias("ranks"))
     )
+    rank = F.row_number().over(Window.partitionBy("_class", "bucket").orderBy("h", "k"))
+    hits = rows.join(small(targets), ["_class", "bucket"]).withColumn("rank", rank)
+    return hits.where(F.array_contains("ranks", F.col("rank"))).groupBy("_class").agg(
+        F.collect_list(F.struct("h", "k")).alias("_ends"))
 
 
 # -- the four splits -----------------------------------------------------------------------------------

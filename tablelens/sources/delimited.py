@@ -85,8 +85,7 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]
         encoding, multi_line = detect_encoding(spark, path)
     except AnalysisException as exc:
         raise LoadError(f"cannot find or read {path}: {exc.getCondition() or exc}") from exc
-    utf8 = JAVA_NAMES[encoding] == "UTF-8"
-    session = spark if utf8 else charset_session(spark)
+    session = spark if JAVA_NAMES[encoding] == "UTF-8" else charset_session(spark)
     lines = [r["line"] for r in read_lines(session, path, encoding).limit(PROBE_LINES).collect() if r["line"]]
     if not lines:
         raise LoadError(f"'{path}' holds no data")
@@ -98,10 +97,9 @@ def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]
         .option("encoding", JAVA_NAMES[encoding]).option("escape", '"').option("multiLine", multi_line)
         .option("maxCharsPerColumn", -1).csv(path)
     )
-    if not utf8:
-        # Staged once, so that nothing later depends on the other session.
-        raw = stage(raw, spark)
-    return typed(raw).toDF(*names), encoding, separator
+    # Text is parsed once into a columnar copy: an analysis reads the table many times, and nothing later
+    # depends on the session of the encoding.
+    return stage(typed(raw), spark).toDF(*names), encoding, separator
 
 
 def typed(raw: DataFrame) -> DataFrame:

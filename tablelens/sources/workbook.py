@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from .delimited import typed
 from .tidy import LoadError, unique_names
 
@@ -153,7 +154,8 @@ def read_workbook(spark: SparkSession, path: str, sheet_name: str | None = None)
     names = [s["sheet"] for s in first["sheets"]]
     if sheet_name and sheet_name not in names:
         raise LoadError(f"no sheet '{sheet_name}'; there are {', '.join(names)}")
-    rows = _files(spark, path).mapInPandas(_parser(sheet_name), ROWS)
+    # Unpacked once; column names and types are then read from the copy.
+    rows = stage(_files(spark, path).mapInPandas(_parser(sheet_name), ROWS))
     columns = [
         r["name"] for r in rows.select("path", "names").distinct().select("path", F.posexplode("names").alias("pos", "name"))
         .groupBy("name").agg(F.min(F.struct("path", "pos")).alias("at")).orderBy("at").collect()]
@@ -161,4 +163,4 @@ def read_workbook(spark: SparkSession, path: str, sheet_name: str | None = None)
         raise LoadError(f"'{path}' holds no data")
     at = [F.array_position("names", c).cast("int") for c in columns]
     raw = rows.select(*[F.when(p > 0, F.try_element_at("cells", p)).alias(f"_{i}") for i, p in enumerate(at)])
-    return typed(raw).toDF(*columns), sheet_name or names[0], len(names)
+    return stage(typed(raw)).toDF(*columns), sheet_name or names[0], len(names)

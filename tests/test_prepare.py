@@ -48,6 +48,7 @@ def test_routing_by_number_of_levels(spark, levels, kind):
 def test_ordinal_codes(spark, many, monkeypatch):
     if many:  # the shuffled path, with hot levels and several ranges
         monkeypatch.setattr(enc, "BROADCAST_LEVELS", 5)
+        monkeypatch.setattr(enc, "BROADCAST_BYTES", 5)
         monkeypatch.setattr(enc, "HOT_SHARE", 0.2)
         sorted_codes = ranking.sorted_codes
         monkeypatch.setattr(enc, "sorted_codes", lambda *a, **k: sorted_codes(*a, **k, bucket_rows=7))
