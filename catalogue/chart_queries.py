@@ -312,7 +312,7 @@ def findings_importance(spark, sf_dir):
 
 
 @query("findings_summary", """
-SELECT 'summary' AS section, 0 AS ord, 'summary_size' AS rule_id, 'customer' AS subject, 5.0 AS value, count(*) AS n FROM customer
+SELECT 'summary' AS section, 0 AS ord, 'summary_size' AS rule_id, 'customer' AS subject, CAST(5 AS DOUBLE) AS value, count(*) AS n FROM customer
 UNION ALL SELECT 'summary', 1, 'summary_no_model', '', NULL, NULL""")
 def findings_summary(spark, sf_dir):
     p = _profile(table(spark, sf_dir, "customer"))
@@ -325,3 +325,24 @@ WHERE ord1 < ord2 AND corr IS NOT NULL AND ({_enough_values('user_id')} OR 'user
 ORDER BY abs(round(corr, 4)) DESC, ord1, ord2 LIMIT 15""")
 def strongest_pairs(spark, sf_dir):
     return _round(top_correlations(_profile(table(spark, sf_dir, "events")).correlation()), corr=4)
+
+
+@query("findings_modeling", f"""
+WITH m AS (SELECT 1 - sum((y - prediction) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - prediction) ** 2)) AS rmse,
+  avg(abs(y - prediction)) AS mae, count(*) AS n FROM {PRED_SQL})
+SELECT 'modeling' AS section, 0 AS ord, 'task' AS rule_id, 'l_extendedprice' AS subject, CAST(NULL AS DOUBLE) AS value, 3 AS n FROM m
+UNION ALL SELECT 'modeling', 1, 'best_model', 'l_quantity', n, n FROM m
+UNION ALL SELECT 'modeling', 2, 'rmse', '', round(rmse, 4), NULL FROM m
+UNION ALL SELECT 'modeling', 3, 'mae', '', round(mae, 4), NULL FROM m
+UNION ALL SELECT 'modeling', 4, CASE WHEN r2 >= 0.8 THEN 'fit_high' WHEN r2 >= 0.5 THEN 'fit_medium'
+  WHEN r2 >= 0.2 THEN 'fit_low' ELSE 'fit_none' END, '', round(r2, 4), NULL FROM m""")
+def findings_modeling(spark, sf_dir):
+    """The verdict on predicting the price by its mean per quantity."""
+    from tablelens.operators.compare import ModelingResult
+    from tablelens.operators.metrics import REGRESSION_METRICS, regression_metrics
+    rows = price_by_quantity(spark, sf_dir)
+    n = rows.count()
+    metrics = regression_metrics(rows).unpivot([], list(REGRESSION_METRICS), "metric", "value")
+    result = ModelingResult(C.REGRESSION, "l_extendedprice", "l_quantity", None, None, _leaderboard(spark, sf_dir), metrics,
+                            None, rows, n, n)
+    return _bare(fi.findings_table(spark, {"modeling": fi.modeling_findings(result)}))

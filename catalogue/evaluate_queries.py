@@ -238,7 +238,7 @@ def baseline_metrics(spark, sf_dir):
 
 @query("improvement", f"""
 WITH m AS (SELECT sqrt(avg((y - prediction) ** 2)) AS model, stddev_pop(y) AS base FROM {PRED_SQL})
-SELECT round((base - model) / base * 100, 4) AS rmse_gain_pct, 0.0 AS zero_base FROM m""")
+SELECT round((base - model) / base * 100, 4) AS rmse_gain_pct, CAST(0 AS DOUBLE) AS zero_base FROM m""")
 def improvement(spark, sf_dir):
     rows = price_by_quantity(spark, sf_dir)
     model = met.regression_metrics(rows).select(F.col("rmse").alias("model")).first()["model"]

@@ -142,7 +142,7 @@ o AS (SELECT y, x, row_number() OVER (ORDER BY {_hash_sql('k', '42p')}) - 1 AS p
 v AS (SELECT var_pop(y) * count(*) AS sst FROM o),
 e AS (SELECT r, 1 - sum((o.y - a - b * d.x) ** 2) / any_value(sst) AS r2 FROM o, range(11) g(r), m, v,
       o AS d WHERE d.p = (o.p + r) % o.n AND r <= CASE WHEN o.n <= 5000 THEN 10 ELSE 5 END GROUP BY r)
-SELECT 'quantity' AS feature, round((SELECT r2 FROM e WHERE r = 0) - avg(r2), 5) AS importance, 100.0 AS importance_pct
+SELECT 'quantity' AS feature, round((SELECT r2 FROM e WHERE r = 0) - avg(r2), 5) AS importance, CAST(100 AS DOUBLE) AS importance_pct
 FROM e WHERE r > 0""")
 def permutation(spark, sf_dir):
     """Blocks of 50,000 rows: at this scale the held-out rows exchange values within one block."""
@@ -205,3 +205,12 @@ def analyze_report_index(spark, sf_dir):
     from tablelens.plans.report import report_index
     config = AnalysisConfig(target="p_retailprice", key_columns=("p_partkey",), cv_folds=2, max_models=3, models=LIGHT)
     return report_index(spark, analyze(table(spark, sf_dir, "part"), config, source_meta={"source": "part"}).tables)
+
+
+@query("analyze_path")
+def analyze_csv(spark, sf_dir):
+    """A whole analysis from delimited text: the findings on the loaded table."""
+    from tablelens.plans.jobs import analyze_path
+
+    from .source_queries import _written
+    return analyze_path(spark, _written(spark, sf_dir, "customer", sep=";"), AnalysisConfig()).findings.drop("sentence")

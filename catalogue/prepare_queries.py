@@ -118,7 +118,7 @@ WITH t AS {TAGGED_SQL}, lv AS (
   SELECT tag, cnt < 0.01 * sum(cnt) OVER () AS rare FROM (SELECT tag, count(*) AS cnt FROM t WHERE train GROUP BY 1))
 SELECT o_orderkey, CASE WHEN lv.tag IS NOT NULL AND NOT rare THEN t.tag
   WHEN (SELECT bool_or(rare) FROM lv) THEN '(rare)' ELSE '(none)' END AS hot,
-  CASE WHEN lv.tag IS NOT NULL OR (SELECT bool_or(rare) FROM lv) THEN 1.0 ELSE 0.0 END AS total
+  CASE WHEN lv.tag IS NOT NULL OR (SELECT bool_or(rare) FROM lv) THEN CAST(1 AS DOUBLE) ELSE 0 END AS total
 FROM t LEFT JOIN lv ON t.tag = lv.tag""")
 def onehot_rare(spark, sf_dir):
     """Fitted on the orders before 1997; the tags of later years are unknown and share the rare column."""
@@ -168,7 +168,7 @@ def _scaled(spark, sf_dir, scaling: str) -> DataFrame:
 
 @query("scale_standard", """
 SELECT p_partkey, round((p_size - m1) / s1, 6) + 0.0 AS p_size, round((p_retailprice - m2) / s2, 6) + 0.0 AS p_retailprice,
-  0.0 AS flat FROM part, (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2,
+  CAST(0 AS DOUBLE) AS flat FROM part, (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2,
   stddev_pop(p_retailprice) AS s2 FROM part)""")
 def scale_standard(spark, sf_dir):
     return _scaled(spark, sf_dir, "standard")
@@ -176,7 +176,7 @@ def scale_standard(spark, sf_dir):
 
 @query("scale_minmax", """
 SELECT p_partkey, round((p_size - a1) / (b1 - a1), 6) + 0.0 AS p_size,
-  round((p_retailprice - a2) / (b2 - a2), 6) + 0.0 AS p_retailprice, 0.0 AS flat
+  round((p_retailprice - a2) / (b2 - a2), 6) + 0.0 AS p_retailprice, CAST(0 AS DOUBLE) AS flat
 FROM part, (SELECT min(p_size) AS a1, max(p_size) AS b1, min(p_retailprice) AS a2, max(p_retailprice) AS b2 FROM part)""")
 def scale_minmax(spark, sf_dir):
     return _scaled(spark, sf_dir, "minmax")
@@ -273,3 +273,18 @@ def encoded_feature_count(spark, sf_dir):
     c = _clean_messy(spark, sf_dir)
     prep = enc.fit_prep(c.df, c.numeric_features, c.categorical_features, MESSY_CONFIG)["all"]
     return spark.createDataFrame([(len(prep.feature_names),)], "n_features bigint")
+
+
+@query("prepared_target", """
+SELECT CAST(o_orderkey AS VARCHAR) AS _id, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS y FROM orders
+WHERE o_orderstatus <> 'F'""")
+def prepared_target(spark, sf_dir):
+    """A numeric target held as text: rows without a readable number are dropped."""
+    from tablelens import config as C
+    from tablelens.operators.compare import prepare_rows
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", F.lit("on request"))
+        .otherwise(F.format_string("%.2f", "o_totalprice")).alias("price"))
+    config = AnalysisConfig(target="price", key_columns=("o_orderkey",), analysis_type=C.REGRESSION)
+    clean = cl.clean_frame(df, profile_table(df, count_duplicate_rows=False), config)
+    return prepare_rows(clean, config, C.REGRESSION).df.select("_id", "y")

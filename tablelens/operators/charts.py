@@ -167,7 +167,7 @@ def importance_chart(importance: DataFrame, top_n: int = 15) -> DataFrame:
     return (
         importance.where(F.col("importance") > 0).orderBy(F.desc("importance"), "feature").limit(top_n)
         .select("feature", shorten(F.col("feature"), 24).alias("label"), "importance", "importance_pct",
-                F.lit(zero).alias("n_zero"))
+                F.lit(zero).cast("bigint").alias("n_zero"))
     )
 
 

@@ -107,6 +107,8 @@ def prepare_rows(clean: CleanTable, config: C.AnalysisConfig, task: str) -> Prep
     else:
         df = df.withColumn("y", number_of(df, "_target"))
     staged = stage(df.select("_id", "y", *[ref(f) for f in features]))
+    if config.key_columns and staged.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"the key columns {', '.join(config.key_columns)} do not identify the rows")
     total = staged.agg(F.count("*").alias("n"), F.count("y").alias("present")).first()
     rows = staged.where(F.col("y").isNotNull())
     if total["n"] > total["present"]:
@@ -282,11 +284,12 @@ def holdout_metrics(
         confusion = stage(met.confusion_matrix(predictions))
         if n_classes == 2:
             scored = predictions.select(F.col("probability")[1].alias("score"), (F.col("y") == 1).alias("positive"))
-            auc = met.roc_auc(scored).first()["auc"]
+            counts = stage(met.score_counts(scored))
+            auc = met.auc_of_counts(counts).first()["auc"]
             if auc is None:
                 notes.append("the held-out rows hold a single class: no ROC curve")
             else:
-                values["roc_auc"], roc = auc, met.roc_curve(scored)
+                values["roc_auc"], roc = auc, met.curve_of_counts(counts)
         else:
             values["roc_auc_ovr"] = met.auc_ovr(predictions).first()["auc"]
         majority = predictions.withColumn("prediction", F.lit(met.majority_baseline(train)))

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from .ranking import BUCKET_ROWS, descending_totals
 
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape_pct")
@@ -85,11 +86,6 @@ def score_counts(rows: DataFrame, score: str = "score", positive: str = "positiv
         F.count_if(F.col(positive)).alias("pos"), F.count_if(~F.col(positive)).alias("neg"))
 
 
-def _cumulated(rows: DataFrame, score: str, positive: str, bucket_rows: int) -> DataFrame:
-    counts = score_counts(rows, score, positive)
-    return descending_totals(counts, "score", ["pos", "neg"], bucket_rows=bucket_rows)
-
-
 def _won() -> Column:
     """Every negative is beaten by the positives above it and half of those beside it."""
     return F.sum(F.col("neg").cast("double") * (F.col("pos_to") - F.col("pos") / 2))
@@ -97,15 +93,24 @@ def _won() -> Column:
 
 def roc_auc(rows: DataFrame, score: str = "score", positive: str = "positive", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row (auc, n_pos, n_neg): exact area, ties counting one half; NULL unless both classes occur."""
-    c = _cumulated(rows, score, positive, bucket_rows)
+    return auc_of_counts(stage(score_counts(rows, score, positive)), bucket_rows=bucket_rows)
+
+
+def roc_curve(rows: DataFrame, score: str = "score", positive: str = "positive", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(threshold, fpr, tpr) from the origin (threshold NULL) down; points on a straight line are left out."""
+    return curve_of_counts(stage(score_counts(rows, score, positive)), bucket_rows=bucket_rows)
+
+
+def auc_of_counts(counts: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`roc_auc` from score counts, which are read several times and should be staged."""
+    c = descending_totals(counts, "score", ["pos", "neg"], bucket_rows=bucket_rows)
     total = c.agg(_won().alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return total.select(
         F.try_divide(F.col("won"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
-def roc_curve(rows: DataFrame, score: str = "score", positive: str = "positive", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(threshold, fpr, tpr) from the origin (threshold NULL) down; points on a straight line are left out."""
-    counts = score_counts(rows, score, positive)
+def curve_of_counts(counts: DataFrame, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`roc_curve` from score counts."""
     total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("score").alias("top")).first()
     c = descending_totals(counts, "score", ["pos", "neg"], bucket_rows=bucket_rows)
     end = F.col("pos_next").isNull() | (F.col("score") == F.lit(total["top"]))
@@ -113,15 +118,15 @@ def roc_curve(rows: DataFrame, score: str = "score", positive: str = "positive",
     points = c.where(end | bend).select(
         F.col("score").alias("threshold"), F.try_divide(F.col("neg_to"), F.lit(total["n"])).alias("fpr"),
         F.try_divide(F.col("pos_to"), F.lit(total["p"])).alias("tpr"))
-    origin = rows.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    origin = counts.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return origin.unionByName(points)
 
 
 def auc_ovr(rows: DataFrame, y: str = "y", probability: str = "probability", *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row (auc): every class against the rest, weighted by its size; `probability` is an array."""
     scored = rows.select(F.col(y).alias("y"), F.posexplode(probability).alias("c", "p"))
-    counts = scored.groupBy("c", "p").agg(
-        F.count_if(F.col("y") == F.col("c")).alias("pos"), F.count_if(F.col("y") != F.col("c")).alias("neg"))
+    counts = stage(scored.groupBy("c", "p").agg(
+        F.count_if(F.col("y") == F.col("c")).alias("pos"), F.count_if(F.col("y") != F.col("c")).alias("neg")))
     cumulated = descending_totals(counts, "p", ["pos", "neg"], group=["c"], bucket_rows=bucket_rows)
     per_class = cumulated.groupBy("c").agg(_won().alias("won"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.try_divide(F.col("won"), F.col("n_pos").cast("double") * F.col("n_neg"))

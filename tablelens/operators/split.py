@@ -27,8 +27,15 @@ END = "struct<h:string,k:string>"
 
 
 def row_key(key_columns: list[str]) -> Column:
-    """The identity of a row as text."""
-    return F.concat_ws("|", *[ref(k).cast("string") for k in key_columns])
+    """The identity of a row as text. With several columns separators inside values are escaped and
+    missing values marked, so that different keys stay different."""
+    if len(key_columns) == 1:
+        return ref(key_columns[0]).cast("string")
+    parts = []
+    for k in key_columns:
+        escaped = F.replace(F.replace(ref(k).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        parts.append(F.coalesce(escaped, F.lit("\\0")))
+    return F.concat_ws("|", *parts)
 
 
 def row_hash(key: Column, salt: str) -> Column:

@@ -76,6 +76,12 @@ def test_split_does_not_depend_on_partitioning(spark):
     assert a == b
 
 
+def test_keys_of_several_columns_stay_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"), ("a\\", "b"), ("a", "\\b"), ("\\0", "a"), ("a", "")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(sp.row_key(["x", "y"])).distinct().count() == len(rows)
+
+
 # -- metrics -----------------------------------------------------------------------------------------------
 def predictions(spark, y, p):
     return spark.createDataFrame(list(zip(map(float, y), map(float, p))), "y double, prediction double")

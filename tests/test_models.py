@@ -157,6 +157,12 @@ def test_names_of_ours_may_be_columns(spark):
     assert result.modeling.importance.first()["feature"] in ("features", "y_year")
 
 
+def test_repeated_keys_are_refused(spark):
+    df = spark.createDataFrame([(i // 2, float(i), float(i % 40)) for i in range(100)], "k int, x double, y double")
+    result = analyze(df, AnalysisConfig(target="y", key_columns=("k",), models=LIGHT))
+    assert not result.has_model and any("do not identify" in m for m in result.messages)
+
+
 def test_unusable_inputs_fall_back(spark):
     df = spark.createDataFrame([("same", float(i)) for i in range(40)], "c string, y double")
     r = analyze(df, AnalysisConfig(target="y", models=LIGHT))
