@@ -86,7 +86,7 @@ def price_by_quantity(spark, sf_dir) -> DataFrame:
     """Extended price predicted by its mean per quantity."""
     df = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
     means = df.groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("prediction"))
-    return df.join(F.broadcast(means), "l_quantity").select(
+    return df.join(means, "l_quantity").select(
         F.col("l_extendedprice").alias("y"), "prediction", F.col("l_returnflag").alias("g"))
 
 

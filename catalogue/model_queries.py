@@ -22,7 +22,7 @@ from .evaluate_queries import LINE_KEY, LINE_KEY_SQL, _hash_sql
 from .registry import query, table
 
 #: Small models, so that a whole comparison stays a matter of seconds.
-LIGHT = ModelSettings(n_trees=10, forest_depth=5, forest_bins=32, boosting_rounds=5, hist_bins=64, max_iter=100)
+LIGHT = ModelSettings(n_trees=10, forest_depth=5, forest_bins=32, boosting_rounds=5, hist_bins=64, max_iter=100, parallelism=4)
 CONTEXT = mo.FitContext(n_rows=0, n_classes=0, seed=42, settings=LIGHT)
 
 

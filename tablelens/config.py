@@ -54,6 +54,8 @@ class ModelSettings:
     hist_bins: int = 256
     max_iter: int = 2000
     neighbours: int = 5
+    #: Candidates fitted at the same time. Each keeps its own copy of the rows in memory.
+    parallelism: int = 2
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import time
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import number_of, ref
-from ..functions.staging import stage
+from ..functions.staging import stage, together
 from . import metrics as met
 from . import split as sp
 from .clean import CleanTable, LogEntry
@@ -155,6 +156,15 @@ def score(task: str, predicted: DataFrame) -> dict[str, float]:
     return m.first().asDict()
 
 
+def _try_candidate(s: CandidateScore, fit_rows: DataFrame, check_rows: DataFrame, task: str, context: FitContext) -> None:
+    started = time.perf_counter()
+    try:
+        s.folds.append(score(task, s.candidate.fit(fit_rows, context).predict(check_rows)))
+    except Exception as exc:  # a failing candidate must not end the comparison
+        s.error = str(exc)[:MAX_ERROR_TEXT] or type(exc).__name__
+    s.seconds += time.perf_counter() - started
+
+
 def cross_validate(
     rows: DataFrame, k: int, preps: dict[str, PrepModel], todo: list[Candidate], task: str, context: FitContext,
     sizes: dict[int, int],
@@ -172,14 +182,10 @@ def cross_validate(
             prep = preps[f"{fold}"] if scaled else preps[f"{fold}"].unscaled()
             vectors = prep.transform(train).select("_id", "y", "fold", "features").persist(StorageLevel.MEMORY_AND_DISK)
             ctx = FitContext(n_train - sizes.get(fold, 0), context.n_classes, context.seed, context.settings)
-            for s in mine:
-                started = time.perf_counter()
-                try:
-                    model = s.candidate.fit(vectors.where(F.col("fold") != fold), ctx)
-                    s.folds.append(score(task, model.predict(vectors.where(F.col("fold") == fold))))
-                except Exception as exc:  # a failing candidate must not end the comparison
-                    s.error = str(exc)[:MAX_ERROR_TEXT] or type(exc).__name__
-                s.seconds += time.perf_counter() - started
+            vectors.count()  # filled before several candidates read it
+            fit_rows, check_rows = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)
+            tasks = [partial(_try_candidate, s, fit_rows, check_rows, task, ctx) for s in mine]
+            together(rows.sparkSession, tasks, context.settings.parallelism)
             vectors.unpersist()
     return scores
 

@@ -65,6 +65,11 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, *, block_rows: int = B
                 cell[s], reach[s] = d2.argmin(axis=1), np.sqrt(d2.min(axis=1))
             yield b.assign(cell=cell, reach=reach)
 
+    if n_pivots > 1:
+        # Of training points that coincide only the first k can ever be neighbours: a point shared by many
+        # rows shrinks to k before it is shuffled.
+        copy_no = F.row_number().over(Window.partitionBy("v").orderBy("tid"))
+        train = train.withColumn("copy_no", copy_no).where(F.col("copy_no") <= k).drop("copy_no")
     placed = train.mapInPandas(to_cell, "tid string, v array<double>, y double, cell int, reach double")
     if n_pivots > 1:
         placed = stage(placed)

@@ -15,6 +15,7 @@ from .. import config as C
 from ..functions.columns import (
     NUMBER_TYPES, PROFILED_TYPES, STRING_TYPES, field_type, finite_or_none, number_of, present, ref,
 )
+from ..functions.staging import together
 from ..functions.text import significant
 from . import frequencies as freq
 from .correlation import correlation_matrix
@@ -143,8 +144,10 @@ def profile_table(
     overrides = overrides or {}
     names = [f.name for f in df.schema.fields]
     readable = [n for n in names if isinstance(field_type(df, n), PROFILED_TYPES)]
-    stats, n_rows = _wide_aggregate(df, names)
-    counted = _frequency_records(df, readable)
+    # Three reads of the table that do not depend on each other.
+    (stats, n_rows), counted, n_dup = together(df.sparkSession, [
+        lambda: _wide_aggregate(df, names), lambda: _frequency_records(df, readable),
+        lambda: count_duplicates(df)[1] if count_duplicate_rows else None], 3)
 
     kinds: dict[str, str] = {}
     for n in names:
@@ -182,7 +185,6 @@ def profile_table(
         columns.append(replace(c, exclusion_reason=exclusion_reason(c)))
 
     size = sum(s["n_bytes"] for s in stats.values()) / 1024 / 1024
-    n_dup = count_duplicates(df)[1] if count_duplicate_rows else None
     return TableProfile(df, columns, n_rows, len(names), size, n_dup, correlation_max_cols)
 
 

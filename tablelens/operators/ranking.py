@@ -37,13 +37,11 @@ def sorted_codes(levels: DataFrame, column: str, n_levels: int, *, as_number: bo
 
 def in_ranges(df: DataFrame, key: str, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add `bucket`: an ascending numeric range per row, each of roughly `bucket_rows` rows. The bounds
-    are literals, so that recomputed rows always fall into the same range."""
-    probs = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, marks = df.agg(F.count(key), F.percentile_approx(key, probs, 10 * MAX_BUCKETS)).first()
-    parts = min(MAX_BUCKETS, math.ceil(n / bucket_rows))
+    are literals, so that recomputed rows always fall into the same range. `df` should be staged."""
+    parts = min(MAX_BUCKETS, math.ceil(df.count() / bucket_rows))
     if parts <= 1:
         return df.withColumn("bucket", F.lit(0.0))
-    bounds = {marks[i * MAX_BUCKETS // parts - 1] for i in range(1, parts)}
+    bounds = set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0])
     splits = [-math.inf, *sorted(bounds), math.inf]
     return Bucketizer(splits=splits, inputCol=key, outputCol="bucket", handleInvalid="keep").transform(df)
 

@@ -11,7 +11,7 @@ from tablelens.operators import compare as cmp
 from tablelens.operators import importance as imp
 from tablelens.operators import models as mo
 
-LIGHT = ModelSettings(n_trees=5, forest_depth=4, forest_bins=32, boosting_rounds=3, hist_bins=32, max_iter=200)
+LIGHT = ModelSettings(n_trees=5, forest_depth=4, forest_bins=32, boosting_rounds=3, hist_bins=32, max_iter=200, parallelism=4)
 
 
 def compared(df, task, **options):

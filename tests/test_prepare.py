@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tablelens import AnalysisConfig, TablePrep, clean_frame, fit_prep, profile_table
@@ -95,6 +97,13 @@ def test_fold_statistics_come_from_fold_rows_only(spark):
     assert both["0"].feature_names == ["n", "c=x"]
 
 
+def test_inside_a_pipeline(spark):
+    df = spark.createDataFrame([(float(i), "ab"[i % 2], 3.0 * i + i % 2) for i in range(40)], "n double, c string, y double")
+    prep = TablePrep(["n"], ["c"], AnalysisConfig())
+    model = Pipeline(stages=[prep, LinearRegression(labelCol="y")]).fit(df)
+    assert model.transform(df).agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 1e-6
+
+
 def test_pipeline_stage(spark):
     df = spark.createDataFrame([(i, float(i), "ab"[i % 2]) for i in range(6)], "i int, n double, c string")
     model = TablePrep(["n"], ["c"], AnalysisConfig(), scale=False).fit(df)
