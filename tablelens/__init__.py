@@ -1,6 +1,7 @@
 """Automatic analysis of flat tables on Spark."""
 
 from .config import AnalysisConfig, ModelSettings
+from .functions.staging import temporary_copies
 from .operators.charts import chart_tables
 from .operators.clean import clean_frame
 from .operators.compare import ModelingResult, prepare_rows, run_comparison
@@ -17,5 +18,5 @@ __all__ = [
     "AnalysisConfig", "AnalysisResult", "LoadError", "LoadResult", "ModelSettings", "ModelingResult", "TablePrep",
     "TablePrepModel", "TableProfile", "analyze", "analyze_path", "chart_tables", "clean_frame", "fit_prep",
     "infer_column_type", "list_sheets", "load_table", "prepare_rows", "profile_table", "run_comparison",
-    "suggest_task_type", "write_report_tables",
+    "suggest_task_type", "temporary_copies", "write_report_tables",
 ]

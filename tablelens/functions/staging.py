@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Every copy written by this process that has not been removed.
+_paths: list[str] = []
+
+
+@contextmanager
+def temporary_copies(spark: SparkSession) -> Iterator[None]:
+    """Remove the copies staged inside the block at its end. Tables that read them are of no use afterwards:
+    write or collect what is wanted before."""
+    kept = len(_paths)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _paths[kept:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _paths[kept:]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder of this session. Only a local session may fall back to a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,6 +48,7 @@ def stage(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:
     and survive lost executors."""
     spark = reader or df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

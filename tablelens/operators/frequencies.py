@@ -20,6 +20,9 @@ DIGEST_MARK = "sha256:"
 
 KEY_TYPES = {"i": "bigint", "d": "double", "s": "string"}
 
+#: Columns expanded together; wide tables are read in several such groups.
+EXPANDED_COLUMNS = 64
+
 #: Values shown per column.
 N_SAMPLES = 5
 
@@ -64,18 +67,16 @@ def frequency_table(df: DataFrame, names: list[str]) -> DataFrame:
     Columns of one kind are expanded together and grouped by (col, value) with map-side counts, so a hot
     value costs nothing and each scan reads only the columns of its kind."""
     parts = []
-    for kind, sql_type in KEY_TYPES.items():
-        cells = [cell_key(n, field_type(df, n)).alias(str(k)) for k, n in enumerate(names)
-                 if cell_kind(field_type(df, n)) == kind]
-        if not cells:
-            continue
-        wide = df.select(*cells)
-        counted = (
-            wide.unpivot([], list(wide.columns), "col", "v").where(F.col("v").isNotNull())
-            .select(F.col("col").cast("int").alias("col"), "v").groupBy("col", "v").agg(F.count("*").alias("cnt"))
-        )
-        keys = [(F.col("v") if k == kind else F.lit(None).cast(t)).alias(k) for k, t in KEY_TYPES.items()]
-        parts.append(counted.select("col", *keys, "cnt"))
+    for kind in KEY_TYPES:
+        mine = [(k, n) for k, n in enumerate(names) if cell_kind(field_type(df, n)) == kind]
+        for i in range(0, len(mine), EXPANDED_COLUMNS):
+            wide = df.select(*[cell_key(n, field_type(df, n)).alias(str(k)) for k, n in mine[i : i + EXPANDED_COLUMNS]])
+            counted = (
+                wide.unpivot([], list(wide.columns), "col", "v").where(F.col("v").isNotNull())
+                .select(F.col("col").cast("int").alias("col"), "v").groupBy("col", "v").agg(F.count("*").alias("cnt"))
+            )
+            keys = [(F.col("v") if k == kind else F.lit(None).cast(t)).alias(k) for k, t in KEY_TYPES.items()]
+            parts.append(counted.select("col", *keys, "cnt"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,10 +132,6 @@ def auc_ovr(rows: DataFrame, y: str = "y", probability: str = "probability", *,
     return per_class.agg(F.try_divide(F.sum(auc * F.col("n_pos")), F.sum("n_pos")).alias("auc"))
 
 
-def probability_array(df: DataFrame, column: str = "probability") -> DataFrame:
-    return df.withColumn(column, vector_to_array(column))
-
-
 # -- baselines -----------------------------------------------------------------------------------------
 def mean_baseline(train: DataFrame, y: str = "y") -> float | None:
     return train.agg(F.avg(y)).first()[0]

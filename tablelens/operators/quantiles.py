@@ -9,6 +9,7 @@ exact whatever the sketch returned.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +27,7 @@ BRACKET_ROWS = 1_000_000
 #: Relative error of the bracketing sketch is 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 4_000
 NARROWING_BINS = 1_000
+LARGEST = sys.float_info.max / 4
 QUARTILES = (0.25, 0.5, 0.75)
 #: Expressions put into one aggregate.
 AGGREGATE_WIDTH = 120
@@ -173,16 +175,19 @@ def _narrow(
     found = stage(found)
     below = list(below)
     solved: dict[int, tuple[float, float]] = {}
+    before: dict = {}
     while True:
         sizes = found.groupBy("slot").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         wide = {r["slot"]: r for r in sizes if r["n"] > bracket_rows and r["lo"] < r["hi"]}
-        if not wide:
+        if not wide or wide == before:  # infinities and neighbouring doubles cannot be told apart further
             return found, below, solved
+        before = wide
         slot, x = F.col("slot"), F.col("x")
-        low = _by_slot({i: float(r["lo"]) for i, r in wide.items()})
-        step = _by_slot({i: float(r["hi"]) / NARROWING_BINS - float(r["lo"]) / NARROWING_BINS for i, r in wide.items()})
-        binned = found.withColumn(
-            "bin", F.when(slot.isin(*wide), F.least(F.floor((x - low) / step), F.lit(NARROWING_BINS - 1))))
+        lows = {i: _bounded(r["lo"]) for i, r in wide.items()}
+        steps = {i: _bounded(r["hi"]) / NARROWING_BINS - lows[i] / NARROWING_BINS for i, r in wide.items()}
+        place = F.floor((x - _by_slot(lows)) / _by_slot(steps))
+        binned = found.withColumn("bin", F.when(
+            slot.isin(*wide), F.greatest(F.lit(0), F.least(place, F.lit(NARROWING_BINS - 1)))))
         totals = (
             binned.where(F.col("bin").isNotNull())
             .groupBy("slot", "bin").agg(F.sum("cnt").alias("cnt"), F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -204,6 +209,11 @@ def _narrow(
             binned.where(F.col("bin").isNull() | (F.col("bin") == _by_slot(keep))).select("slot", "x", "cnt"))
 
 
+def _bounded(v: float) -> float:
+    """v within half the range of doubles, so that differences stay finite."""
+    return max(-LARGEST, min(LARGEST, float(v)))
+
+
 def _by_slot(values: dict[int, float]) -> Column:
     """A literal lookup from slot number to a value."""
     return F.try_element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col("slot"))

@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tablelens.config import AnalysisConfig
+from tablelens.functions.staging import temporary_copies
 from tablelens.plans.jobs import AnalysisResult, analyze_path
 from tablelens.sources.tidy import LoadError
 
@@ -53,15 +54,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         report_title=args.title, author=args.author, organization=args.org)
     spark = spark or SparkSession.builder.appName("tablelens").getOrCreate()
     try:
-        result = analyze_path(spark, args.input, config, sheet_name=args.sheet, output=args.out)
+        with temporary_copies(spark):
+            result = analyze_path(spark, args.input, config, sheet_name=args.sheet, output=args.out)
+            if not args.quiet:
+                print_result(result)
     except LoadError as exc:
         print(f"error: {exc}", file=sys.stderr)
         return 2
     except Exception as exc:
         print(f"error: the analysis failed: {exc}", file=sys.stderr)
         return 1
-    if not args.quiet:
-        print_result(result)
     return 0
 
 

@@ -1,11 +1,14 @@
 """Whole runs from a file to written report tables."""
 
 import datetime
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
-from tablelens import AnalysisConfig, analyze, analyze_path, write_report_tables
+from tablelens import AnalysisConfig, analyze, analyze_path, temporary_copies, write_report_tables
+from tablelens.functions.staging import stage
 from tablelens.plans import batch
 from tablelens.plans.report import SECTIONS, display_table, task_label
 
@@ -70,6 +73,15 @@ def test_dotted_and_blank_names_survive_everything(spark):
         t.limit(2).collect()
 
 
+def test_copies_are_removed(spark):
+    kept = stage(spark.range(3))
+    with temporary_copies(spark):
+        inner = stage(spark.range(5))
+        folder = Path(urlparse(inner.inputFiles()[0]).path).parent
+        assert folder.exists() and inner.count() == 5
+    assert not folder.exists() and kept.count() == 3
+
+
 def test_display_table(spark):
     df = spark.createDataFrame([(i, i / 7, None if i else "a") for i in range(5)], "i int, x double, s string")
     rows = display_table(df, 3, ["i"]).collect()

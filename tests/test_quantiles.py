@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tablelens.operators import frequencies
 from tablelens.operators.quantiles import exact_quantiles
 
 PROBS = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
@@ -51,6 +52,20 @@ def test_any_values(spark, values):
     check(spark, {"x": np.array(values) + 0.0}, small=0, accuracy=50, bracket_rows=3)
 
 
+def test_infinities(spark):
+    values = [float("-inf")] * 3 + [float(v) for v in range(200)] + [float("inf")] * 2
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = exact_quantiles(df, {"x": F.col("x")}, {"x": 205}, probs=(0.25, 0.5, 0.75), small=0, accuracy=5, bracket_rows=2)
+    assert got["x"] == [48.0, 99.0, 150.0]
+
+
+def test_wide_tables_are_read_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(frequencies, "EXPANDED_COLUMNS", 3)
+    df = spark.range(40).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(10)])
+    found = {r["col"]: r["n_unique"] for r in frequencies.frequency_summary(frequencies.frequency_table(df, df.columns)).collect()}
+    assert found == {i: i + 2 for i in range(10)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, {"x": F.col("x")}, {"x": 0}) == {"x": [None, None, None]}
