@@ -49,23 +49,31 @@ def simple_linear_fit(spark, sf_dir):
     return spark.createDataFrame([_line(model)], "slope double, intercept double")
 
 
-@query("ridge_fit", """
-WITH s AS (SELECT covar_pop(p_retailprice, p_size) * count(*) AS sxy, var_pop(p_size) * count(*) AS sxx,
-  avg(p_retailprice) AS my, avg(p_size) AS mx FROM part)
-SELECT round(sxy / (sxx + 1), 4) AS slope, round(my - sxy / (sxx + 1) * mx, 3) AS intercept FROM s""")
+# The discount varies little, so that the penalties weigh as much as the data.
+DISCOUNT_SQL = """(SELECT covar_pop(l_extendedprice, l_discount) AS c, var_pop(l_discount) AS v, count(*) AS n,
+  avg(l_extendedprice) AS my, avg(l_discount) AS mx FROM lineitem)"""
+
+
+def _price_by_discount(spark, sf_dir) -> DataFrame:
+    return _with_vector(table(spark, sf_dir, "lineitem").select(
+        F.col("l_extendedprice").alias("y"), F.col("l_discount").alias("quantity")))
+
+
+@query("ridge_fit", f"""
+WITH w AS (SELECT *, c * n / (v * n + 1) AS b FROM {DISCOUNT_SQL})
+SELECT round(b, 1) AS slope, round(my - b * mx, 1) AS intercept FROM w""")
 def ridge_fit(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("y"), F.col("p_size").cast("double").alias("quantity"))
-    context = mo.FitContext(df.count(), 0, 42, LIGHT)
-    return spark.createDataFrame([_line(mo.regression_candidates()[1].fit(_with_vector(df), context))], "slope double, intercept double")
+    df = _price_by_discount(spark, sf_dir)
+    slope, intercept = _line(mo.regression_candidates()[1].fit(df, mo.FitContext(df.count(), 0, 42, LIGHT)))
+    return spark.createDataFrame([(round(slope, 1), round(intercept, 1))], "slope double, intercept double")
 
 
-@query("elastic_net_fit", """
-WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v, avg(l_extendedprice) AS my,
-  avg(l_quantity) AS mx FROM lineitem), w AS (SELECT *, sign(c) * greatest(abs(c) - 0.05, 0) / (v + 0.05) AS b FROM s)
-SELECT round(b, 1) AS slope, round(my - b * mx, 0) AS intercept FROM w""")
+@query("elastic_net_fit", f"""
+WITH w AS (SELECT *, sign(c) * greatest(abs(c) - 0.05, 0) / (v + 0.05) AS b FROM {DISCOUNT_SQL})
+SELECT round(b, 1) AS slope, round(my - b * mx, 1) AS intercept FROM w""")
 def elastic_net_fit(spark, sf_dir):
-    slope, intercept = _line(mo.regression_candidates()[2].fit(_with_vector(_price_rows(spark, sf_dir)), CONTEXT))
-    return spark.createDataFrame([(round(slope, 1), float(round(intercept)))], "slope double, intercept double")
+    slope, intercept = _line(mo.regression_candidates()[2].fit(_price_by_discount(spark, sf_dir), CONTEXT))
+    return spark.createDataFrame([(round(slope, 1), round(intercept, 1))], "slope double, intercept double")
 
 
 # -- nearest neighbours ----------------------------------------------------------------------------------
