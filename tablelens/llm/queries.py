@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from ..functions.staging import stage
+from . import chat_format, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +59,16 @@ g AS (
   FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048, tokenizer="word_bpe_49k.json", end_id=0)
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as coded token files in the shared folder, and read back from there."""
+    files = stage(token_files.segments(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
+    return token_files.documents(files)
