@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import chat_format, packing, token_files
+from . import chat_format, decontaminate, language_crf, ngram_join, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +72,40 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as coded token files in the shared folder, and read back from there."""
     files = stage(token_files.segments(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
     return token_files.documents(files)
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose sets of three-word shingles are alike to nine tenths."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+ORACLES["op7_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS other FROM e UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n"""
+
+
+@query
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_crf.is_held_out(F.col("doc_id")))
+    model = language_crf.fit(docs.where("NOT held_out AND doc_id IS NOT NULL").select("text", "lang", F.col("doc_id").alias("key")))
+    return language_crf.predict(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, exactly or edited."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
