@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates words: space and U+0009 to U+000D.
-SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -15,10 +14,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", -1), lambda w: w != "")
 
 
-def without(text: Column, letters: str) -> Column:
-    return F.translate(text, letters, "")
-
-
 def upto(n: Column) -> Column:
     """0 to n - 1; empty for n < 1."""
     return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n.cast("int") - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import chat_format, decontaminate, language_crf, ngram_join, packing, token_files
+from . import chat_format, decontaminate, language_crf, ngram_join, packing, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,3 +109,11 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds, exactly or edited."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, hard rules and the verdict of the weighed votes for every document."""
+    figures = stage(quality_rules.figures(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return quality_rules.judged(figures).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
