@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import chat_format, decontaminate, language_crf, ngram_join, packing, quality_rules, token_files
+from . import chat_format, decontaminate, kd_shards, language_crf, line_dedup, ngram_join, packing, quality_rules, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     figures = stage(quality_rules.figures(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     return quality_rules.judged(figures).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of at least 50 words that occur earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed_lines", "text")
+
+
+@query
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    placed = kd_shards.shard(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
