@@ -3,21 +3,24 @@
 Both tokenizer files split a text before they merge, and never across a single space or a single line break between
 two other characters. So the ids of such a text are the ids of its space-led words and line breaks, one after the
 other, and each distinct word needs the library once. A text with any other white space between words (runs, tabs,
-at its ends, ...) is given to the library whole where that matters. A test compares both ways.
+at its ends, ...) is given to the library whole where that matters. Letters followed by one stop are split before it,
+as the files do; words of Latin-1 letters go to the library's model directly. A test compares both ways.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words remembered by one Python worker; when full the memory starts anew. Only speed depends on it.
-REMEMBERED = 400_000
-#: Words handed to the library in one string.
-AT_ONCE = 500
+#: Words remembered by one Python worker (some 0.2 kB each); when full the memory starts anew. Only speed depends on it.
+REMEMBERED = 1_600_000
+#: The letters that stand for bytes without a printable one in both vocabularies.
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(0, 33), *range(127, 161), 173])}
 
 _coders: dict[str, "Coder"] = {}
 
@@ -29,73 +32,65 @@ def coder(name: str) -> "Coder":
     return _coders[name]
 
 
+class Known(dict):
+    """A dictionary that finds what is missing."""
+
+    def __init__(self, find: Callable[[str], bytes | None]):
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self[word] = self.find(word)
+        return found
+
+
 class Coder:
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.byte_level = name.startswith("byte")  # white space counts, and a word differs from a space-led word
-        self.separator = "\n" if self.byte_level else " \x01 "
-        self.mark = self.tokenizer.encode(self.separator, add_special_tokens=False).ids[0]
-        self.line_break = self._whole("\n") if self.byte_level else b""
+        self.lead, self.line_break = (" ", self._whole("\n")) if self.byte_level else ("", b"")
         self._forget()
 
     def _forget(self) -> None:
-        self.led: dict[str, bytes | None] = {}  # words after a space
-        self.first: dict[str, bytes | None] = {} if self.byte_level else self.led  # words at a line's start
+        self.known = Known(self._ids)
+        self.stops = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str], known: dict[str, bytes | None], lead: str) -> None:
-        """Add the ids of `words` to `known`; None for those that must not be taken out of their text."""
-        def stem(word: str) -> str:
-            return word[:-1] if len(word) > 1 and word[-1] in ".," and word[:-1].isalpha() else word
-
-        todo = sorted({stem(w) for w in [*words, ".", ","]} - known.keys())
-        plain = []
-        for w in todo:
-            if w.split() == [w] and "\x01" not in w:
-                plain.append(w)
-            elif self.byte_level:
-                known[w] = None
-            else:
-                known[w] = self._whole(w)
-        blocks = [plain[i:i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
-        texts = [lead + (self.separator + lead).join(b) + self.separator for b in blocks]
-        for block, encoded in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
-            if len(ends) != len(block):  # a word holds the mark after all
-                known.update((w, self._whole(lead + w)) for w in block)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(block, ends):
-                known[w] = raw[4 * start:4 * end]
-                start = end + 1
-        stop = {c: self._whole(c) for c in ".,"}
-        for w in words:
-            if w not in known:
-                known[w] = known[w[:-1]] + stop[w[-1]]
+    def _letters(self, word: str, led: bool) -> bytes:
+        """Ids of a word of Latin-1 letters: one unit for the file's model, in the byte alphabet of its vocabulary."""
+        unit = word if self.byte_level else word.lower()
+        if not word.isascii():
+            unit = unit.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if self.byte_level and led:
+            unit = BYTE_LETTERS[0x20] + unit
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(unit)]).tobytes()
+
+    def _ids(self, word: str) -> bytes | None:
+        """Ids of a piece between spaces; None if it must not be taken out of its text. A piece that begins with a
+        line break stands at a line's start, all others come after a space."""
+        body = word[1:] if word[:1] == "\n" else word
+        led = body is word or not self.byte_level
+        stop = self.stops.get(body[-1:], b"") if body[:-1].isalpha() else b""
+        stem = body[:-1] if stop else body
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+            ids = self._letters(stem, led)
+        elif self.byte_level and stem.split() != [stem]:
+            return None
+        else:
+            ids = self._whole((self.lead if led else "") + stem)
+        return ids + stop if led else self.line_break + ids + stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a NULL text has none."""
-        if len(self.led) + len(self.first) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        split = [[line.split(" ") for line in (text or "").split("\n")] for text in texts]
-        first = {line[0] for lines in split for line in lines}
-        led: set[str] = set()
-        for lines in split:
-            for line in lines:
-                led.update(line[1:])
-        for words, known, lead in ((first, self.first, ""), (led, self.led, " " if self.byte_level else "")):
-            new = [w for w in words if w not in known]
-            if new:
-                self._learn(new, known, lead)
-        out = []
-        for text, lines in zip(texts, split):
+        skip, known, out = len(self.line_break), self.known.__getitem__, []
+        for text in texts:
+            words = ("\n" + (text or "")).replace("\n", " \n").split(" ")
             try:
-                out.append(self.line_break.join(
-                    [self.first[line[0]] + b"".join([self.led[w] for w in line[1:]]) for line in lines]))
+                out.append(b"".join(map(known, words[1:]))[skip:])
             except TypeError:  # a None among them
                 out.append(self._whole(text) if text else b"")
         return out
