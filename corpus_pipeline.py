@@ -1,20 +1,78 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that the one before has kept, and returns documents with
+the columns it was given; the last returns the packed pieces. Rows that a stage drops, and texts that it cuts, stay so.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablelens.functions.staging import stage
+from tablelens.llm import decontaminate, language_crf, line_dedup, ngram_join, packing
+
+#: Documents whose language is less certain than this are rejected; text in two or three languages is not.
+LEAST_SCORE = 0.3
+
+
+def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those whose words belong to no language in particular. The model learns from the
+    labelled documents that are not held out. Without any labelled document nothing can be rejected."""
+    learn = docs.where(F.col("doc_id").isNotNull() & ~language_crf.is_held_out(F.col("doc_id")))
+    model = language_crf.fit(learn.select("text", "lang", F.col("doc_id").alias("key")))
+    if model is None:
+        return docs
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = language_crf.predict(rows, model, ["row"])
+    return _restored(found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeats of at least 50 words of whole lines; a document of which nothing is left goes."""
+    cut = line_dedup.dedup_lines(docs)
+    changed = F.col("line_dedup.n_removed_lines") > 0
+    left = cut.where(~changed | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
 
-STAGES: list = []
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each group of documents alike in eight tenths of their five-word shingles."""
+    groups = ngram_join.jaccard_groups(docs, n=5, num=80, den=100)
+    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item, exactly or edited."""
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(stage(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    return packing.pack(docs, capacity=2048, tokenizer="word_bpe_49k.json", end_id=0)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
+#: A trained model, hashes and a tokenizer stand between SQL and the rows: tests hold them against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to `documents` in their order, each reading what the one before it has written."""
-    from tablelens.functions.staging import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs)
-    return docs
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from . import chat_format, decontaminate, kd_shards, language_crf, line_dedup, ngram_join, packing, quality_rules, token_files
+from . import (
+    chat_format, decontaminate, kd_shards, language_crf, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +133,50 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     placed = kd_shards.shard(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or its directory's. Documents have no path, so one is made of their columns:
+    short documents (at most 400 code points) stand as notices in source/lang/<1024 ids>, all others are files one
+    directory further down, in <32 ids>."""
+    notice = F.length(F.coalesce("text", F.lit(""))) <= 400
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.shiftright("doc_id", 10).cast("string"),
+                       F.when(~notice, F.shiftright("doc_id", 5).cast("string")), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"), notice.alias("notice"))
+    found = license_scan.licences(files, "doc_id", licence_file=F.col("notice"))
+    return found.select("doc_id", "licence.name", "licence.origin", "licence.score", "licence.directory")
+
+
+def _license_sql() -> str:
+    w = license_scan.weights(license_scan.TEMPLATES)
+    templates = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES.items())
+    return rf"""
+WITH t(name, txt) AS (VALUES {templates}),
+tt AS (SELECT name, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS term FROM t),
+tc AS (SELECT name, term, count(*) AS k FROM tt GROUP BY ALL),
+df AS (SELECT term, ln((1 + {len(license_scan.TEMPLATES)}) / (1.0 + count(*))) + 1 AS idf FROM tc GROUP BY term),
+tn AS (SELECT name, sqrt(sum((k * idf) ** 2)) AS norm FROM tc JOIN df USING (term) GROUP BY name),
+d AS (
+  SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || (doc_id >> 10) AS up2, length(coalesce(text, '')) <= 400 AS notice,
+    coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || (doc_id >> 10) ||
+      CASE WHEN length(coalesce(text, '')) <= 400 THEN '' ELSE '/' || (doc_id >> 5) END AS dir,
+    regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '([.!?])[ 	]+', '' || chr(10), 'g'), '
+') AS parts FROM documents),
+s AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) - 1 AS i FROM d),
+w AS (SELECT doc_id, i, unnest(regexp_extract_all(s, '[a-z0-9]+')) AS term FROM s),
+wc AS (SELECT doc_id, i, term, count(*) AS k FROM w GROUP BY ALL),
+wn AS (SELECT doc_id, i, sqrt(sum((k * coalesce(idf, {w['']!r})) ** 2)) AS own FROM wc LEFT JOIN df USING (term) GROUP BY ALL),
+dot AS (SELECT doc_id, i, name, sum(wc.k * tc.k * idf ** 2) AS dot FROM wc JOIN tc USING (term) JOIN df USING (term) GROUP BY ALL),
+sc AS (SELECT doc_id, i, name, round(dot / (norm * own), 6) AS score FROM dot JOIN tn USING (name) JOIN wn USING (doc_id, i)),
+own AS (
+  SELECT doc_id, name, score FROM sc WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i, name) = 1),
+spoken AS (
+  SELECT dir, name, score FROM d JOIN own USING (doc_id) WHERE notice
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, name, dir || '/' || doc_id) = 1)
+SELECT doc_id, coalesce(o.name, p.name) AS name, CASE WHEN o.name IS NOT NULL THEN 'own' WHEN p.name IS NOT NULL THEN 'inherited' END AS origin,
+  coalesce(o.score, p.score) AS score, CASE WHEN o.name IS NOT NULL THEN d.dir ELSE p.dir END AS directory
+FROM d LEFT JOIN own o USING (doc_id) LEFT JOIN spoken p ON p.dir = d.up2"""
+
+
+ORACLES["op1_license_scan"] = _license_sql()
