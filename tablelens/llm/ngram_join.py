@@ -4,16 +4,17 @@ A document's set holds its distinct n-word shingles (as 64-bit hashes; a documen
 sequence as one). Two documents link when the intersection is at least num/den of the union. Steps:
 
 1. Equal sets become one class, by (digest, size). Everything after that is about classes.
-2. Prefixes: with shingles in one order for all, frequent ones last, two linked sets share one of their first
-   n - ceil(n * num / den) + 1. The order only decides the cost: shingles found often within a block of documents
-   are summed up and the FREQUENT most frequent go last.
-3. Tiles: a prefix entry goes to the tile (shingle, size band); a set that may link into the next lower band visits
-   that tile too. A tile is sorted by size and streamed, never held as a whole.
-4. Each class is first compared with the least class of its tiles. What that links becomes groups. Then, tile by tile,
-   all pairs of different groups within the size ratio are bounded from above by hashed bitmap signatures (each shingle
-   flips one bit, so differing bits bound the symmetric difference from below); the pairs that pass go on. Pairs
-   within a group need no comparison for the groups, and no pair that may join two groups is left out.
-5. Pairs that pass are decided exactly on sorted arrays; links make the final groups.
+2. Size bands and tiles: two linked sets differ in at most (|x| + |y|) * (den - num) / (den + num) shingles. A band of
+   sizes has more slices of the hash range than that, so two linked sets agree in at least one slice in full. A tile
+   is (band, slice, hash of the slice's shingles); a class enters the tile of each of its slices, and if it may link
+   into the next lower band, that band's tiles as a visitor too. A slice holds several shingles, so neither frequent
+   shingles nor shared passages bring unlike documents together, and no order by frequency is needed.
+3. Hashed bitmap signatures: each shingle flips one bit, so differing bits bound the symmetric difference from below
+   and the intersection from above. Each class is first compared with the first class of its tiles; pairs that pass are
+   decided exactly, and what they link becomes groups. Then, tile by tile, all pairs of different groups are bounded by
+   sizes and signatures. Pairs within a group need no comparison for the groups, and no pair that may join two
+   groups is left out. A tile is sorted by size and streamed, never held as a whole.
+4. Pairs that pass are decided exactly on sorted arrays; links make the final groups.
 
 Defined cases: a NULL text, or one without words, has an empty set and links with nothing; equal texts always link;
 a row without an id takes the group of an equal set that has one, else NULL; rows of one id count as linked; other
@@ -23,7 +24,8 @@ columns are ignored; no documents give no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,6 @@ from .word_hashes import mix, shingles, words_of
 _U = np.uint64
 #: Words of a bitmap signature (64 bits each).
 SIGNATURE = 8
-#: Shingles that go last in the order. The list is bounded, so it may be sent to all executors (1 MB).
-FREQUENT = 65_536
-#: A shingle is reported as frequent from this many documents in a block of so many shingles on.
-BLOCK_SHINGLES, BLOCK_DOCS = 4_000_000, 12
 #: Rows of a tile compared at once.
 TILE_ROWS = 2_048
 
@@ -58,86 +56,95 @@ def _digest(values: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """Per document (kind 0): id, set size, digest of the set. Per block of documents (kind 1): a shingle that many of
-    them hold, and how many."""
-    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= BLOCK_DOCS
-        k = int(often.sum())
-        return _batch(np.ones(k, np.int32), pa.nulls(k, pa.int64()), counts[often], values[often].view(np.int64))
-
-    def _batch(kind, ids, sizes, values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), ids, pa.array(sizes, pa.int64()), pa.array(values, pa.int64())],
-                                          names=["kind", "doc_id", "n", "value"])
-
+    """(doc_id, n, digest, signature) of every document."""
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held, seen = [], 0, set()
         for batch, at, sets in _sets(batches, n):
-            digests = [_digest(s) for s in sets]
-            yield _batch(np.zeros(len(sets), np.int32), batch.column(0).slice(at, len(sets)), [len(s) for s in sets], digests)
-            for d, s in zip(digests, sets):
-                if d not in seen:  # copies don't make a shingle frequent
-                    seen.add(d)
-                    held.append(s)
-                    n_held += len(s)
-            if n_held >= BLOCK_SHINGLES:
-                yield frequent(held)
-                held, n_held, seen = [], 0, set()
-        if held:
-            yield frequent(held)
-
-    return docs.mapInArrow(scan, "kind int, doc_id long, n long, value long")
-
-
-def _frequent(scanned: DataFrame) -> np.ndarray:
-    """The most frequent shingles, the least frequent of them first."""
-    found = scanned.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(FREQUENT)
-    rows = found.collect()
-    return np.array([r.value for r in reversed(rows)], np.int64).view(_U)
-
-
-def _tiles(docs: DataFrame, n: int, num: int, den: int, last: np.ndarray) -> DataFrame:
-    """(tile, size, digest, visits) for the prefix of every set; a task reports a set once."""
-    by_value = np.argsort(last)
-    values_sorted, rank_of = last[by_value], by_value
-    bounds = [1]
-    while bounds[-1] < 1 << 40:  # bands of four times the ratio two linked sets may have
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * den**4 // num**4))
-    edges = np.array(bounds, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())],
+                names=["doc_id", "n", "digest", "signature"])
+
+    return docs.mapInArrow(scan, "doc_id long, n long, digest long, signature binary")
+
+
+class Bands:
+    """Bands of set sizes, each at least den / num wide, and the number of slices of each."""
+
+    def __init__(self, num: int, den: int):
+        bounds = [1]
+        while bounds[-1] < 1 << 40:
+            low = bounds[-1]
+            bounds.append(max(low + 1, low * 3 // 2, -(-low * den // num)))
+        self.bounds = np.array(bounds, np.int64)
+        slices, spare = [], []
+        for low, high in zip(bounds, bounds[1:]):
+            differ = (high - 1 + (high - 1) * den // num) * (den - num) // (den + num)
+            # slices that are empty by chance say nothing: add as many as a set of the least size may well have
+            total, empty = differ + 1, 0
+            for _ in range(20):
+                mean = total * math.exp(-low / total)
+                empty = math.ceil(mean + 4 * math.sqrt(mean))
+                total = differ + 1 + empty
+            slices.append(total if differ else 0)  # sets that must be equal are one class already
+            spare.append(empty)
+        self.slices, self.spare = np.array([*slices, 0], np.int64), np.array([*spare, 0], np.int64)
+
+    def of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, sizes, "right") - 1
+
+
+def _slice_tiles(flat: np.ndarray, size: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, set it is of) for sorted sets laid end to end."""
+    keep = bands.slices[band] > 0
+    owner = np.repeat(np.arange(len(size)), size)
+    flat, owner = flat[keep[owner]], owner[keep[owner]]
+    if not len(flat):
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    part = ((flat >> _U(32)) * bands.slices[band[owner]].astype(_U)) >> _U(32)
+    new = np.ones(len(flat), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
+    first = np.flatnonzero(new)
+    content = np.add.reduceat(mix(flat), first)
+    who, where = owner[first], part[first]
+    place = mix((band[who].astype(_U) << _U(44)) + where)
+    tiles = mix(content ^ place)
+    # a set with more empty slices than allowed for also enters the tiles of its empty slices
+    full = np.bincount(who, minlength=len(size))
+    extra = []
+    for i in np.flatnonzero(keep & (bands.slices[band] - full > bands.spare[band])).tolist():
+        empty = np.setdiff1d(np.arange(bands.slices[band[i]], dtype=_U), where[who == i])
+        extra.append((mix(mix((_U(int(band[i])) << _U(44)) + empty)), np.full(len(empty), i)))
+    if extra:
+        tiles, who = np.concatenate([tiles, *(x for x, _ in extra)]), np.concatenate([who, *(x for _, x in extra)])
+    return tiles, who
+
+
+def _tiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(tile, n, digest, visits) of every set; a task reports a set once."""
+    bands = Bands(num, den)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for _, _, sets in _sets(batches, n):
-            chosen, sizes, digests = [], [], []
+            chosen = {}
             for s in sets:
-                if not len(s):
-                    continue
-                key = (_digest(s), len(s))
-                if key in seen:
-                    continue
-                seen.add(key)
-                take = len(s) - (len(s) * num + den - 1) // den + 1
-                if len(values_sorted):
-                    where = np.minimum(np.searchsorted(values_sorted, s), len(values_sorted) - 1)
-                    hot = values_sorted[where] == s
-                    if hot.any():
-                        s = np.concatenate([s[~hot], s[hot][np.argsort(rank_of[where[hot]])]])
-                chosen.append(s[:take])
-                sizes.append(key[1])
-                digests.append(key[0])
+                key = (len(s), _digest(s))
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    chosen[key] = s
             if not chosen:
                 continue
-            each = np.array([len(c) for c in chosen])
-            values, size = np.concatenate(chosen), np.repeat(np.array(sizes, np.int64), each)
-            digest = np.repeat(np.array(digests, np.int64), each)
-            band = np.searchsorted(edges, size, "right") - 1
-            down = (band > 0) & (-(-size * num // den) < edges[band])
-            tile = np.concatenate([mix(values + _U(7) * band.astype(_U)), mix(values[down] + _U(7) * (band[down] - 1).astype(_U))])
-            visits = np.zeros(len(tile), bool)
-            visits[len(values):] = True
-            yield pa.RecordBatch.from_arrays([
-                pa.array(tile.view(np.int64)), pa.array(np.concatenate([size, size[down]])),
-                pa.array(np.concatenate([digest, digest[down]])), pa.array(visits)], names=["tile", "n", "digest", "visits"])
+            size, digest = (np.array(x, np.int64) for x in zip(*chosen))
+            held = list(chosen.values())
+            band = bands.of(size)
+            down = np.flatnonzero((band > 0) & (-(-size * num // den) < bands.bounds[band]))
+            parts = [(*_slice_tiles(np.concatenate(held), size, band, bands), np.arange(len(size)), False)]
+            if len(down):
+                parts.append((*_slice_tiles(np.concatenate([held[i] for i in down]), size[down], band[down] - 1, bands), down, True))
+            for tiles, who, index, visits in parts:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(tiles.view(np.int64)), pa.array(size[index[who]]), pa.array(digest[index[who]]),
+                    pa.array(np.full(len(tiles), visits))], names=["tile", "n", "digest", "visits"])
 
     return docs.mapInArrow(rows, "tile long, n long, digest long, visits boolean")
 
@@ -149,16 +156,14 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, n, signature, shingles) of the documents in `wanted` (node)."""
+    """(node, shingles) of the documents in `wanted` (node)."""
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_signature(s) for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "signature", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                             names=["node", "shingles"])
 
     held = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
-    return stage(held.mapInArrow(rows, "node long, n long, signature binary, shingles binary"))
+    return stage(held.mapInArrow(rows, "node long, shingles binary"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -179,83 +184,87 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of one tile, different groups, at least one of them at home, that sizes and signatures let
-    through. rows: (tile, n, node, visits, group, signature)."""
-    def block_pairs(x: dict, y: dict, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        differ = np.bitwise_count(x["signature"][:, None, :] ^ y["signature"][None, :, :]).sum(axis=2, dtype=np.int64)
-        sizes = x["n"][:, None] + y["n"][None, :]
-        most = (sizes - differ) // 2  # of the intersection
-        ok = (most * den >= num * (sizes - most)) & (x["group"][:, None] != y["group"][None, :])
-        ok &= np.minimum(x["n"][:, None], y["n"][None, :]) * den >= num * np.maximum(x["n"][:, None], y["n"][None, :])
-        ok &= ~(x["visits"][:, None] & y["visits"][None, :])
-        if same:
-            ok &= np.triu(np.ones(ok.shape, bool), 1)
-        i, j = np.nonzero(ok)
-        return x["node"][i], y["node"][j]
+def _may_link(x: dict, y: dict, num: int, den: int) -> np.ndarray:
+    """Which pairs the sizes and signatures let through; x and y broadcast against each other."""
+    differ = np.bitwise_count(x["signature"] ^ y["signature"]).sum(axis=-1, dtype=np.int64)
+    sizes = x["n"] + y["n"]
+    most = (sizes - differ) // 2  # of the intersection
+    ok = (most * den >= num * (sizes - most)) & (x["group"] != y["group"]) & ~(x["visits"] & y["visits"])
+    return ok & (np.minimum(x["n"], y["n"]) * den >= num * np.maximum(x["n"], y["n"]))
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        recent: list[dict] = []  # blocks of the running tile whose sets are large enough for what follows
-        tile = None
+def _streamed(rows: DataFrame, visit: Callable, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) from the rows (tile, n, node, visits, group, signature) sorted by tile and size; `visit` is
+    given runs of rows of a batch with their tiles' first rows and yields (a, b)."""
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
         for batch in batches:
-            names = batch.schema.names
-            c = {name: batch.column(i) for i, name in enumerate(names)}
-            tiles = c["tile"].to_numpy(zero_copy_only=False)
-            rows = {k: c[k].to_numpy(zero_copy_only=False) for k in ("n", "node", "visits", "group")}
-            rows["signature"] = np.frombuffer(b"".join(c["signature"].to_pylist()), _U).reshape(-1, SIGNATURE)
-            cuts = np.flatnonzero(np.diff(tiles)) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)]):
-                if a == b:
-                    continue
-                if tiles[a] != tile:
-                    tile, recent = tiles[a], []
-                for at in range(a, b, TILE_ROWS):
-                    block = {k: v[at:min(b, at + TILE_ROWS)] for k, v in rows.items()}
-                    least = -(-int(block["n"][0]) * num // den)
-                    recent = [r for r in recent if int(r["n"][-1]) >= least]
-                    for before in recent:
-                        if len((found := block_pairs(before, block, False))[0]):
-                            yield emit(*found)
-                    if len((found := block_pairs(block, block, True))[0]):
-                        yield emit(*found)
-                    recent.append(block)
-
-    sorted_rows = rows.select("tile", "n", "node", "visits", "group", "signature").repartition("tile").sortWithinPartitions("tile", "n")
-    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
+            if not batch.num_rows:
+                continue
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("tile", "n", "node", "visits", "group")}
+            rows["signature"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), _U).reshape(-1, SIGNATURE)
+            for a, b in visit(rows, state, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    ordered = rows.select("tile", "n", "node", "visits", "group", "signature").repartition("tile").sortWithinPartitions("tile", "n", "node")
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _with_first(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the first of its tile."""
+    new = np.ones(len(rows["tile"]), bool)
+    new[1:] = rows["tile"][1:] != rows["tile"][:-1]
+    if state and state["tile"][0] == rows["tile"][0]:  # the tile goes on from the batch before
+        new[0] = False
+        rows = {k: np.concatenate([state[k], v]) for k, v in rows.items()}
+        new = np.concatenate([[True], new])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    heads = {k: v[first] for k, v in rows.items()}
+    state.update({k: v[first[-1]:first[-1] + 1] for k, v in rows.items()})
+    ok = _may_link(heads, rows, num, den)
+    yield heads["node"][ok], rows["node"][ok]
+
+
+def _all_pairs(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a tile, block by block; blocks of sets too small for what follows are let go."""
+    cuts = (np.flatnonzero(np.diff(rows["tile"])) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(rows["tile"])]):
+        if state.get("tile") != rows["tile"][a]:
+            state.update(tile=rows["tile"][a], recent=[])
+        for at in range(a, b, TILE_ROWS):
+            block = {k: v[at:min(b, at + TILE_ROWS)] for k, v in rows.items()}
+            least = -(-int(block["n"][0]) * num // den)
+            state["recent"] = [r for r in state["recent"] if int(r["n"][-1]) >= least]
+            for before in [*state["recent"], block]:
+                ok = _may_link({k: v[:, None] for k, v in before.items()}, {k: v[None] for k, v in block.items()}, num, den)
+                i, j = np.nonzero(np.triu(ok, 1) if before is block else ok)
+                yield before["node"][i], block["node"][j]
+            state["recent"].append(block)
 
 
 def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): each document's set size, and the least id that links reach from it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = stage(_scan(docs, n))
-    every = scanned.where("kind = 0").select("doc_id", "n", F.col("value").alias("digest"))
-    last = _frequent(scanned)
-    classes = every.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"))
+    every = stage(_scan(docs, n))
+    classes = every.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
 
     # tiles that hold more than one class
     tile = Window.partitionBy("tile").orderBy("digest", "n")
-    rows = _tiles(docs, n, num, den, last)
-    rows = rows.withColumn("before", F.lag("digest").over(tile)).withColumn("after", F.lead("digest").over(tile))
+    rows = _tiles(docs, n, num, den).withColumn("before", F.lag("digest").over(tile)).withColumn("after", F.lead("digest").over(tile))
     rows = rows.where("before <> digest OR after <> digest").select("tile", "n", "digest", "visits").distinct()
-    shared = stage(rows.join(classes, ["n", "digest"]).where("node IS NOT NULL").select("tile", "n", "node", "visits"))
-
-    # each class against the least one of its tiles that lives there
-    heads = shared.where("NOT visits").groupBy("tile").agg(F.min("node").alias("head"), F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    first = shared.join(heads, "tile").where("node <> head").groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a"))
-    first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = shared.select("node").distinct()
-    sets = _full_sets(docs, nodes, n)
+    shared = stage(rows.join(classes, ["n", "digest"]).where("node IS NOT NULL").select("tile", "n", "node", "visits", "signature"))
+    sets = _full_sets(docs, shared.select("node").distinct(), n)
+
+    # each class against the first one of its tiles
+    first = _streamed(shared.withColumn("group", F.col("node")), _with_first, num, den)
+    first = stage(first.groupBy("b").agg(F.min("a").alias("a")))
     links = stage(_linked(first, sets, num, den))
     groups = stage(components(links))
 
     # what may join two groups
-    open_rows = shared.join(groups, "node", "left").select("tile", "n", "node", "visits", F.coalesce("component", "node").alias("group"))
+    open_rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
     several = open_rows.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
-    open_rows = open_rows.join(several, "tile").join(sets.select("node", "signature"), "node")
-    pairs = _candidates(open_rows, num, den).join(first, ["a", "b"], "left_anti")
+    pairs = _streamed(open_rows.join(several, "tile"), _all_pairs, num, den).join(first, ["a", "b"], "left_anti")
     found = links.unionByName(_linked(pairs, sets, num, den))
     final = stage(components(stage(found)))
 
