@@ -60,59 +60,55 @@ def shard(docs: DataFrame, shards: int, dimensions: dict[str, Column] | None = N
             break
         if not whole:
             whole = {n: (extents[0][f"hi_{n}"] - extents[0][f"lo_{n}"]) or 1.0 for n in names}
-        cuts = _cuts(rows, extents, leaves, names, whole)
-        rows = stage(rows.withColumn("cell", _per_cell({
-            c: F.when(cut["left"], F.lit(c)).otherwise(F.lit(c + leaves[c] // 2)) for c, cut in cuts.items()}, F.col("cell"))))
+        rows, cuts = _cuts(rows, extents, leaves, names, whole)
+        rows = rows.withColumn("cell", _per_cell({
+            c: F.when(left, F.lit(c)).otherwise(F.lit(c + leaves[c] // 2)) for c, left in cuts.items()}, F.col("cell"))).drop("ka")
         for c in [c for c, k in leaves.items() if k > 1]:
             half = leaves[c] // 2
             leaves[c], leaves[c + half] = half, leaves[c] - half
     return _slots(rows)
 
 
-def _cuts(rows: DataFrame, extents: list, leaves: dict[int, int], names: list[str], whole: dict[str, float]) -> dict[int, dict]:
-    """Per cell the condition `left` for its lower part."""
+def _cuts(rows: DataFrame, extents: list, leaves: dict[int, int], names: list[str], whole: dict[str, float]) -> tuple[DataFrame, dict[int, Column]]:
+    """The rows with `ka`, the upper part of their place in their cell's order, and per cell the condition for its lower part."""
     quantised, target = {}, {}
     top = (1 << COORDINATE_BITS) - 1
     for e in extents:
         width = {n: (e[f"hi_{n}"] - e[f"lo_{n}"]) / whole[n] for n in names}
         n = max(names, key=lambda x: width[x])
         span = (e[f"hi_{n}"] - e[f"lo_{n}"]) or 1.0
-        quantised[e["cell"]] = F.floor((F.col(n) - e[f"lo_{n}"]) / span * top)
+        quantised[e["cell"]] = F.floor((F.col(n) - e[f"lo_{n}"]) / span * top).cast("long")
         target[e["cell"]] = e["bytes"] * (leaves[e["cell"]] // 2) / leaves[e["cell"]]
-    ka = F.shiftleft(_per_cell(quantised, F.lit(0)).cast("long"), 32).bitwiseOR(F.col("crc"))
-    keyed = rows.where(F.col("cell").isin(list(target))).select("cell", "size", "kb", ka.alias("ka"))
-    found: dict[int, dict] = {c: {"ka": (0, 44), "kb": (0, HASH_BITS), "base": 0} for c in target}  # (prefix, bits not yet known)
-    running = set(target)
+    ka = F.shiftleft(_per_cell(quantised, F.lit(0).cast("long")), 32).bitwiseOR(F.col("crc"))
+    rows = stage(rows.withColumn("ka", ka))
+    known = {c: {"ka": (0, 44), "kb": (0, HASH_BITS), "base": 0, "low": True} for c in target}  # (prefix, bits not yet known)
+    running = sorted(target)
     for key, shift, bits in DIGITS:
         if not running:
             break
-        agrees = F.lit(False)
-        for c in running:
-            same = F.col("cell") == c
-            for k in ("ka", "kb"):
-                prefix, rest = found[c][k]
-                same = same & (F.shiftright(k, rest) == prefix)
-            agrees = agrees | same
+        agrees = F.lit(True)
+        for k in ("ka", "kb"):  # all cells still running know the same number of digits
+            prefix = F.create_map(*[F.lit(x) for c in running for x in (c, known[c][k][0])])
+            agrees = agrees & (F.shiftright(k, known[running[0]][k][1]) == F.try_element_at(prefix, F.col("cell")))
         digit = F.shiftright(key, shift).bitwiseAND(F.lit((1 << bits) - 1))
-        sums = keyed.where(agrees).groupBy("cell", digit.alias("digit")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-        for c in sorted(running):
+        sums = rows.where(agrees).groupBy("cell", digit.alias("digit")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+        for c in list(running):
             mine = sorted((r["digit"], r["bytes"], r["n"]) for r in sums if r["cell"] == c)
-            at = found[c]["base"]
+            at = known[c]["base"]
             for d, size, n in mine:
                 if at + size >= target[c] or d == mine[-1][0]:
                     break
                 at += size
-            found[c][key] = ((found[c][key][0] << bits) | d, shift)
             # the documents of this digit go where that leaves the cut nearer to its target, once they are not divided further
-            found[c] |= {"base": at, "low": at + size / 2 <= target[c]}
+            known[c] |= {key: ((known[c][key][0] << bits) | d, shift), "base": at, "low": at + size / 2 <= target[c]}
             if n == 1 or at + size == target[c]:
-                running.discard(c)
-    out = {}
-    for c, f in found.items():
+                running.remove(c)
+    left = {}
+    for c, f in known.items():
         (pa, ra), (pb, rb) = f["ka"], f["kb"]
-        key_a, key_b = F.shiftright(F.shiftleft(quantised[c].cast("long"), 32).bitwiseOR(F.col("crc")), ra), F.shiftright("kb", rb)
-        out[c] = {"left": (key_a < pa) | ((key_a == pa) & ((key_b < pb) | ((key_b == pb) & F.lit(f["low"]))))}
-    return out
+        a, b = F.shiftright("ka", ra), F.shiftright("kb", rb)
+        left[c] = (a < pa) | ((a == pa) & ((b < pb) | ((b == pb) & F.lit(f["low"]))))
+    return rows, left
 
 
 def _slots(rows: DataFrame) -> DataFrame:
