@@ -27,7 +27,7 @@ def test_texts_and_roles_come_back(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, c int").withColumn("parts", chat_format.text_part(F.col("text")))
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
     for conv in {r[0] for r in rows}:
-        own = [(r[2] or "", r[3] or "") for r in sorted(rows) if r[0] == conv] if False else [(r[2] or "", r[3] or "") for r in rows if r[0] == conv]
+        own = [(r[2] or "", r[3] or "") for r in rows if r[0] == conv]
         assert [(t.role, t.text) for t in got[conv].turns] == own
         assert got[conv].loss_text == "".join(t for role, t in own if role == "assistant")
         assert got[conv].n_turns == len(own)
