@@ -143,24 +143,29 @@ def cross_validation(spark, sf_dir):
 
 
 @query("permutation_importance", f"""
-WITH t AS (SELECT l_extendedprice AS y, l_quantity AS x, {LINE_KEY_SQL} AS k FROM lineitem),
+WITH t AS (SELECT l_extendedprice * (1 - l_discount) AS y, l_extendedprice AS x1, l_discount AS x2, {LINE_KEY_SQL} AS k FROM lineitem),
 h AS (SELECT *, row_number() OVER (ORDER BY {_hash_sql('k', '42')}) <= ceil(count(*) OVER () * 0.2) AS test FROM t),
-m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM h WHERE NOT test),
-o AS (SELECT y, x, row_number() OVER (ORDER BY {_hash_sql('k', '42p')}) - 1 AS p, count(*) OVER () AS n FROM h WHERE test),
+c AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_pop(y, x1) AS c1, covar_pop(y, x2) AS c2, var_pop(x1) AS v1, var_pop(x2) AS v2,
+      covar_pop(x1, x2) AS v12 FROM h WHERE NOT test),
+b AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 ** 2) AS b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 ** 2) AS b2 FROM c),
+o AS (SELECT y, x1, x2, row_number() OVER (ORDER BY {_hash_sql('k', '42p')}) - 1 AS p, count(*) OVER () AS n FROM h WHERE test),
 v AS (SELECT var_pop(y) * count(*) AS sst FROM o),
-e AS (SELECT r, 1 - sum((o.y - a - b * d.x) ** 2) / any_value(sst) AS r2 FROM o, range(11) g(r), m, v,
-      o AS d WHERE d.p = (o.p + r) % o.n AND r <= CASE WHEN o.n <= 5000 THEN 10 ELSE 5 END GROUP BY r)
-SELECT 'quantity' AS feature, round((SELECT r2 FROM e WHERE r = 0) - avg(r2), 5) AS importance, CAST(100 AS DOUBLE) AS importance_pct
-FROM e WHERE r > 0""")
+e AS (SELECT r, col, 1 - sum((o.y - my - b1 * (CASE WHEN col = 1 THEN d.x1 ELSE o.x1 END - m1) - b2 * (CASE WHEN col = 2 THEN d.x2 ELSE o.x2 END - m2)) ** 2)
+      / any_value(sst) AS r2 FROM o, range(6) g(r), (VALUES (1), (2)) q(col), b, v, o AS d WHERE d.p = (o.p + r) % o.n GROUP BY r, col),
+i AS (SELECT CASE col WHEN 1 THEN 'price' ELSE 'discount' END AS feature,
+      greatest(0, (SELECT max(r2) FROM e WHERE r = 0) - avg(r2) FILTER (r > 0)) AS imp FROM e GROUP BY col)
+SELECT feature, round(imp, 5) AS importance, round(imp / sum(imp) OVER () * 100, 1) AS importance_pct FROM i""")
 def permutation(spark, sf_dir):
-    """Blocks of 50,000 rows: at this scale the held-out rows exchange values within one block."""
-    rows = _price_rows(spark, sf_dir)
+    """Revenue by price and discount: the model needs both."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        sp.row_key(LINE_KEY).alias("_id"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"),
+        F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"))
     parts = sp.holdout_split(rows, ["_id"], rows.count()).assign(rows, "part")
     train, test = parts.where("part = 1"), parts.where("part = 0")
-    prep = enc.fit_prep(train, ["quantity"], [], AnalysisConfig())["all"]
+    prep = enc.fit_prep(train, ["price", "discount"], [], AnalysisConfig())["all"]
     model = mo.regression_candidates()[0].fit(prep.transform(train), CONTEXT)
-    out = permutation_importance(model, prep, test, {"quantity": "quantity"}, C.REGRESSION, test.count(), 42)
-    return out.withColumn("importance", F.round("importance", 5))
+    out = permutation_importance(model, prep, test, {"price": "price", "discount": "discount"}, C.REGRESSION, test.count(), 42)
+    return out.withColumns({"importance": F.round("importance", 5), "importance_pct": F.round("importance_pct", 1)})
 
 
 @query("fallback_importance")

@@ -80,6 +80,8 @@ class AnalysisConfig:
     random_state: int = 42
     max_models: int = 8
     compute_importance: bool = True
+    #: How often each column is shuffled for its importance, whatever the number of rows.
+    importance_repeats: int = 5
     models: ModelSettings = ModelSettings()
 
     report_title: str = "Automatic data analysis report"

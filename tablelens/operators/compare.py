@@ -250,7 +250,8 @@ def run_comparison(rows: PreparedRows, config: C.AnalysisConfig, task: str) -> M
     if config.compute_importance:
         try:
             columns = {f"{FEATURE}{c}": c for c in table.features}
-            importance = permutation_importance(model, prep, test, columns, task, n_test, config.random_state)
+            importance = permutation_importance(model, prep, test, columns, task, n_test, config.random_state,
+                                                config.importance_repeats)
         except Exception as exc:
             notes.append(f"permutation importance failed, built-in importance is shown instead ({str(exc)[:100]})")
             importance = fallback_importance(spark, model, prep, shown)

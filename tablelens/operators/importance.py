@@ -5,74 +5,63 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import ref
+from ..functions.staging import stage
 from . import metrics as met
 from .encode import PrepModel
 from .models import FittedModel
 from .split import row_hash
 
-#: Rows that exchange values with each other. A block is a random subset of the rows.
-BLOCK_ROWS = 50_000
-MANY_ROWS = 5_000
+#: Rows that one task puts in order; only the plan depends on it.
+BUCKET_ROWS = 50_000
 IMPORTANCE = "feature string, importance double, importance_pct double"
 
 
-def n_repeats(n_rows: int) -> int:
-    return 10 if n_rows <= MANY_ROWS else 5
-
-
-def with_donors(rows: DataFrame, columns: list[str], n_rows: int, repeats: int, seed: int) -> DataFrame:
-    """Add `donors`: for every repeat the values of another row, such that each row donates exactly once.
-
-    Within a random block in random order, repeat r takes the row r places on, around the end: one
-    shuffle serves all repeats, and no task sees more than a block."""
-    blocks = max(1, math.ceil(n_rows / BLOCK_ROWS))
-    h = row_hash(F.col("_id"), f"{seed}p")
-    keyed = rows.withColumn("_h", h).withColumn("_block", F.pmod(F.xxhash64("_h"), F.lit(blocks)))
-    order = Window.partitionBy("_block").orderBy("_h", "_id")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    values = F.struct(*[ref(c) for c in columns])
-    placed = keyed.select(
-        "*", F.row_number().over(order).alias("_rn"), F.count("*").over(Window.partitionBy("_block")).alias("_cnt"),
-        F.array(*[F.nth_value(values, i).over(whole) for i in range(1, repeats + 1)]).alias("_heads"),
-        *[F.lead(values, r).over(order).alias(f"_next{r}") for r in range(1, repeats + 1)],
-    )
-    rn, cnt, heads = F.col("_rn"), F.col("_cnt"), F.col("_heads")
-
-    def donor(r: int) -> Column:
-        step = F.lit(1) + F.pmod(F.lit(r - 1), F.greatest(cnt - 1, F.lit(1)))
-        around = F.when(cnt > repeats, rn + r - cnt).otherwise(F.pmod(rn - 1 + step, cnt) + 1)
-        return F.when((cnt > repeats) & (rn + r <= cnt), F.col(f"_next{r}")).otherwise(
-            F.try_element_at(heads, around.cast("int")))
-
-    return placed.select(*[ref(c) for c in rows.columns], F.array(*[donor(r) for r in range(1, repeats + 1)]).alias("donors"))
-
-
-def permuted_rows(rows: DataFrame, columns: list[str], n_rows: int, repeats: int, seed: int) -> DataFrame:
-    """Every row once per repeat and column, with that one column's value exchanged; `_col` and `_rep` say which."""
-    donors = with_donors(rows, columns, n_rows, repeats, seed)
-    each = donors.select("*", F.posexplode("donors").alias("_rep", "_donor")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("_col"))
-    swapped = [
-        F.when(F.col("_col") == i, F.col("_donor")[c]).otherwise(ref(c)).alias(c) for i, c in enumerate(columns)]
-    return each.select(
-        F.concat_ws("|", "_id", "_rep", "_col").alias("_id"), "y", "_rep", "_col", *swapped)
+def with_places(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """Add `_place`: the position of each row in the order of a hash of `_id`, from 0. Rows are numbered within leading
+    digits of the hash, and the digits' sizes added up."""
+    digits = max(0, math.ceil(math.log(max(1, n_rows / BUCKET_ROWS), 16)))
+    keyed = rows.withColumn("_h", row_hash(F.col("_id"), f"{seed}p")).withColumn("_bucket", F.substring("_h", 1, digits))
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row per bucket
+    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_h", "_id"))
+    numbered = keyed.withColumn("_own", own).join(offsets, "_bucket")
+    return numbered.withColumn("_place", F.col("_before") + F.col("_own") - 1).drop("_h", "_bucket", "_own", "_before")
+
+
+def exchanged(encoded: DataFrame, owners: list[int], n_columns: int, n_rows: int, repeats: int) -> DataFrame:
+    """Every row once per repeat and column, with the slots of that one column taken from another row; `_col` and `_rep`
+    say which. encoded: (_id, y, _place, f), owners: the column of each slot of f. In repeat r a row takes from the row r
+    places on, around the end of all rows, so every row gives exactly once in each repeat."""
+    step = F.col("_rep") % max(n_rows - 1, 1) + 1
+    asking = encoded.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_rep")).withColumn(
+        "_from", (F.col("_place") + step) % n_rows)
+    giving = encoded.select(F.col("_place").alias("_from"), F.col("f").alias("g"))
+    each = asking.join(giving, "_from").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_columns - 1))).alias("_col"))
+    owner = F.array(*[F.lit(o) for o in owners])
+    swapped = F.transform("f", lambda x, i: F.when(F.get(owner, i) == F.col("_col"), F.get("g", i)).otherwise(x))
+    return each.select(F.concat_ws("|", "_id", "_rep", "_col").alias("_id"), "y", "_rep", "_col", swapped.alias("f"))
 
 
 def permutation_importance(
-    model: FittedModel, prep: PrepModel, test: DataFrame, columns: dict[str, str], task: str, n_test: int, seed: int
+    model: FittedModel, prep: PrepModel, test: DataFrame, columns: dict[str, str], task: str, n_test: int, seed: int,
+    repeats: int = 5,
 ) -> DataFrame:
     """(feature, importance, importance_pct): mean loss of R2 or weighted F1 when one input column is
-    shuffled, not below 0, largest first. `columns` gives the name to show for each column. All columns
-    and repeats are scored in one job."""
-    keys = ["_rep", "_col"]
-    rows = permuted_rows(test.select("_id", "y", *[ref(c) for c in columns]), list(columns), n_test, n_repeats(n_test), seed)
-    predicted = model.predict(prep.transform(rows).select("_id", "y", *keys, "features"))
-    plain = model.predict(prep.transform(test).select("_id", "y", "features"))
+    shuffled, not below 0, largest first. `columns` gives the name to show for each column. Rows are encoded once, and
+    only the encoded slots of a column change places; all columns and repeats are scored in one job."""
+    keys, names = ["_rep", "_col"], list(columns)
+    owners = [names.index(s) if s in columns else -1 for s in prep.feature_sources]
+    encoded = prep.transform(test).select("_id", "y", vector_to_array("features").alias("f"))
+    encoded = stage(with_places(encoded, n_test, seed))
+    rows = exchanged(encoded, owners, len(names), n_test, repeats)
+    predicted = model.predict(rows.select("_id", "y", *keys, array_to_vector("f").alias("features")))
+    plain = model.predict(encoded.select("_id", "y", array_to_vector("f").alias("features")))
     if task == C.REGRESSION:
         scores = met.regression_metrics(predicted, keys).select("_col", F.col("r2").alias("s"))
         base = met.regression_metrics(plain).first()["r2"]
