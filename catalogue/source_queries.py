@@ -27,10 +27,63 @@ def _written(spark, sf_dir, name: str, *, sep: str = ",", encoding: str = "UTF-8
 
 
 @query("load_csv", """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""")
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') AS o_orderdate, o_orderpriority FROM orders""")
 def load_csv(spark, sf_dir):
-    got = load_table(spark, _written(spark, sf_dir, "orders"))
-    return got.df.drop("o_orderdate")
+    return load_table(spark, _written(spark, sf_dir, "orders")).df.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+def _as_text(spark, header: str, rows: DataFrame) -> str:
+    """A folder with one text file, as a header stands at its top; the rows keep their letters as they are."""
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.csv"
+    lines = spark.createDataFrame([(header,)], "line string").unionAll(rows)
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@query("load_csv_long_ids", """
+SELECT '7' || lpad(CAST(c_custkey AS VARCHAR), 22, '0') AS id, c_custkey * 1000000000 AS fits, c_acctbal AS amount FROM customer""")
+def load_csv_long_ids(spark, sf_dir):
+    """Ids of 23 digits, which no number type holds."""
+    rows = table(spark, sf_dir, "customer").select(F.concat_ws(
+        ",", F.concat(F.lit("7"), F.lpad(F.col("c_custkey").cast("string"), 22, "0")), (F.col("c_custkey") * 1000000000).cast("string"),
+        F.col("c_acctbal").cast("string")))
+    return load_table(spark, _as_text(spark, "id,fits,amount", rows)).df
+
+
+@query("load_csv_ragged", """
+SELECT n_nationkey AS key, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'x,' || n_regionkey END AS _extra,
+  (SELECT count(*) FILTER (n_nationkey % 3 = 0) || ' rows have more fields than the header; they are kept in ' || chr(39) || '_extra' || chr(39)
+   FROM nation) AS note FROM nation""")
+def load_csv_ragged(spark, sf_dir):
+    """Every third row has two fields more than the header."""
+    rows = table(spark, sf_dir, "nation").select(F.concat_ws(
+        ",", F.col("n_nationkey").cast("string"), "n_name",
+        F.when(F.col("n_nationkey") % 3 == 0, F.concat_ws(",", F.lit("x"), F.col("n_regionkey").cast("string")))))
+    got = load_table(spark, _as_text(spark, "key,name", rows))
+    note = got.notes_table(spark).where("note LIKE '%more fields%'").first()["note"]
+    return got.df.withColumn("note", F.lit(note))
+
+
+@query("load_csv_replacement_letter", """
+SELECT o_orderkey AS key, '우선 ' || CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN chr(65533) ELSE o_orderpriority END AS text
+FROM orders""")
+def load_csv_replacement_letter(spark, sf_dir):
+    """Valid UTF-8 that holds the letter U+FFFD once."""
+    orders = table(spark, sf_dir, "orders")
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    rows = orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(
+        F.lit("우선 "), F.when(F.col("o_orderkey") == least, "�").otherwise(F.col("o_orderpriority")))))
+    return load_table(spark, _as_text(spark, "key,text", rows)).df
+
+
+@query("load_csv_quotes", """
+SELECT p_partkey AS key, CAST(p_size AS VARCHAR) || '"' AS size, CASE WHEN p_partkey % 2 = 0 THEN 'a;b,"' ELSE p_brand END AS text FROM part""")
+def load_csv_quotes(spark, sf_dir):
+    """Inch marks inside fields, and quoted fields with separators and doubled quotes."""
+    quoted = F.when(F.col("p_partkey") % 2 == 0, F.lit('"a;b,"""')).otherwise(F.col("p_brand"))
+    rows = table(spark, sf_dir, "part").select(F.concat_ws(
+        ",", F.col("p_partkey").cast("string"), F.concat(F.col("p_size").cast("string"), F.lit('"')), quoted))
+    return load_table(spark, _as_text(spark, "key,size,text", rows)).df
 
 
 @query("load_csv_semicolon", """
@@ -56,7 +109,7 @@ def encodings(spark, sf_dir):
     for charset in ("UTF-8", "MS949"):
         path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.csv"
         marked.write.option("encoding", charset).csv(path)
-        found.append(detect_encoding(spark, path)[0])
+        found.append(detect_encoding(spark, path))
     return spark.createDataFrame([tuple(found)], "utf8 string, ms949 string")
 
 

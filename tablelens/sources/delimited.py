@@ -1,12 +1,13 @@
 """Delimited text of unknown encoding and separator.
 
-The whole text is checked in parallel for the encoding; the separator is read off the first lines."""
+Encoding, separator, quoting and width are decided by counts over all lines, in parallel; only the header is looked at
+by itself."""
 
 from __future__ import annotations
 
 import csv
 import io
-from collections import Counter
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from .tidy import LoadError, unique_names
 
 #: What Java calls the encodings. Its own 'cp949' and 'EUC-KR' lose letters that MS949 has.
 JAVA_NAMES = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "MS949", "euc-kr": "MS949", "latin1": "ISO-8859-1"}
-#: What a decoder leaves where bytes mean nothing.
+#: What a decoder leaves where bytes mean nothing. UTF-8 is told by its bytes, as a valid text may hold this letter.
 UNREADABLE = "\ufffd"
-PROBE_LINES = 200
+#: Where the fields of a row beyond the header go, joined by the separator.
+EXTRA = "_extra"
 #: Cannot occur in text, so that a line stays whole.
 NO_SEPARATOR = "\u0001"
 #: Column types, narrowest first, that fit when every cell is of the kind.
@@ -45,31 +47,38 @@ def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     )
 
 
-def detect_encoding(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """The first encoding that reads the whole text, and whether quoted fields span lines."""
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """The first encoding that reads the whole text."""
+    if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+        return C.ENCODINGS[0]
     other = charset_session(spark)
-    for encoding in C.ENCODINGS:
-        line = F.col("line")
-        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-        row = read_lines(other, path, encoding).agg(
-            F.count_if(F.contains(line, F.lit(UNREADABLE))).alias("bad"), F.count_if(quotes % 2 == 1).alias("open")).first()
-        if row["bad"] == 0 or encoding == C.ENCODINGS[-1]:
-            return encoding, row["open"] > 0
-    raise AssertionError("unreachable")
-
-
-def detect_separator(lines: list[str]) -> str | None:
-    """The separator that cuts most lines into as many fields as the first one, more than one; None if
-    there is a single column."""
-    best, best_score = None, 0.0
-    for sep in C.SEPARATORS:
-        widths = [len(row) for row in csv.reader(lines, delimiter=sep) if row]
-        if not widths or widths[0] < 2:
-            continue
-        score = Counter(widths)[widths[0]] / len(widths)
-        if score > best_score:
-            best, best_score = sep, score
-    return best
+    for encoding in C.ENCODINGS[:-1]:
+        if JAVA_NAMES[encoding] != "UTF-8" and read_lines(other, path, encoding).where(F.contains("line", F.lit(UNREADABLE))).isEmpty():
+            return encoding
+    return C.ENCODINGS[-1]
+
+
+def layout(lines: DataFrame, header: str) -> tuple[str | None, int, int, bool]:
+    """(separator, widest row, rows wider than the header, whether quoted fields span lines) from all lines.
+
+    The separator is the one that cuts most lines into as many fields as the header, more than one; None if there is a
+    single column. A quote counts where a field begins with it; one inside a field is a letter like any other."""
+    aggs = [F.count_if(F.length("line") > 0).alias("n")]
+    widths = {sep: len(next(csv.reader([header], delimiter=sep), [])) for sep in C.SEPARATORS}
+    for i, sep in enumerate(C.SEPARATORS):
+        mark = re.escape(sep)
+        bare = F.regexp_replace("line", f'(^|{mark})"([^"]|"")*"(?={mark}|$)', "$1")
+        width = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+        open_ = bare.rlike(f'(^|{mark})"')
+        aggs += [F.count_if((width == widths[sep]) & (F.length("line") > 0)).alias(f"same{i}"), F.max(F.when(~open_, width)).alias(f"most{i}"),
+                 F.count_if(~open_ & (width > widths[sep])).alias(f"wider{i}"), F.count_if(open_).alias(f"open{i}")]
+    row = lines.agg(*aggs).first()
+    usable = [i for i, sep in enumerate(C.SEPARATORS) if widths[sep] > 1]
+    best = max(usable, key=lambda i: row[f"same{i}"], default=None)
+    if best is None or not row[f"same{best}"]:
+        comma = C.SEPARATORS.index(",")
+        return None, 1, 0, row[f"open{comma}"] > 0
+    return C.SEPARATORS[best], max(row[f"most{best}"] or 0, widths[C.SEPARATORS[best]]), row[f"wider{best}"], row[f"open{best}"] > 0
 
 
 def header_names(header: str, separator: str) -> list[str]:
@@ -79,42 +88,64 @@ def header_names(header: str, separator: str) -> list[str]:
     return unique_names(names, ".")
 
 
-def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
-    """(table, encoding, separator). Column types follow from all cells in one pass."""
+def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str, list[str]]:
+    """(table, encoding, separator, notes). Column types follow from all cells. Fields beyond the header are kept as text in
+    a column of their own; where quoted fields span lines, widths can't be told by lines, and a wider row fails."""
     try:
-        encoding, multi_line = detect_encoding(spark, path)
+        encoding = detect_encoding(spark, path)
     except AnalysisException as exc:
         raise LoadError(f"cannot find or read {path}: {exc.getCondition() or exc}") from exc
     session = spark if JAVA_NAMES[encoding] == "UTF-8" else charset_session(spark)
-    lines = [r["line"] for r in read_lines(session, path, encoding).limit(PROBE_LINES).collect() if r["line"]]
-    if not lines:
+    lines = read_lines(session, path, encoding)
+    first = lines.where(F.length("line") > 0).first()
+    if first is None:
         raise LoadError(f"'{path}' holds no data")
-    separator = detect_separator(lines) or ","
-    names = header_names(lines[0].lstrip("\ufeff"), separator)
-    schema = ", ".join(f"_{i} string" for i in range(len(names)))
+    header = first["line"].lstrip("\ufeff")
+    found, widest, n_wider, multi_line = layout(lines, header)
+    separator = found or ","
+    names = header_names(header, separator)
+    n_extra = 0 if multi_line or found is None else max(0, widest - len(names))
+    fields = [f"_{i}" for i in range(len(names) + n_extra)]
+    schema = ", ".join(f"{f} string" for f in fields)
     raw = (
         session.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", separator)
         .option("encoding", JAVA_NAMES[encoding]).option("escape", '"').option("multiLine", multi_line)
         .option("maxCharsPerColumn", -1).csv(path)
     )
+    notes = []
+    if n_extra:
+        tail = F.concat_ws(separator, *[ref(f) for f in fields[len(names):]])
+        raw = raw.select(*[ref(f) for f in fields[:len(names)]], F.when(tail != "", tail).alias(f"_{len(names)}"))
+        names = unique_names([*names, EXTRA], ".")
+        notes.append(f"{n_wider:,} rows have more fields than the header; they are kept in '{names[-1]}'")
     # Text is parsed once into a columnar copy: an analysis reads the table many times, and nothing later
     # depends on the session of the encoding.
-    return stage(typed(raw), spark).toDF(*names), encoding, separator
+    return stage(typed(raw, as_text={f"_{len(names) - 1}"} if n_extra else set()), spark).toDF(*names), encoding, separator, notes
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """Text columns become numbers or booleans where every present cell reads as one."""
+#: Columns whose cells are looked at in one pass.
+CHUNK = 100
+
+
+def typed(raw: DataFrame, as_text: set[str] = frozenset()) -> DataFrame:
+    """Text columns become numbers or booleans where every present cell reads as one. Whole numbers that no 64-bit
+    integer holds stay text, as a double would make different ones equal."""
     cells = {c: F.when(~F.trim(ref(c)).isin(*MISSING_TOKENS), F.trim(ref(c))) for c in raw.columns}
-    aggs = []
-    for c, text in cells.items():
-        aggs += [F.count(text).alias(f"{c}|n"),
-                 F.count_if(text.rlike(NUMBER_TEXT) | text.rlike(INFINITY_TEXT)).alias(f"{c}|number"),
-                 F.count_if(text.rlike(r"^[+-]?\d{1,18}$")).alias(f"{c}|whole"),
-                 F.count_if(text.isin(*TRUE_FALSE)).alias(f"{c}|bool")]
-    row = raw.agg(*aggs).first()
+    counts: dict[str, int] = {}
+    for at in range(0, len(raw.columns), CHUNK):
+        aggs = []
+        for c in raw.columns[at:at + CHUNK]:
+            text = cells[c]
+            digits = text.rlike(r"^[+-]?\d+$")
+            aggs += [F.count(text).alias(f"{c}|n"),
+                     F.count_if(text.rlike(NUMBER_TEXT) | text.rlike(INFINITY_TEXT)).alias(f"{c}|number"),
+                     F.count_if(digits & text.try_cast("bigint").isNotNull()).alias(f"{c}|whole"),
+                     F.count_if(digits & text.try_cast("bigint").isNull()).alias(f"{c}|long"),
+                     F.count_if(text.isin(*TRUE_FALSE)).alias(f"{c}|bool")]
+        counts |= raw.agg(*aggs).first().asDict()
     out = []
     for c, text in cells.items():
-        n, plain = row[f"{c}|n"], F.when(text.isNotNull(), ref(c))
-        kinds = [t for kind, t in CELL_KINDS if n and row[f"{c}|{kind}"] == n]
+        n, plain = counts[f"{c}|n"], F.when(text.isNotNull(), ref(c))
+        kinds = [t for kind, t in CELL_KINDS if n and counts[f"{c}|{kind}"] == n and not counts[f"{c}|long"] and c not in as_text]
         out.append((text.try_cast(kinds[0]) if kinds else plain).alias(c))
     return raw.select(*out)

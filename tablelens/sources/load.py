@@ -25,8 +25,8 @@ def load_table(
     suffix = os.path.splitext(name)[1].lower()
     options = {"max_rows": max_rows, "order_by": order_by}
     if suffix in TEXT_SUFFIXES:
-        df, encoding, separator = read_delimited(spark, path)
-        return tidy(df, name, encoding=encoding, separator=separator, **options)
+        df, encoding, separator, notes = read_delimited(spark, path)
+        return tidy(df, name, encoding=encoding, separator=separator, notes=notes, **options)
     if suffix in WORKBOOK_SUFFIXES:
         df, sheet, n_sheets = read_workbook(spark, path, sheet_name)
         notes = [f"sheet '{sheet}' of {n_sheets} is used"] if n_sheets > 1 else []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens import LoadError, list_sheets, load_table
 from tablelens.sources import tidy as td
-from tablelens.sources.delimited import detect_separator, header_names
+from tablelens.sources.delimited import header_names, layout
 
 REGIONS = ["서울", "부산", "대구", "광주"] * 30
 AMOUNTS = [1000 + 37 * i for i in range(120)]
@@ -71,8 +71,12 @@ def test_unique_names_never_collide():
 
 
 def test_single_column_and_separator_choice(spark, tmp_path):
-    assert detect_separator(["a|b", "1|2,3", "4|5"]) == "|"
-    assert detect_separator(["only", "1", "2"]) is None
+    def of(*lines):
+        return layout(spark.createDataFrame([(x,) for x in lines], "line string"), lines[0])
+    assert of("a|b", "1|2,3", "4|5") == ("|", 2, 0, False)
+    assert of("only", "1", "2")[0] is None
+    assert of("a,b", '1,5"', '2,"x,y"', "3,4,5", "") == (",", 3, 1, False)
+    assert of("a,b", '1,"open', 'end"')[3]
     got = load_table(spark, write(tmp_path / "one.csv", "only\n1\n2\n"))
     assert got.df.columns == ["only"] and got.n_rows == 2
 
