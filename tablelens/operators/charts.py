@@ -70,7 +70,7 @@ def histograms(df: DataFrame, columns: dict[str, tuple[Column, float, float, int
 
 def numeric_histograms(df: DataFrame, profile: TableProfile, max_cols: int = HISTOGRAM_COLUMNS) -> DataFrame:
     wanted = {}
-    for name in profile.numeric_columns[:max_cols]:
+    for name in profile.names_by_type(C.NUMERIC)[:max_cols]:
         c = profile[name]
         if c.minimum is not None and math.isfinite(c.minimum) and math.isfinite(c.maximum):
             wanted[name] = (number_of(df, name), c.minimum, c.maximum, profile.n_rows - c.n_missing, c.median)
@@ -109,7 +109,7 @@ def box_stats(df: DataFrame, profile: TableProfile, max_cols: int = BOX_COLUMNS)
     schema = ("ordinal int, name string, q1 double, median double, q3 double, low_whisker double, "
               "high_whisker double, n_beyond bigint")
     spark = df.sparkSession
-    shown = [profile[n] for n in profile.numeric_columns[:max_cols]]
+    shown = [profile[n] for n in profile.names_by_type(C.NUMERIC)[:max_cols]]
     shown = [c for c in shown if c.std and math.isfinite(c.std)]
     if len(shown) < 2:
         return spark.createDataFrame([], schema)
@@ -218,15 +218,15 @@ def chart_tables(
     out: dict[str, DataFrame] = {}
     if any(c.n_missing for c in profile.columns):
         out["missing"] = missing_chart(profile.frame())
-    if profile.numeric_columns:
+    if profile.names_by_type(C.NUMERIC):
         out["distribution"] = numeric_histograms(df, profile)
-    if len(profile.numeric_columns) >= 2:
+    if len(profile.names_by_type(C.NUMERIC)) >= 2:
         out["boxplot"] = box_stats(df, profile)
         out["correlation"] = correlation_heatmap(profile.correlation())
     if target and target in df.columns:
         out["target"] = target_distribution(df, target, task)
         if task == C.REGRESSION:
-            out["group_mean"] = target_by_category(df, target, profile.categorical_columns)
+            out["group_mean"] = target_by_category(df, target, profile.names_by_type(C.CATEGORICAL))
     if modeling is not None:
         metric = "r2" if modeling.task == C.REGRESSION else "f1_weighted"
         out["model_comparison"] = model_comparison(modeling.leaderboard, metric)

@@ -58,7 +58,7 @@ def columns_to_drop(profile: TableProfile, config: C.AnalysisConfig) -> dict[str
             continue
         if config.column_types.get(c.name) == C.EXCLUDE:
             out[c.name] = "excluded by the user"
-        elif c.suggest_exclude:
+        elif c.exclusion_reason:
             out[c.name] = f"excluded automatically ({c.exclusion_reason})"
     return out
 

@@ -112,9 +112,9 @@ def report_tables(
         out["messages"] = spark.createDataFrame(list(enumerate(result.messages)), "ord int, message string")
     if config.include_raw_preview:
         out["preview"] = preview(df, PREVIEW_ROWS, list(config.key_columns))
-    if profile.numeric_columns:
+    if profile.names_by_type(C.NUMERIC):
         out["describe"] = prof.numeric_describe_table(frame)
-    if profile.categorical_columns:
+    if profile.names_by_type(C.CATEGORICAL):
         out["categorical"] = prof.categorical_table(frame)
     corr = profile.correlation()
     if corr is not None:

@@ -95,7 +95,7 @@ def test_long_texts_are_counted_and_shown_whole(spark):
 def test_edge_table_exclusions_and_unsupported(spark):
     rows = [(None, "same", f"NO{i:06d}", "abc"[i % 3], [1.0]) for i in range(220)]
     p = profile_table(spark.createDataFrame(rows, "`전부결측` double, `상수컬럼` string, `식별번호` string, `구분` string, arr array<double>"))
-    assert p.suggested_exclusions == ["전부결측", "상수컬럼", "식별번호", "arr"]
+    assert [c.name for c in p.columns if c.exclusion_reason] == ["전부결측", "상수컬럼", "식별번호", "arr"]
     assert p["arr"].semantic_type == "unsupported"
     assert overview_table(p.frame()).count() == 5
 
