@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -29,7 +30,8 @@ def session() -> SparkSession:
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
         .config("spark.sql.shuffle.partitions", str(CPUS)).config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablelens-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

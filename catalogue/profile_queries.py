@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens import config as C
 from tablelens.operators import correlation as corr
 from tablelens.operators import profile as prof
 from tablelens.operators.duplicates import duplicate_rows
@@ -348,3 +349,19 @@ FROM c JOIN k r ON c.ord1 = r.o JOIN k l ON c.ord2 = l.o WHERE r.pos > l.pos AND
 def corr_heatmap(spark, sf_dir):
     return corr.correlation_heatmap(wide_correlation(spark, sf_dir), 6).withColumn(
         "corr", F.round("corr", 4) + F.lit(0.0))
+
+
+DECIMALS = {"l_quantity": "decimal(10,0)", "l_extendedprice": "decimal(12,2)", "l_discount": "decimal(4,2)", "l_orderkey": "decimal(20,0)"}
+
+
+@query("profile_decimals", " UNION ALL ".join(f"""
+SELECT '{c}' AS name, CASE WHEN u <= {C.CATEGORICAL_MAX_DISTINCT} AND whole THEN 'categorical' ELSE 'numeric' END AS semantic_type,
+  CASE WHEN u <= {C.CATEGORICAL_MAX_DISTINCT} AND whole THEN 'categorical' ELSE 'numeric' END AS inferred, u AS n_unique, top
+FROM (SELECT count(DISTINCT x) AS u, bool_and(x % 1 = 0) AS whole, (SELECT CAST(y AS VARCHAR) FROM (SELECT CAST({c} AS {t}) AS y FROM lineitem)
+  GROUP BY y ORDER BY count(*) DESC, y LIMIT 1) AS top FROM (SELECT CAST({c} AS {t}) AS x FROM lineitem))""" for c, t in DECIMALS.items()))
+def profile_decimals(spark, sf_dir):
+    """Money and counts as decimals: typed alike by the profile and by the single-column rule."""
+    df = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast(t).alias(c) for c, t in DECIMALS.items()])
+    found = prof.profile_table(df, count_duplicate_rows=False)
+    rows = [(c.name, c.semantic_type, infer_column_type(df, c.name), c.n_unique, c.sample_values[0]) for c in found.columns]
+    return spark.createDataFrame(rows, "name string, semantic_type string, inferred string, n_unique long, top string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -32,15 +31,10 @@ def temporary_copies(spark: SparkSession) -> Iterator[None]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder of this session. Only a local session may fall back to a temporary one."""
+    """A folder that all executors reach: the one for checkpoints, else one in the session's warehouse. No setting is
+    changed."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tablelens-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
 
 
 def stage(df: DataFrame, reader: SparkSession | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from ..functions.dates import DATE_MARKS, text_to_datetime
 LONG_TEXT = 256
 DIGEST_MARK = "sha256:"
 
-KEY_TYPES = {"i": "bigint", "d": "double", "s": "string"}
+KEY_TYPES = {"i": "bigint", "d": "double", "m": "decimal(38,18)", "s": "string"}
 
 #: Columns expanded together; wide tables are read in several such groups.
 EXPANDED_COLUMNS = 64
@@ -36,7 +37,10 @@ def _wall_clock_micros(value: Column) -> Column:
 
 
 def cell_kind(dtype: T.DataType) -> str:
-    """Which typed key a column is grouped by: i(ntegral and time), d(ouble) or s(tring)."""
+    """Which typed key a column is grouped by: i(ntegral and time), d(ouble), m for decimals, or s(tring). Decimals
+    that no key of 38 digits holds exactly are grouped as text."""
+    if isinstance(dtype, T.DecimalType):
+        return "m" if dtype.scale <= 18 and dtype.precision - dtype.scale <= 20 else "s"
     if isinstance(dtype, INTEGRAL_TYPES + TIME_TYPES + (T.BooleanType,)):
         return "i"
     return "d" if isinstance(dtype, FLOAT_TYPES) else "s"
@@ -47,6 +51,8 @@ def cell_key(name: str, dtype: T.DataType) -> Column:
     kind = cell_kind(dtype)
     if kind == "d":
         return present(name, dtype).cast("double")
+    if kind == "m":
+        return ref(name).cast(KEY_TYPES["m"])
     if kind == "s":
         text = ref(name).cast("string")
         return F.when(F.octet_length(text) <= LONG_TEXT, text).otherwise(
@@ -61,7 +67,7 @@ def cell_key(name: str, dtype: T.DataType) -> Column:
 
 
 def frequency_table(df: DataFrame, names: list[str]) -> DataFrame:
-    """(col, i, d, s, cnt): how often every present value of every named column occurs. `col` is the
+    """(col, i, d, m, s, cnt): how often every present value of every named column occurs. `col` is the
     position in `names`.
 
     Columns of one kind are expanded together and grouped by (col, value) with map-side counts, so a hot
@@ -89,22 +95,24 @@ def frequency_summary(freq: DataFrame) -> DataFrame:
     s, d, cnt = F.col("s"), F.col("d"), F.col("cnt")
     counts = freq.groupBy("col").agg(
         F.count_if(cnt > 0).alias("n_unique"),
-        F.coalesce(F.bool_and(F.when(finite(d), d % 1 == 0)), F.max("i").isNotNull()).alias("all_integral"),
+        F.coalesce(F.bool_and(F.when(finite(d), d % 1 == 0)), F.bool_and(F.col("m") % 1 == 0), F.max("i").isNotNull()).alias("all_integral"),
         F.sum(F.when(text_to_number(s).isNotNull(), cnt)).alias("n_number_text"),
         F.sum(F.when(s.rlike(DATE_MARKS), cnt)).alias("n_date_marked"),
         F.sum(F.when(text_to_datetime(s).isNotNull(), cnt)).alias("n_date_parsed"),
     )
     top = (
-        freq.withColumn("rn", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("cnt"), "i", "d", "s")))
+        freq.withColumn("rn", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("cnt"), "i", "d", "m", "s")))
         .where(F.col("rn") <= N_SAMPLES)
         .groupBy("col")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "i", "d", "s", "cnt"))).alias("top"))
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "i", "d", "m", "s", "cnt"))).alias("top"))
     )
     return counts.join(F.broadcast(top), "col")  # one row per column
 
 
-def cell_value(dtype: T.DataType, i: int | None, d: float | None, s: str | None):
+def cell_value(dtype: T.DataType, i: int | None, d: float | None, s: str | None, m: decimal.Decimal | None = None):
     """The Python value behind a grouping key."""
+    if m is not None:
+        return round(m, dtype.scale)
     if isinstance(dtype, T.BooleanType):
         return bool(i)
     if isinstance(dtype, T.DateType):

@@ -208,7 +208,7 @@ def _frequency_records(df: DataFrame, names: list[str]) -> dict[str, _Found]:
         return {}
     rows = {r["col"]: r for r in freq.frequency_summary(freq.frequency_table(df, names)).collect()}
     values = {
-        names[k]: [(str(freq.cell_value(field_type(df, names[k]), t["i"], t["d"], t["s"])), t["cnt"]) for t in r["top"]]
+        names[k]: [(str(freq.cell_value(field_type(df, names[k]), t["i"], t["d"], t["s"], t["m"])), t["cnt"]) for t in r["top"]]
         for k, r in rows.items()
     }
     digests = {n: {v for v, _ in top if v.startswith(freq.DIGEST_MARK)} for n, top in values.items()}
