@@ -181,3 +181,20 @@ def missing_tokens(spark, sf_dir):
         F.when(F.col("user_id") % 5 == 0, tokens).otherwise(F.col("user_id").cast("string")).alias("user_text"),
         F.when(F.col("value") < 1, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
     return normalise_missing(df)
+
+
+@query("load_folder", "SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
+def load_folder(spark, sf_dir):
+    """A folder without a suffix, of two text files whose columns stand in different orders."""
+    folder = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    rows.where("key % 2 = 0").coalesce(1).write.option("header", True).csv(folder)
+    rows.where("key % 2 = 1").select("region", "key", "name").coalesce(1).write.mode("append").option("header", True).csv(folder)
+    return load_table(spark, folder).df
+
+
+@query("load_table_name", "SELECT * FROM supplier")
+def load_table_name(spark, sf_dir):
+    """A view of the catalog by its name."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("loaded_supplier")
+    return load_table(spark, "loaded_supplier").df

@@ -38,7 +38,7 @@ def charset_session(spark: SparkSession) -> SparkSession:
     return other
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """(line): the decoded lines of the source."""
     return (
         spark.read.schema("line string").option("encoding", JAVA_NAMES[encoding]).option("sep", NO_SEPARATOR)
@@ -47,7 +47,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     )
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
+def detect_encoding(spark: SparkSession, path: str | list[str]) -> str:
     """The first encoding that reads the whole text."""
     if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
         return C.ENCODINGS[0]
@@ -88,7 +88,7 @@ def header_names(header: str, separator: str) -> list[str]:
     return unique_names(names, ".")
 
 
-def read_delimited(spark: SparkSession, path: str) -> tuple[DataFrame, str, str, list[str]]:
+def read_delimited(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, str, str, list[str]]:
     """(table, encoding, separator, notes). Column types follow from all cells. Fields beyond the header are kept as text in
     a column of their own; where quoted fields span lines, widths can't be told by lines, and a wider row fails."""
     try:
