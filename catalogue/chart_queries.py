@@ -11,12 +11,13 @@ from tablelens.operators import charts as ch
 from tablelens.operators import findings as fi
 from tablelens.operators import profile as prof
 from tablelens.operators.correlation import top_correlations
+from tablelens.operators.metrics import roc_auc, roc_curve
 from tablelens.plans.report import display_table
 
 from .evaluate_queries import CLASS_SQL, PRED_SQL, price_by_quantity, scored_lines, status_by_price
 from .prepare_queries import _messy
 from .profile_queries import GAPPY, GAPPY_SQL, TABLES, corr_sql, gappy_lineitem, profile_sql
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def _round(df: DataFrame, **digits: int) -> DataFrame:
@@ -185,11 +186,10 @@ def confusion_chart(spark, sf_dir):
     return ch.confusion_chart(confusion_matrix(coded), codes)
 
 
-@query("roc_chart")
+@query("roc_chart", f"SELECT threshold, fpr, tpr, auc FROM ({ORACLES['roc_curve']}) r, ({ORACLES['roc_auc']}) a")
 def roc_chart(spark, sf_dir):
-    from tablelens.operators.metrics import roc_auc, roc_curve
     rows = scored_lines(spark, sf_dir)
-    return ch.roc_chart(roc_curve(rows), roc_auc(rows).first()["auc"])
+    return _round(ch.roc_chart(roc_curve(rows), roc_auc(rows).first()["auc"]), fpr=8, tpr=8, auc=8)
 
 
 @query("actual_vs_predicted", f"""
@@ -232,7 +232,9 @@ def display(spark, sf_dir):
     return display_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), order_by=["o_orderkey"])
 
 
-@query("cell_text")
+@query("cell_text", """
+SELECT p_partkey, CASE WHEN x = floor(x) THEN format('{:,}', CAST(x AS BIGINT)) ELSE format('{:.4g}', x) END AS text
+FROM (SELECT p_partkey, p_retailprice / 7 AS x FROM part)""")
 def cell_texts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", cell_text(F.col("p_retailprice") / 7).alias("text"))
 

@@ -248,7 +248,10 @@ def overview(spark, sf_dir):
     return prof.overview_table(p.frame()).drop("dtype", "headline")
 
 
-@query("headline_values")
+@query("headline_values", f"""
+SELECT name, CASE WHEN semantic_type = 'numeric' THEN regexp_replace(format('{{:,}}', round(mean, 3 - CAST(floor(log10(abs(mean))) AS INTEGER))), '\\.0$', '')
+  ELSE coalesce(top_value, array_to_string(string_split(samples, '|')[1:2], ', ')) END AS headline
+FROM ({profile_sql('customer', TABLES['customer'])})""")
 def headline(spark, sf_dir):
     p = prof.profile_table(table(spark, sf_dir, "customer"), count_duplicate_rows=False)
     return prof.overview_table(p.frame()).select("name", "headline")
