@@ -15,7 +15,7 @@ takes that of the nearest directory upwards. Directories are joined, one row eac
 
 Defined cases: a NULL or empty text has no licence of its own; a NULL path lies in the root ('') like a path without a
 directory; several licence files in a directory: the largest cosine, then the first name, then the first path; repeated
-rows are files of their own and get the same result; other columns are kept. No files give no rows.
+rows are files of their own and get the same result; other columns are kept, but one named `licence` is replaced. No files give no rows.
 """
 
 from __future__ import annotations
@@ -133,4 +133,4 @@ def licences(files: DataFrame, key: str, *, licence_file: Column | None = None,
         F.when(has, "own").when(F.col("given").isNotNull(), "inherited").alias("origin"),
         F.coalesce("own_score", "given.score").alias("score"),
         F.when(has, F.col("dir")).otherwise(F.col("given.up")).alias("directory"))
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in files.columns], licence.alias("licence"))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in files.columns if c != "licence"], licence.alias("licence"))

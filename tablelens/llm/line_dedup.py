@@ -14,7 +14,7 @@ text that a third of all documents share is one source for all of them.
 
 Defined cases: a NULL text stays NULL and has no lines; a text without words has one line and keeps it; a NULL document
 id comes before all others; rows with the same id and the same text are one document and are treated alike; a document
-that repeats others wholly is left with an empty text; all other columns are kept, whatever their names. No documents
+that repeats others wholly is left with an empty text; all other columns are kept, but one named `line_dedup` is replaced. No documents
 give no rows. Line hashes have 64 bits.
 """
 
@@ -98,4 +98,5 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
     counts = F.struct(F.coalesce(F.size(_units(F.col("row.text"))), F.lit(0)).cast("long").alias("n_lines"),
                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"))
-    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns], counts.alias("line_dedup"))
+    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c != "line_dedup"],
+                       counts.alias("line_dedup"))

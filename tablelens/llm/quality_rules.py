@@ -11,7 +11,7 @@ one in 500 good ones; the start keeps a small weight in every estimate. So the c
 
 Defined cases: a NULL text has no words; a document without words fails the base rules; one on which every rule
 abstains has the share of good documents as its posterior; repeated rows are judged alike; other columns are kept as
-they are. No documents give no rows.
+they are, but those with the name of an added column are replaced. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +40,11 @@ class Fitted(NamedTuple):
     accuracy: list[dict[str, float]]  # per rule: class, share of right votes among its votes
 
 
+#: Columns that `figures` adds; the names beginning with q_ are for the rules only.
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "q_n_lines", "q_signs", "q_digits", "q_upper",
+           "q_shouts", "q_stops", "q_bars", "q_distinct", "q_text_words", "q_words", "q_windows", "q_lines")
+
+
 def _repeat_words(windows: Column) -> Column:
     """Words inside windows (hashes in order) that occur twice or more: equal neighbours in the order of hashes repeat."""
     def covered(ordered: Column) -> Column:
@@ -58,6 +63,7 @@ def _repeat_words(windows: Column) -> Column:
 
 def figures(docs: DataFrame) -> DataFrame:
     """Add the base figures, and those that only the rules need (their names begin with `q_`)."""
+    docs = docs.drop(*FIGURES, "base_failed", "votes", "quality", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^" + SPACE_CLASS[1:]))
     out = docs.withColumn("q_text_words", words(F.col("text")))

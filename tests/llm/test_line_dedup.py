@@ -43,7 +43,7 @@ def test_runs_that_occur_earlier_go(spark, prose, seed):
     for i in range(60):
         text = "\n".join(rng.choice(lines) if rng.random() < 0.85 else prose(rng, 3) for _ in range(rng.randint(0, 14)))
         rows.append((i, text.replace("\n", "\n \n") if rng.random() < 0.1 else text))
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, row string, did int")
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, row string, did int, line_dedup int")
     got = {(r.doc_id, r.n): r.text for r in dedup_lines(df, min_words=10).selectExpr("doc_id", "text", "did AS n").collect()}
     want = brute(rows, 10)
     assert {k[0]: v for k, v in got.items()} == {k[0]: v for k, v in want.items()}

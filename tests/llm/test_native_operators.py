@@ -76,7 +76,7 @@ def test_base_figures(spark):
     texts = [None, "", "\n \n", "a", "x " * 7, "a b c d e a b c d e", "\x1c b\x0bc", "ü" * 9000, "| # |\n| # |\n\n| # |", "A!! B??"]
     texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) + rng.choice(["", "\n", "\na b\na b"]) for _ in range(200)]
     rows = [(i if i else None, t, "x", "y") for i, t in enumerate(texts)]
-    out = quality_rules.judged(quality_rules.figures(spark.createDataFrame(rows, "doc_id long, text string, n string, rules string")))
+    out = quality_rules.judged(quality_rules.figures(spark.createDataFrame(rows, "doc_id long, text string, votes string, n_words string")))
     got = {r.doc_id: r for r in out.collect()}
     for i, t, *_ in rows:
         r, want = got[i], base(t)
@@ -160,7 +160,7 @@ def test_licences_are_found_and_inherited(spark):
         ("r/sub/e.py", "Text first. Licensed under CC BY-NC 4.0. And more text of any kind after it"), ("other/f.py", "all of this is under the"),
         ("top.py", "z"), (None, "All rights reserved."), ("r/COPYING", "This work is licensed under the GNU General Public License, version 3."),
         ("r/sub/b.py", None), ("q/NOTICE", "nothing"), ("q/g.py", "v")]
-    df = spark.createDataFrame([(i, p, t, "n") for i, (p, t) in enumerate(rows)], "id long, path string, text string, licence_of string")
+    df = spark.createDataFrame([(i, p, t, "n") for i, (p, t) in enumerate(rows)], "id long, path string, text string, licence string")
     got = {r.id: r.licence for r in license_scan.licences(df, "id").collect()}
     names = {i: (x.name, x.origin, x.directory) for i, x in got.items()}
     assert names[0][:2] == ("MIT", "own") and names[10][:2] == ("GPL-3.0", "own") and names[6][:2] == ("CC-BY-NC-4.0", "own")
