@@ -171,12 +171,15 @@ def label_words(words: Words, model: Model) -> np.ndarray:
 def fit(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
     """labelled: (text, lang, key); the sample is the same for the same rows in any order."""
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
-    rows = usable.select("text", "lang", F.xxhash64("key", "text").alias("h")).orderBy("h", "text", "lang").limit(sample_docs).collect()
+    usable = usable.select("text", "lang", F.xxhash64("key", "text").alias("h"))
+    least = [r.h for r in usable.select("h").orderBy("h").limit(sample_docs).collect()]  # every task offers hashes, not texts
+    rows = usable.where(F.col("h") <= least[-1]).orderBy("h", "text", "lang").limit(sample_docs).collect() if least else []
     return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns `keep`, `lang_pred` and `score` of every document."""
+    keep = [k for k in keep if k not in ("lang_pred", "score")]
     if model is None:
         return docs.select(*[F.col(f"`{k}`") for k in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** TABLE_BITS rows
