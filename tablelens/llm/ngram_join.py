@@ -11,8 +11,9 @@ sequence as one). Two documents link when the intersection is at least num/den o
    shingles nor shared passages bring unlike documents together, and no order by frequency is needed.
 3. Hashed bitmap signatures: each shingle flips one bit, so differing bits bound the symmetric difference from below
    and the intersection from above. Each class is first compared with the first class of its tiles; pairs that pass are
-   decided exactly, and what they link becomes groups. Then, tile by tile, all pairs of different groups are bounded by
-   sizes and signatures. Pairs within a group need no comparison for the groups, and no pair that may join two
+   decided exactly, and what they link becomes groups. Then, tile by tile, pairs of different groups are bounded by
+   sizes and signatures: first the likeliest pair of any two groups, to join what belongs together, then
+   all pairs that are left. Pairs within a group need no comparison for the groups, and no pair that may join two
    groups is left out. A tile is sorted by size and streamed, never held as a whole.
 4. Pairs that pass are decided exactly on sorted arrays; links make the final groups.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ _U = np.uint64
 #: Words of a bitmap signature (64 bits each).
 SIGNATURE = 8
 #: Rows of a tile compared at once.
-TILE_ROWS = 2_048
+TILE_ROWS = 1_024
+#: Rounds that join groups by one pair of each two of them, before all pairs are looked at.
+MERGES = 1
 
 
 def _sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -225,8 +229,9 @@ def _with_first(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[n
     yield heads["node"][ok], rows["node"][ok]
 
 
-def _all_pairs(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a tile, block by block; blocks of sets too small for what follows are let go."""
+def _all_pairs(rows: dict, state: dict, num: int, den: int, *, one_each: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a tile, block by block; blocks of sets too small for what follows are let go. `one_each`: of the pairs
+    that two groups have in two blocks only the one with the most alike signatures."""
     cuts = (np.flatnonzero(np.diff(rows["tile"])) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(rows["tile"])]):
         if state.get("tile") != rows["tile"][a]:
@@ -238,6 +243,14 @@ def _all_pairs(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[np
             for before in [*state["recent"], block]:
                 ok = _may_link({k: v[:, None] for k, v in before.items()}, {k: v[None] for k, v in block.items()}, num, den)
                 i, j = np.nonzero(np.triu(ok, 1) if before is block else ok)
+                if one_each and len(i):
+                    x, y = before["group"][i], block["group"][j]
+                    differ = np.bitwise_count(before["signature"][i] ^ block["signature"][j]).sum(axis=1, dtype=np.int64)
+                    x, y = np.minimum(x, y), np.maximum(x, y)
+                    order = np.lexsort((differ, y, x))
+                    x, y, new = x[order], y[order], np.ones(len(order), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+                    i, j = i[order[new]], j[order[new]]
                 yield before["node"][i], block["node"][j]
             state["recent"].append(block)
 
@@ -259,15 +272,20 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
     first = _streamed(shared.withColumn("group", F.col("node")), _with_first, num, den)
     first = stage(first.groupBy("b").agg(F.min("a").alias("a")))
     links = stage(_linked(first, sets, num, den))
-    groups = stage(components(links))
 
-    # what may join two groups
-    open_rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    several = open_rows.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
-    pairs = _streamed(open_rows.join(several, "tile"), _all_pairs, num, den).join(first, ["a", "b"], "left_anti")
-    found = links.unionByName(_linked(pairs, sets, num, den))
-    final = stage(components(stage(found)))
+    # what may join two groups: the likeliest pair of each two groups, then all pairs
+    tried, groups = first, stage(components(links))
+    for one_each in [True] * MERGES + [False]:
+        open_rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        several = open_rows.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
+        visit = partial(_all_pairs, one_each=one_each)
+        pairs = stage(_streamed(open_rows.join(several, "tile"), visit, num, den).join(tried, ["a", "b"], "left_anti"))
+        found = stage(_linked(pairs, sets, num, den))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = stage(components(links))
+        tried = tried.unionByName(pairs)
 
     copies = every.join(classes, ["n", "digest"], "left").select("doc_id", "n", "node")
-    out = copies.join(final, "node", "left")
+    out = copies.join(groups, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
