@@ -12,7 +12,7 @@ sequence as one). Two documents link when the intersection is at least num/den o
 3. Hashed bitmap signatures: each shingle flips one bit, so differing bits bound the symmetric difference from below
    and the intersection from above. Each class is first compared with the first class of its tiles; pairs that pass are
    decided exactly, and what they link becomes groups. Then, tile by tile, pairs of different groups are bounded by
-   sizes and signatures: first the likeliest pair of any two groups, to join what belongs together, then
+   sizes and signatures: first the likeliest pair of each group, to join what belongs together, then
    all pairs that are left. Pairs within a group need no comparison for the groups, and no pair that may join two
    groups is left out. A tile is sorted by size and streamed, never held as a whole.
 4. Pairs that pass are decided exactly on sorted arrays; links make the final groups.
@@ -43,8 +43,8 @@ _U = np.uint64
 SIGNATURE = 8
 #: Rows of a tile compared at once.
 TILE_ROWS = 1_024
-#: Rounds that join groups by one pair of each two of them, before all pairs are looked at.
-MERGES = 1
+#: Rounds that join groups by one pair of each of them, before all pairs are looked at.
+MERGES = 2
 
 
 def _sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
@@ -198,7 +198,7 @@ def _may_link(x: dict, y: dict, num: int, den: int) -> np.ndarray:
 
 
 def _streamed(rows: DataFrame, visit: Callable, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) from the rows (tile, n, node, visits, group, signature) sorted by tile and size; `visit` is
+    """Distinct pairs (a, b), as `visit` gives them, from the rows (tile, n, node, visits, group, signature) sorted by tile and size; `visit` is
     given runs of rows of a batch with their tiles' first rows and yields (a, b)."""
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
@@ -208,14 +208,14 @@ def _streamed(rows: DataFrame, visit: Callable, num: int, den: int) -> DataFrame
             rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("tile", "n", "node", "visits", "group")}
             rows["signature"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), _U).reshape(-1, SIGNATURE)
             for a, b in visit(rows, state, num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     ordered = rows.select("tile", "n", "node", "visits", "group", "signature").repartition("tile").sortWithinPartitions("tile", "n", "node")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _with_first(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each row with the first of its tile."""
+    """(first of the tile, row) of each row."""
     new = np.ones(len(rows["tile"]), bool)
     new[1:] = rows["tile"][1:] != rows["tile"][:-1]
     if state and state["tile"][0] == rows["tile"][0]:  # the tile goes on from the batch before
@@ -229,9 +229,17 @@ def _with_first(rows: dict, state: dict, num: int, den: int) -> Iterator[tuple[n
     yield heads["node"][ok], rows["node"][ok]
 
 
+def _least_of_each(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Positions of the least value of each group."""
+    order = np.lexsort((value, group))
+    new = np.ones(len(order), bool)
+    new[1:] = group[order][1:] != group[order][:-1]
+    return order[new]
+
+
 def _all_pairs(rows: dict, state: dict, num: int, den: int, *, one_each: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of a tile, block by block; blocks of sets too small for what follows are let go. `one_each`: of the pairs
-    that two groups have in two blocks only the one with the most alike signatures."""
+    that a group has in two blocks only the one with the most alike signatures."""
     cuts = (np.flatnonzero(np.diff(rows["tile"])) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(rows["tile"])]):
         if state.get("tile") != rows["tile"][a]:
@@ -244,14 +252,11 @@ def _all_pairs(rows: dict, state: dict, num: int, den: int, *, one_each: bool) -
                 ok = _may_link({k: v[:, None] for k, v in before.items()}, {k: v[None] for k, v in block.items()}, num, den)
                 i, j = np.nonzero(np.triu(ok, 1) if before is block else ok)
                 if one_each and len(i):
-                    x, y = before["group"][i], block["group"][j]
                     differ = np.bitwise_count(before["signature"][i] ^ block["signature"][j]).sum(axis=1, dtype=np.int64)
-                    x, y = np.minimum(x, y), np.maximum(x, y)
-                    order = np.lexsort((differ, y, x))
-                    x, y, new = x[order], y[order], np.ones(len(order), bool)
-                    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                    i, j = i[order[new]], j[order[new]]
-                yield before["node"][i], block["node"][j]
+                    best = np.concatenate([_least_of_each(g, differ) for g in (before["group"][i], block["group"][j])])
+                    i, j = i[best], j[best]
+                left, right = before["node"][i], block["node"][j]
+                yield np.minimum(left, right), np.maximum(left, right)
             state["recent"].append(block)
 
 
@@ -270,10 +275,11 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
 
     # each class against the first one of its tiles
     first = _streamed(shared.withColumn("group", F.col("node")), _with_first, num, den)
-    first = stage(first.groupBy("b").agg(F.min("a").alias("a")))
+    first = first.groupBy("b").agg(F.min("a").alias("a"))  # one for each
+    first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stage(_linked(first, sets, num, den))
 
-    # what may join two groups: the likeliest pair of each two groups, then all pairs
+    # what may join two groups: the likeliest pair of each group, then all pairs
     tried, groups = first, stage(components(links))
     for one_each in [True] * MERGES + [False]:
         open_rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
