@@ -25,8 +25,8 @@ from . import rans
 from .token_ids import coder
 
 SEGMENT_TOKENS = 1 << 21
-#: Documents encoded at once.
-SLICE = 128
+#: Documents encoded at once, and words a worker remembers for it.
+SLICE, REMEMBERED = 128, 1_600_000
 
 _SEGMENT = pa.schema([("part", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
                       ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("ids", pa.binary())])
@@ -39,7 +39,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, segment_tokens: int =
     end = end_id.to_bytes(4, "little")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode = TaskContext.get().partitionId(), coder(tokenizer).encode
+        part, encode = TaskContext.get().partitionId(), coder(tokenizer, REMEMBERED).encode
         first, held, doc_ids, sizes, n = 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:

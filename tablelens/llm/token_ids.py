@@ -17,18 +17,20 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words remembered by one Python worker (some 0.2 kB each); when full the memory starts anew. Only speed depends on it.
-REMEMBERED = 1_600_000
+#: Words remembered by one Python worker (some 0.2 kB each), which keeps them while it lives; when full the memory starts
+#: anew. Only speed depends on it.
+REMEMBERED = 250_000
 #: The letters that stand for bytes without a printable one in both vocabularies.
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(0, 33), *range(127, 161), 173])}
 
 _coders: dict[str, "Coder"] = {}
 
 
-def coder(name: str) -> "Coder":
+def coder(name: str, remembered: int = REMEMBERED) -> "Coder":
     """The coder of a tokenizer file, one per worker process."""
     if name not in _coders:
         _coders[name] = Coder(name)
+    _coders[name].remembered = remembered
     return _coders[name]
 
 
@@ -49,6 +51,7 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.byte_level = name.startswith("byte")  # white space counts, and a word differs from a space-led word
         self.lead, self.line_break = (" ", self._whole("\n")) if self.byte_level else ("", b"")
+        self.remembered = REMEMBERED
         self._forget()
 
     def _forget(self) -> None:
@@ -84,7 +87,7 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a NULL text has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         skip, known, out = len(self.line_break), self.known.__getitem__, []
         for text in texts:

@@ -17,7 +17,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; a longer text is hashed by itself.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
