@@ -1,10 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-word sequence of a test item is a seed. A first scan counts the documents that hold each seed; the seeds of an
-item that are not above the median of its counts are its rare ones. A second scan finds the rare seeds in the documents;
-seeds of one item on near diagonals make a window, and the window is aligned with the item's words: a match counts 1, a
-mismatch and a gap -1. A document leaks an item when the best local alignment reaches `least` of the item's words, and
-`least_words` at any rate: so copies with edits, insertions and lost ends count, and common words do not.
+A document leaks an item when the best local alignment of their words (a match counts 1, a mismatch and a gap -1)
+reaches `least` of the item's words, and half of `least_words` at any rate: so copies with edits, insertions and lost ends
+count, and common words do not. Every n-word sequence of a test item is a seed. An alignment with score s has at most m - s
+errors between its m matches, so m - s + 1 runs of matches: whole two-word seeds lie in it at s - 1 places of the item at
+least. A first scan counts the documents that hold each seed. An item of N places keeps the N - s + 2 of the least counts
+(its rare seeds), s being the least score that counts: any alignment that counts holds one of these, whatever the counts.
+A second scan finds the rare seeds in the documents and makes a window around each, as wide as an alignment through it
+can be; windows with fewer than s - 1 of the item's seeds are dropped, those of one item that overlap are joined, and each
+is aligned with the item's words. So the result is that of aligning every item with every document. Seeds of more than two
+words are allowed (`n`); an item to which they promise nothing keeps them all, and that alone is no guarantee.
 
 The items are taken in blocks of bounded size, each with its own scans, so what is sent to all tasks is bounded
 whatever the number of items; the documents are never shuffled, and all work on a document is done where it is read.
@@ -25,20 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_hashes import Words, shingles, words_of
+from .word_hashes import Words, mix, shingles, words_of
 
 _U = np.uint64
 #: Code points of the items of one block, sent to all tasks.
 BLOCK_CHARS = 8_000_000
-#: Alignments done side by side.
-AT_ONCE = 512
+#: Alignments done side by side, and the words of their windows with what pads them.
+AT_ONCE, WORDS_AT_ONCE = 512, 1 << 18
 _FILTER_BITS = 20
 
 
 class Items:
     """A block of test items: their words as hashes, and their seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int, least_words: int):
+    def __init__(self, ids: list[int], texts: list[str], n: int, least_words: int, least: float = 0.5):
         self.n, self.ids, self.words = n, [], []
         seeds, owners, places = [], [], []
         for part in words_of(pa.array(texts, pa.large_string())):
@@ -56,6 +61,17 @@ class Items:
                     owners.append(np.full(len(mine), len(owners)))
                     places.append(np.arange(len(mine)))
         self._set(*(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((seeds, _U), (owners, np.int64), (places, np.int64))))
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.needed = np.maximum(least * size, least_words / 2)
+        score = np.ceil(self.needed).astype(np.int64)
+        #: Seeds that an alignment which counts holds: m - (n - 1) * (m - score + 1), the least over m from score to size.
+        self.least_hits = np.minimum(score - (n - 1), size - (n - 1) * (size - score + 1))
+        self.pad = np.maximum(size - score, size // 2) + 4  # an alignment that counts has no more than size - score insertions
+        self.pairs = np.unique(self._pair(self.seeds, self.owners))
+
+    @staticmethod
+    def _pair(seeds: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        return mix(seeds ^ mix(owners.astype(_U) + _U(1)))
 
     def _set(self, seeds: np.ndarray, owners: np.ndarray, places: np.ndarray) -> None:
         order = np.lexsort((places, owners, seeds))
@@ -66,15 +82,17 @@ class Items:
         self.maybe[self.distinct >> _U(64 - _FILTER_BITS)] = True
 
     def keep_rare(self, counts: dict[int, int]) -> None:
-        """Keep the seeds whose document count is not above the median of their item."""
-        each = np.array([counts.get(s, 0) for s in self.seeds.view(np.int64).tolist()])
-        limit = {o: np.median(each[self.owners == o]) for o in np.unique(self.owners).tolist()}
-        rare = np.array([c <= limit[o] for c, o in zip(each.tolist(), self.owners.tolist())], bool)
-        self._set(self.seeds[rare], self.owners[rare], self.places[rare])
-
-    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, word within the row, number of the distinct seed) of every seed in the texts."""
-        values, bounds = shingles(words, self.n)
+        """Keep so many seeds of each item, those of the least document counts, that no alignment that counts can do without."""
+        each = np.array([counts.get(s, 0) for s in self.seeds.view(np.int64).tolist()], np.int64)
+        order = np.lexsort((self.places, each, self.owners))
+        owner = self.owners[order]
+        size = np.bincount(owner, minlength=len(self.words))
+        rank = np.arange(len(order)) - (np.cumsum(size) - size)[owner]
+        keep = order[rank <= (size - np.maximum(self.least_hits, 1))[owner]]
+        self._set(self.seeds[keep], self.owners[keep], self.places[keep])
+
+    def find(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word within the row, number of the distinct seed) of every seed among the shingles of the texts."""
         at = np.flatnonzero(self.maybe[values >> _U(64 - _FILTER_BITS)])
         where = np.minimum(np.searchsorted(self.distinct, values[at]), max(0, len(self.distinct) - 1))
         hit = self.distinct[where] == values[at] if len(self.distinct) else np.zeros(0, bool)
@@ -82,6 +100,18 @@ class Items:
         row = np.searchsorted(bounds, at, "right") - 1
         return row, at - bounds[row], where
 
+    def enough(self, values: np.ndarray, item: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether the shingles from `start` to `stop` have as many seeds of the item as an alignment that counts."""
+        out = np.ones(len(item), bool)
+        for some in np.split(np.arange(len(item)), np.arange(AT_ONCE, len(item), AT_ONCE)):
+            size = np.maximum(stop[some] - start[some], 0)
+            of = np.repeat(np.arange(len(some)), size)
+            place = np.arange(len(of)) + (start[some] - (np.cumsum(size) - size))[of]
+            pair = self._pair(values[place], item[some][of])
+            where = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            out[some] = np.bincount(of[self.pairs[where] == pair], minlength=len(some)) >= self.least_hits[item[some]]
+        return out
+
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(best local score, end of it in the window, exclusive) of each pair."""
@@ -107,18 +137,25 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def _windows(items: Items, rows: np.ndarray, places: np.ndarray, seed: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, from, to) in words: the seeds of one item in one text, joined along near diagonals."""
+def _windows(items: Items, words: Words) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, from, to) in words: what is around the seeds of one item in one text, joined where it overlaps."""
+    values, bounds = shingles(words, items.n)
+    rows, places, seed = items.find(values, bounds)
     copies = items.upto[seed] - items.first[seed]
     which = np.repeat(items.first[seed], copies) + np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
     row, item = np.repeat(rows, copies), items.owners[which]
     start = np.repeat(places, copies) - items.places[which]
     order = np.lexsort((start, item, row))
+    row, item, start = row[order], item[order], start[order]
+    new = np.ones(len(order), bool)  # the same window once
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+    row, item, start = row[new], item[new], start[new]
+    size = np.array([len(w) for w in items.words], np.int64)[item]
+    a = np.maximum(0, start - items.pad[item])
+    b = np.minimum(np.diff(words.bounds)[row], start + size + items.pad[item])
+    good = items.enough(values, item, bounds[row] + a, np.minimum(bounds[row] + b - items.n + 1, bounds[row + 1]))
     open_ = None
-    for r, i, s in zip(row[order].tolist(), item[order].tolist(), start[order].tolist()):
-        size = len(items.words[i])
-        pad = size // 2 + 4
-        a, b = max(0, s - pad), min(int(sizes[r]), s + size + pad)
+    for r, i, a, b in zip(row[good].tolist(), item[good].tolist(), a[good].tolist(), b[good].tolist()):
         if open_ is not None and open_[:2] == (r, i) and a <= open_[3]:
             open_ = (r, i, open_[2], max(b, open_[3]))
         else:
@@ -129,7 +166,7 @@ def _windows(items: Items, rows: np.ndarray, places: np.ndarray, seed: np.ndarra
         yield open_
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, least_words: int = 8,
+def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 2, least: float = 0.5, least_words: int = 8,
           block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): each item a document leaks, with its best alignment."""
     spark = docs.sparkSession
@@ -144,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0
 
 def _leaks_of_block(spark, docs: DataFrame, block: DataFrame, n: int, least: float, least_words: int) -> DataFrame:
     rows = block.orderBy("item_id", "text").collect()
-    items = Items([r.item_id for r in rows], [r.text for r in rows], n, least_words)
+    items = Items([r.item_id for r in rows], [r.text for r in rows], n, least_words, least)
     first = spark.sparkContext.broadcast(items)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +189,7 @@ def _leaks_of_block(spark, docs: DataFrame, block: DataFrame, n: int, least: flo
         total = np.zeros(len(items.distinct), np.int64)
         for batch in batches:
             for words in words_of(batch.column(0)):
-                row, _, seed = items.find(words)
+                row, _, seed = items.find(*shingles(words, items.n))
                 pairs = np.unique(row * max(1, len(total)) + seed)
                 total += np.bincount(pairs % max(1, len(total)), minlength=len(total)) if len(pairs) else 0
         some = np.flatnonzero(total)
@@ -174,7 +211,7 @@ def _leaks_of_block(spark, docs: DataFrame, block: DataFrame, n: int, least: flo
                     texts = [words.hashes[words.bounds[r] + a:words.bounds[r] + b] for r, _, a, b in todo]
                     own = [items.words[i] for _, i, _, _ in todo]
                     score, end = align(own, texts)
-                    good = [k for k in range(len(todo)) if score[k] >= max(least * len(own[k]), least_words / 2)]
+                    good = [k for k in range(len(todo)) if score[k] >= items.needed[todo[k][1]]]
                     if good:  # where it begins: the same, read backwards from its end
                         _, back = align([own[k][::-1] for k in good], [texts[k][:end[k]][::-1] for k in good])
                     for k, length in zip(good, back.tolist() if good else ()):
@@ -184,10 +221,13 @@ def _leaks_of_block(spark, docs: DataFrame, block: DataFrame, n: int, least: flo
                             best[r, i] = new
                     todo.clear()
 
-                for window in _windows(items, *items.find(words), np.diff(words.bounds)):
-                    todo.append(window)
-                    if len(todo) >= AT_ONCE:
+                widest = 0
+                for window in _windows(items, words):
+                    widest = max(widest, window[3] - window[2])
+                    if todo and (len(todo) >= AT_ONCE or (len(todo) + 1) * widest > WORDS_AT_ONCE):
                         settle()
+                        widest = window[3] - window[2]
+                    todo.append(window)
                 if todo:
                     settle()
                 keys = list(best)

@@ -116,6 +116,33 @@ def test_copies_with_edits_are_found_and_clean_documents_left(spark, prose, bloc
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 and decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_the_alignment_of_all_items_and_documents(spark, prose):
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.choice([8, 9, 12, 20, 20, 35]))) for i in range(40)]
+    own = "the item of twenty words that no one else has and whose every fifth word in this copy was changed by us".split()
+    items.append((40, " ".join(own[:20])))
+    docs = [(0, " ".join("edited" if k in (4, 9, 14) else w for k, w in enumerate(own[:20])))]
+    inserted = items[3][1].split()
+    docs.append((1, " ".join(w + (" put in" if k % 4 == 3 else "") for k, w in enumerate(inserted))))
+    for i in range(2, 42):  # one edited copy per item, 10 to 30 per cent of its words changed, among other words
+        leak = items[i - 2][1].split()
+        for k in rng.sample(range(len(leak)), round(len(leak) * rng.choice([0.1, 0.2, 0.25, 0.3]))):
+            leak[k] = rng.choice(["", "edited", "put in", "edited"])
+        docs.append((i, prose(rng, rng.randint(0, 60)) + " " + " ".join(leak) + " " + prose(rng, rng.randint(0, 60))))
+    docs += [(50 + k, items[20][1]) for k in range(5)]  # whole copies raise the counts of all seeds
+    def hashes(texts):
+        return [w.hashes[w.bounds[r]:w.bounds[r + 1]] for w in words_of(pa.array(texts)) for r in range(w.rows)]
+    want = {}
+    for (d, _), text in zip(docs, hashes([t for _, t in docs])):
+        for (i, _), words in zip(items, hashes([t for _, t in items])):
+            best = plain_alignment(words, text)[0]
+            if best >= max(len(words) / 2, 4):
+                want[d, i] = best / len(words)
+    assert (0, 40) in want and len(want) > 30
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == want and len(rows) == len(want)
+
+
 # the pipeline
 
 def test_stages_take_effect(spark, prose, tmp_path):
