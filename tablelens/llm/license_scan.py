@@ -1,6 +1,13 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory. DataFrame functions only.
 
-A text is read in statements: its lines, cut further after a full stop, exclamation or question mark and white space.
+A file's licence is the first that is found of these: the first known name in an SPDX-License-Identifier; the licence
+whose whole text or header is like the whole file; that whose whole text or header is like the file's header block; that
+of the one to four paragraphs in a row of this block that are most like one; that of its best statement. The header block is the comment at the file's beginning after a line with #!: one in /* */, <!-- -->
+or triple quotes, else the lines up to the first that begins with no comment mark and is not blank. Whole files and header
+blocks are weighed if they have one of the LEGAL words, which every whole text and header has (`long_ok`). There a term's weight
+is 1 + ln(count) times ln((1 + N) / (1 + df)) + 1 over the N whole texts and headers (`licence_texts`).
+
+For statements, a text is read in statements: its lines, cut further after a full stop, exclamation or question mark and white space.
 Terms are runs of a-z and 0-9 after lower-casing. A term's weight is its count times ln((1 + N) / (1 + df)) + 1, with df
 the number of the N templates that hold it; terms outside the templates count in a statement's norm. A statement's
 licence is the template with the largest cosine (ties: the first name), a text's is that of its best statement (ties:
@@ -8,7 +15,8 @@ the first statement), if the cosine reaches `least`.
 
 Only statements with one of the templates' own words are weighed: of the others no more than the COMMON words can
 agree, and `templates_ok` shows that these alone can't reach `least`. So the scan over all texts is one expression, and
-only what may be a licence is shuffled.
+only what may be a licence is shuffled. The columns `statement` and `score` of a file are those of what was found: no
+statement but a statement's number, 1 for an identifier, else the cosine.
 
 A file whose name says so (`licence_file`) speaks for its directory and all below; a file without a licence of its own
 takes that of the nearest directory upwards. Directories are joined, one row each, by their paths.
@@ -27,6 +35,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import long_templates
+
 # The usual short statements of public licences.
 TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -49,6 +59,13 @@ TEMPLATES = {
 COMMON = ("all", "and", "by", "is", "of", "the", "this", "to", "under", "0", "1", "2", "3")
 TERM = "[a-z0-9]+"
 STATEMENT_BREAK = r"\n|(?<=[.!?])[ \t]+"
+LEGAL = "(?i)licen[cs]e|copyright|warrant"
+IDENTIFIER = r"(?i)SPDX-License-Identifier:[ \t]*([^\n]*)"
+FENCED = r"""(?s)^(/\*.*?\*/|<!--.*?-->|\"\"\".*?\"\"\"|'''.*?''')"""
+COMMENT_LINE = r"^[ \t\r]*($|#|//|/\*|\*|--|;|%|\.\.|<!--|(?i:rem|dnl)\b)"
+MARK = r"(?m)^[ \t]*(#+|//+|/\*+|\*+/?|--+|;+|%+|\.\.|<!--|(?i:rem|dnl)\b)"
+#: Paragraphs of a header, at most.
+PARAGRAPHS = 4
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 
@@ -73,8 +90,60 @@ def templates_ok(templates: dict[str, str], least: float) -> bool:
     return True
 
 
-def own_licences(files: DataFrame, key: str, *, templates: dict[str, str] = TEMPLATES, least: float = 0.75) -> DataFrame:
+def long_ok(long: list[tuple[str, str]]) -> bool:
+    return all(re.search(LEGAL, text) for _, text in long)
+
+
+def _header(text: Column) -> Column:
+    text = F.regexp_replace(text, r"^(#![^\n]*\n)?\s*", "")
+    lines = F.split(text, "\n")
+    other = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT_LINE)), True).cast("int")
+    marked = F.array_join(F.when(other == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(other - 1, F.lit(0)))), "\n")
+    fenced = F.regexp_extract(text, FENCED, 1)
+    return F.when(fenced != "", fenced).otherwise(marked)
+
+
+def _identified(legal: DataFrame, names: list[str]) -> DataFrame:
+    """(key, licence) of the files with a known SPDX identifier."""
+    known = F.create_map(*[F.lit(x) for name in names for x in (name.lower(), name)])
+    ids = F.regexp_extract_all(F.lower(F.regexp_extract("text", IDENTIFIER, 1)), F.lit("([a-z0-9.+-]+)"))
+    found = F.filter(F.transform(ids, lambda x: F.try_element_at(known, F.regexp_replace(x, r"(-only|-or-later|\+)$", ""))), lambda x: x.isNotNull())
+    return legal.where(F.col("text").rlike(IDENTIFIER)).select("key", F.get(found, F.lit(0)).alias("licence")).where("licence IS NOT NULL")
+
+
+def _alike(legal: DataFrame, long: list[tuple[str, str]], least: float) -> DataFrame:
+    """(key, kind, licence, score): the whole files (kind 1), header blocks (2) and their paragraphs (3) that reach `least` with a whole text or header."""
+    if not long_ok(long):
+        raise ValueError("a whole text or header has none of the legal words")
+    counts = [terms(text) for _, text in long]
+    df = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(long)) / (1 + k)) + 1 for t, k in df.items()}
+    damped = [{t: (1 + math.log(k)) * idf[t] for t, k in c.items()} for c in counts]
+    spark = legal.sparkSession
+    weights_ = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    table = spark.createDataFrame(
+        [(i, name, t, v * idf[t], math.sqrt(sum(x * x for x in d.values()))) for i, ((name, _), d) in enumerate(zip(long, damped)) for t, v in d.items()],
+        "template int, licence string, term string, weight double, norm double")
+    header = F.lower(_header(F.col("text")))
+    paragraphs = F.split(F.regexp_replace(header, MARK, ""), r"\n[ \t\r]*\n")
+    runs = F.flatten(F.transform(paragraphs, lambda _, i: F.transform(
+        F.array(*map(F.lit, range(1, PARAGRAPHS + 1))), lambda k: F.array_join(F.slice(paragraphs, i + 1, k), "\n"))))
+    blocks = legal.select("key", F.posexplode(F.concat(F.array(F.lower("text"), header), F.array_distinct(runs))).alias("block", "s")).where(F.col("s").rlike(LEGAL))
+    words = blocks.select("key", "block", F.explode(F.regexp_extract_all("s", F.lit(f"({TERM})"))).alias("term"))
+    words = words.groupBy("key", "block", "term").agg((F.log(F.count("*")) + 1).alias("v"))
+    norms = words.join(F.broadcast(weights_), "term", "left").groupBy("key", "block").agg(
+        F.sqrt(F.sum(F.pow(F.col("v") * F.coalesce("idf", F.lit(math.log(1 + len(long)) + 1)), 2))).alias("own"))
+    dots = words.join(F.broadcast(table), "term").groupBy("key", "block", "template", "licence").agg(
+        F.sum(F.col("v") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.join(norms, ["key", "block"]).select(
+        "key", F.least(F.col("block") + 1, F.lit(3)).alias("kind"), "licence", F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score"))
+    return scored.where(F.col("score") >= least)
+
+
+def own_licences(files: DataFrame, key: str, *, templates: dict[str, str] = TEMPLATES, least: float = 0.75,
+                 long: list[tuple[str, str]] | None = None) -> DataFrame:
     """(key, licence, score, statement) of the files that bear a licence. `key` names a file."""
+    long = long_templates() if long is None else long
     if not templates_ok(templates, least):
         raise ValueError("a template consists of common words")
     w = weights(templates)
@@ -96,8 +165,13 @@ def own_licences(files: DataFrame, key: str, *, templates: dict[str, str] = TEMP
         F.sum(F.col("k") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     scored = dots.join(norms, ["key", "i"]).select(
         "key", "licence", F.col("i").alias("statement"), F.round(F.col("dot") / (F.col("norm") * F.col("own")), 6).alias("score"))
-    best = F.struct((-F.col("score")).alias("s"), "statement", "licence")
-    return scored.where(F.col("score") >= least).groupBy("key").agg(F.min(best).alias("b")).select(
+    legal = files.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(LEGAL)).distinct()
+    names = sorted({*templates, *(name for name, _ in long)} - {"proprietary"})
+    ways = scored.where(F.col("score") >= least).select("key", F.lit(4).alias("kind"), "score", "statement", "licence").unionByName(
+        _identified(legal, names).select("key", F.lit(0).alias("kind"), F.lit(1.0).alias("score"), F.lit(None).cast("int").alias("statement"), "licence")).unionByName(
+        _alike(legal, long, least).select("key", "kind", "score", F.lit(None).cast("int").alias("statement"), "licence"))
+    best = F.struct("kind", (-F.col("score")).alias("s"), "statement", "licence")
+    return ways.groupBy("key").agg(F.min(best).alias("b")).select(
         F.col("key").alias(key), "b.licence", (-F.col("b.s")).alias("score"), "b.statement")
 
 

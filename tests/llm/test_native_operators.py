@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm import chat_format, kd_shards, license_scan, quality_rules
+from tablelens.llm import chat_format, kd_shards, licence_texts, license_scan, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -177,3 +177,22 @@ def test_every_template_finds_itself(spark):
     assert {(r.id, r.licence, r.score) for r in got} == {(n, n, 1.0) for n in license_scan.TEMPLATES}
     with pytest.raises(ValueError):
         license_scan.own_licences(df, "id", templates={"X": "all and by"})
+
+
+def test_whole_files_headers_and_identifiers_have_a_licence(spark):
+    long = licence_texts.long_templates()
+    want = {f"whole {i}": name for i, (name, _) in enumerate(long)}
+    rows = [(f"whole {i}", "Copyright (c) 2031 Jo Doe and others\n\n" + text) for i, (_, text) in enumerate(long)]
+    for i, (name, texts) in enumerate(licence_texts.HEADERS.items()):
+        for j, text in enumerate(texts):
+            own = ["x.py - does a thing", "Copyright (C) 2031  Jo Doe", "", *text.split("\n")]
+            code = "\n\nimport os\n" + "\n".join(f"value{k} = os.path.join(here, 'name{k}')" for k in range(40))
+            rows += [(f"# {i} {j}", "#!/usr/bin/env python\n" + "\n".join("# " + x for x in own) + code), (f"* {i} {j}", "/*\n" + "\n".join(own) + "\n*/" + code)]
+            want |= {f"# {i} {j}": name, f"* {i} {j}": name}
+    for name, line in (("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"),
+                       ("MIT", "# SPDX-License-Identifier: (MIT OR BSD-3-Clause)"), ("CC-BY-4.0", "<!-- SPDX-License-Identifier: CC-BY-4.0 -->")):
+        rows.append((line, line + "\nx = 1"))
+        want[line] = name
+    rows += [("code", "# Uses the license server of the firm.\nx = 1"), ("SPDX", "# SPDX-License-Identifier: LicenseRef-Own\nx = 1")]
+    got = license_scan.own_licences(spark.createDataFrame(rows, "id string, text string").repartition(4), "id").collect()
+    assert {r.id: r.licence for r in got} == want and all(0.75 <= r.score <= 1 for r in got)
