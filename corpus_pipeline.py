@@ -12,24 +12,34 @@ from pyspark.sql import functions as F
 from tablelens.functions.staging import stage
 from tablelens.llm import decontaminate, language_crf, line_dedup, ngram_join, packing
 
-#: Documents whose language is less certain than this are rejected; text in two or three languages is not.
-LEAST_SCORE = 0.3
+#: The share of the way from an even guess (one by the number of labels) to certainty that a document's words must reach on
+#: average, each with its own likeliest language; so text in two or three languages does. Fewer words with a letter than LEAST_WORDS are too few to tell.
+LEAST_CERTAINTY, LEAST_WORDS = 0.45, 8
 
 
 def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
+def least_certainty(n_labels: int) -> float:
+    """The least certainty that is not rejected; with a single label it tells nothing."""
+    return 1 / n_labels + (1 - 1 / n_labels) * LEAST_CERTAINTY if n_labels > 1 else 0.0
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those whose words belong to no language in particular. The model learns from the
-    labelled documents that are not held out. Without any labelled document nothing can be rejected."""
+    labelled documents that are not held out. Without any labelled document nothing can be rejected. A language of which
+    there is no labelled document at all is rejected as far as its words leave the labels open: foreign scripts mostly are,
+    languages like a learned one mostly pass."""
     learn = docs.where(F.col("doc_id").isNotNull() & ~language_crf.is_held_out(F.col("doc_id")))
     model = language_crf.fit(learn.select("text", "lang", F.col("doc_id").alias("key")))
     if model is None:
         return docs
     rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = language_crf.predict(rows, model, ["row"])
-    return _restored(found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
+    found = language_crf.predict(rows, model, ["row"], certainty=True)
+    short = F.regexp_count("row.text", F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")) < LEAST_WORDS
+    sure = (F.col("certainty") >= least_certainty(len(model.labels))) | short
+    return _restored(found.where((F.col("lang_pred") != language_crf.UNKNOWN) & sure), docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

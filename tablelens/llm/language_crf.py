@@ -6,8 +6,10 @@ hashed into one weight table; between words there is a learned table of transiti
 its probabilities, so text that switches its language is labelled part by part. A document's language has the largest
 mean probability over its words with a letter; that mean is its score.
 
-The weights are learned on the driver from a bounded sample: the `sample_docs` labelled texts with the least hash, of
-at most `sample_chars` code points each (longer ones are no examples, no text is cut). All else covers whole texts.
+The weights are learned on the driver from a bounded sample: of every label the different texts with the least hash, so
+that every label that has an example is learned, however rare it is and however often other texts are repeated. A label's
+share is `sample_docs` by the number of labels, and `per_label` texts (or `sample_docs`, if less) at any rate. Examples have
+at most `sample_chars` code points (longer ones are no examples, no text is cut). All else covers whole texts.
 
 Defined cases: a text that is NULL or has no letter is `und` with score 0; without any labelled text every text is;
 equal means go to the first label in alphabetical order; a NULL label is never learned; repeated rows are documents of
@@ -29,7 +31,7 @@ from .word_hashes import Words, mix, words_of
 _U = np.uint64
 UNKNOWN = "und"
 #: The bounded sample.
-SAMPLE_DOCS, SAMPLE_CHARS = 600, 30_000
+SAMPLE_DOCS, PER_LABEL, SAMPLE_CHARS = 600, 150, 30_000
 TABLE_BITS = 17
 LONGEST_GRAM = 4
 EPOCHS, BATCH_CHAINS, RATE, DECAY = 4, 1_500, 0.4, 1e-6
@@ -168,27 +170,66 @@ def label_words(words: Words, model: Model) -> np.ndarray:
     return _marginals(emitted[inverse], *_chains(words), model)[0]
 
 
-def fit(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """labelled: (text, lang, key); the sample is the same for the same rows in any order."""
+def _least_hashes(usable: DataFrame, sample_docs: int, per_label: int) -> list[tuple[str, int]]:
+    """(lang, h): the least different hashes of each label. Only sketches of counts and these hashes, some more at most, are sent."""
+    zeros = F.when(F.col("h") < 0, 0).otherwise(64 - F.length(F.bin("h")))  # leading zeros; 0 has one digit
+    counted: dict[str, dict[int, int]] = {}
+    for r in usable.groupBy("lang", zeros.alias("zeros")).agg(F.approx_count_distinct("h").alias("n")).collect():
+        counted.setdefault(r.lang, {})[r.zeros] = r.n
+    if not counted:
+        return []
+    share = max(sample_docs // len(counted), min(sample_docs, per_label))
+    found: dict[str, list[int]] = {}
+    wanted, aim = dict(counted), 2 * share
+    while wanted:
+        least = {}  # of each label, the leading zeros that give enough
+        for lang, by_zeros in wanted.items():
+            total = 0
+            for z in sorted(by_zeros, reverse=True):
+                least[lang], total = z, total + by_zeros[z]
+                if total >= aim:
+                    break
+        table = usable.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
+        some = usable.withColumn("zeros", zeros).join(F.broadcast(table), "lang").where("zeros >= least")
+        got: dict[str, list[int]] = {}
+        for r in some.select("lang", "h").distinct().collect():
+            got.setdefault(r.lang, []).append(r.h)
+        for lang in list(wanted):
+            if len(got[lang]) >= share or least[lang] == min(wanted[lang]):
+                found[lang] = sorted(got[lang], key=lambda h: h % 2**64)[:share]
+                del wanted[lang]
+        aim *= 4  # the counts are estimates
+    return [(lang, h) for lang, hashes in found.items() for h in hashes]
+
+
+def fit(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """labelled: (text, lang); other columns are ignored. The sample is the same for the same texts in any order and number."""
     usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
-    usable = usable.select("text", "lang", F.xxhash64("key", "text").alias("h"))
-    least = [r.h for r in usable.select("h").orderBy("h").limit(sample_docs).collect()]  # every task offers hashes, not texts
-    rows = usable.where(F.col("h") <= least[-1]).orderBy("h", "text", "lang").limit(sample_docs).collect() if least else []
-    return train([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    usable = usable.select("text", "lang", F.xxhash64("text").alias("h"))
+    chosen = _least_hashes(usable.select("lang", "h"), sample_docs, per_label)
+    if not chosen:
+        return None
+    table = labelled.sparkSession.createDataFrame(chosen, "lang string, h long")
+    rows = usable.join(F.broadcast(table), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r.h, r.lang))
+    return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep`, `lang_pred` and `score` of every document."""
-    keep = [k for k in keep if k not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model | None, keep: list[str], *, certainty: bool = False) -> DataFrame:
+    """The columns `keep`, `lang_pred` and `score` of every document, and `certainty` if asked for: the mean over its words
+    with a letter of the probability of each word's likeliest label."""
+    added = ["lang_pred", "score"] + ["certainty"] * certainty
+    keep = [k for k in keep if k not in added]
     if model is None:
-        return docs.select(*[F.col(f"`{k}`") for k in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        none = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("certainty")]
+        return docs.select(*[F.col(f"`{k}`") for k in keep], *none[:len(added)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** TABLE_BITS rows
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             text = batch.column(0)
-            found, score = [], []
+            found, score, sure = [], [], []
             for words in words_of(text):
                 probs = label_words(words, model)
                 ascii_letter = np.zeros(len(words.data) + 1, np.int64)
@@ -200,17 +241,20 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     if t is None or not any(map(str.isalpha, t)):
                         found.append(UNKNOWN)
                         score.append(0.0)
+                        sure.append(0.0)
                         continue
-                    own = probs[a:b][lettered[a:b]].mean(axis=0, dtype=np.float64)
+                    each = probs[a:b][lettered[a:b]]
+                    own = each.mean(axis=0, dtype=np.float64)
                     best = int(np.argmax(own))
                     found.append(model.labels[best])
                     score.append(min(1.0, float(own[best])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*batch.schema.names[1:], "lang_pred", "score"])
+                    sure.append(min(1.0, float(each.max(axis=1).mean(dtype=np.float64))) if certainty else 0.0)
+            new = [pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new[:len(added)]], names=[*batch.schema.names[1:], *added])
 
     kept = docs.select(F.col("text").cast("string").alias("the text"), *[F.col(f"`{k}`") for k in keep])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(classify, f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    return kept.mapInArrow(classify, f"{fields}{', ' if fields else ''}lang_pred string, score double{', certainty double' if certainty else ''}")
 
 
 def is_held_out(doc_id: Column) -> Column:

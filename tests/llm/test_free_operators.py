@@ -70,6 +70,42 @@ def test_odd_texts_have_a_defined_language(spark):
     assert language_crf.predict(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_rare_labels_are_learned_and_copies_count_once(spark):
+    rng = random.Random(9)
+    def text(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(12))
+    copy = text("abcd")
+    rows = [(i, copy, "aa") for i in range(600)] + [(1000 + i, text("abcd"), "aa") for i in range(300)]
+    rows += [(2000 + i, text("efgh"), "bb") for i in range(300)] + [(3000 + i, text("ijkl"), "cc") for i in range(2)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    seen = []
+    train = language_crf.train
+    try:
+        language_crf.train = lambda texts, labels: seen.append((texts, labels)) or train(texts, labels)
+        model = language_crf.fit(df.repartition(7), sample_docs=60)
+        language_crf.fit(df.repartition(3).withColumn("key", -F.col("key")), sample_docs=60)
+    finally:
+        language_crf.train = train
+    assert model.labels == ["aa", "bb", "cc"] and seen[0] == seen[1]
+    texts, labels = seen[0]
+    assert [labels.count(x) for x in model.labels] == [60, 60, 2] and len(set(texts)) == len(texts)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    for label in ("aa", "bb"):  # the least hashes, without signs
+        own = sorted({hashes[t] % 2**64 for _, t, x in rows if x == label})[:60]
+        assert sorted(hashes[t] % 2**64 for t, x in zip(texts, labels) if x == label) == own
+    got = language_crf.predict(spark.createDataFrame([(text("ijkl"),), (text("efgh"),)], "text string"), model, []).collect()
+    assert [r.lang_pred for r in got] == ["cc", "bb"]
+
+
+def test_text_of_an_unlearned_language_is_rejected(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("lang IN ('en', 'de')").select("doc_id", "text", "lang")
+    greek = "Η ζωή είναι ωραία και ο κόσμος μεγάλος. Κάθε μέρα μαθαίνουμε κάτι νέο από τους ανθρώπους γύρω μας."
+    more = spark.createDataFrame([(-1, greek, None)], "doc_id long, text string, lang string")
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), str(tmp_path)).collect()}
+    assert left == {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert corpus_pipeline.least_certainty(2) == 0.725 and corpus_pipeline.least_certainty(1) == 0
+
+
 # decontamination
 
 def plain_alignment(a, b):
