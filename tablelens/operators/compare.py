@@ -23,7 +23,6 @@ from .models import Candidate, FitContext, FittedModel, candidates
 
 PRIMARY = {C.REGRESSION: "r2", C.CLASSIFICATION: "f1_weighted"}
 METRICS = {C.REGRESSION: met.REGRESSION_METRICS[:3], C.CLASSIFICATION: met.CLASSIFICATION_METRICS}
-MAX_ERROR_TEXT = 200
 
 
 #: Put before feature names in modelling rows, so that no input column can be mistaken for one of ours.
@@ -161,7 +160,7 @@ def _try_candidate(s: CandidateScore, fit_rows: DataFrame, check_rows: DataFrame
     try:
         s.folds.append(score(task, s.candidate.fit(fit_rows, context).predict(check_rows)))
     except Exception as exc:  # a failing candidate must not end the comparison
-        s.error = str(exc)[:MAX_ERROR_TEXT] or type(exc).__name__
+        s.error = str(exc) or type(exc).__name__
     s.seconds += time.perf_counter() - started
 
 
@@ -253,7 +252,7 @@ def run_comparison(rows: PreparedRows, config: C.AnalysisConfig, task: str) -> M
             importance = permutation_importance(model, prep, test, columns, task, n_test, config.random_state,
                                                 config.importance_repeats)
         except Exception as exc:
-            notes.append(f"permutation importance failed, built-in importance is shown instead ({str(exc)[:100]})")
+            notes.append(f"permutation importance failed, built-in importance is shown instead ({exc})")
             importance = fallback_importance(spark, model, prep, shown)
     failed = spark.createDataFrame(
         [(s.candidate.name, s.error) for s in scores if s.error], "model string, error string")
@@ -268,9 +267,9 @@ def preparation_entries(prep: PrepModel, config: C.AnalysisConfig) -> list[LogEn
     ordinal = [shown(n) for n, c in prep.categories.items() if isinstance(c, OrdinalCoding)]
     out = []
     if onehot:
-        out.append(LogEntry("encoding", ", ".join(onehot[:10]) + ("..." if len(onehot) > 10 else ""), "one-hot", len(onehot)))
+        out.append(LogEntry("encoding", ", ".join(onehot), "one-hot", len(onehot)))
     if ordinal:
-        out.append(LogEntry("encoding", ", ".join(ordinal[:10]) + ("..." if len(ordinal) > 10 else ""),
+        out.append(LogEntry("encoding", ", ".join(ordinal),
                             "ordinal, as there are many levels", len(ordinal)))
     if prep.numbers and config.scaling != "none":
         out.append(LogEntry("scaling", f"{len(prep.numbers)} numeric features", config.scaling, len(prep.numbers)))

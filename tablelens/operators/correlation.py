@@ -98,7 +98,7 @@ def correlation_heatmap(corr: DataFrame, max_cols: int = 15) -> DataFrame:
 
     With more columns than fit, they are arranged by that strength; otherwise in table order."""
     strength = corr.groupBy("ord1", "var1").agg(F.avg(F.abs("corr")).alias("strength"))
-    by_strength = Window.orderBy(F.desc_nulls_last("strength"), "ord1")  # one row per column, at most 40
+    by_strength = Window.orderBy(F.desc_nulls_last("strength"), "ord1")  # one row per column
     ranked = strength.select(
         "ord1", F.row_number().over(by_strength).alias("by_strength"),
         F.row_number().over(Window.orderBy("ord1")).alias("by_order"), F.count("*").over(Window.partitionBy()).alias("n"),

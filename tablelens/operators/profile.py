@@ -15,7 +15,7 @@ from .. import config as C
 from ..functions.columns import (
     NUMBER_TYPES, PROFILED_TYPES, STRING_TYPES, field_type, finite_or_none, number_of, present, ref,
 )
-from ..functions.staging import together
+from ..functions.staging import stage, together
 from ..functions.text import significant
 from . import frequencies as freq
 from .correlation import correlation_matrix
@@ -23,8 +23,8 @@ from .duplicates import count_duplicates
 from .quantiles import AGGREGATE_WIDTH, exact_quantiles
 from .typing_rules import TypeEvidence, decide_type, has_more_numbers_than
 
-#: Numeric columns entering the correlation matrix.
-CORRELATION_COLUMNS = 40
+#: With more numeric columns than this the correlation matrix is staged instead of kept on the driver.
+LOCAL_MATRIX_COLUMNS = 40
 
 PROFILE_SCHEMA = (
     "ordinal int, name string, semantic_type string, dtype string, n_missing bigint, missing_ratio double, "
@@ -51,7 +51,7 @@ class TableProfile:
     n_cols: int
     size_mb: float
     n_duplicated_rows: int | None
-    correlation_limit: int = CORRELATION_COLUMNS
+    correlation_limit: int | None = None
     _correlation: DataFrame | None = field(default=None, repr=False)
 
     def __getitem__(self, name: str) -> ColumnProfile:
@@ -77,14 +77,15 @@ class TableProfile:
         )
 
     def correlation(self) -> DataFrame | None:
-        """Long Pearson matrix (ord1, var1, ord2, var2, corr) of the first numeric columns, or None."""
+        """Long Pearson matrix (ord1, var1, ord2, var2, corr) of all numeric columns, or the first if limited; or None."""
         names = self.names_by_type(C.NUMERIC)[: self.correlation_limit]
         if len(names) < 2:
             return None
         if self._correlation is None:
             matrix = correlation_matrix(self.source, names, {n: (self[n].mean, self[n].std) for n in names})
-            # At most correlation_limit squared rows: kept, as several tables are made from them.
-            self._correlation = self.source.sparkSession.createDataFrame(matrix.collect(), matrix.schema)
+            # Kept, as several tables are made from it.
+            self._correlation = (self.source.sparkSession.createDataFrame(matrix.collect(), matrix.schema)
+                                 if len(names) <= LOCAL_MATRIX_COLUMNS else stage(matrix))
         return self._correlation
 
 
@@ -92,7 +93,7 @@ def profile_table(
     df: DataFrame,
     *,
     overrides: dict[str, str] | None = None,
-    correlation_max_cols: int = CORRELATION_COLUMNS,
+    correlation_max_cols: int | None = None,
     count_duplicate_rows: bool = True,
 ) -> TableProfile:
     """Profile every column of `df`. `overrides` replaces inferred semantic types by name."""
@@ -324,7 +325,11 @@ def numeric_describe_table(profile: DataFrame) -> DataFrame:
         "ordinal", "name", *[F.round(c, 4).alias(c) for c in stats], "n_outliers")
 
 
-def categorical_table(profile: DataFrame, top_n: int = 30) -> DataFrame:
+#: Columns of the table of categories.
+CATEGORICAL_ROWS = 30
+
+
+def categorical_table(profile: DataFrame, top_n: int = CATEGORICAL_ROWS) -> DataFrame:
     return (
         profile.where(F.col("semantic_type") == C.CATEGORICAL).orderBy("ordinal").limit(top_n)
         .select("ordinal", "name", "n_unique", "top_value", "top_freq",

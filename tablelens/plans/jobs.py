@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import config as C
 from ..operators import findings as find
 from ..operators import profile as prof
-from ..operators.charts import chart_tables
+from ..operators.charts import BOX_COLUMNS, HISTOGRAM_COLUMNS, chart_tables
 from ..operators.clean import CleanTable, clean_frame, log_table
 from ..operators.compare import ModelingResult, leaderboard_display, prepare_rows, run_comparison
 from ..operators.correlation import top_correlations
@@ -21,6 +21,8 @@ from . import report
 
 PREVIEW_ROWS = 10
 REPORT_PAIRS = 12
+#: Tables of the first columns of a type only; a message names the others.
+LIMITED = (("histograms", C.NUMERIC, HISTOGRAM_COLUMNS), ("boxes", C.NUMERIC, BOX_COLUMNS), ("categorical", C.CATEGORICAL, prof.CATEGORICAL_ROWS))
 
 
 @dataclass
@@ -76,9 +78,13 @@ def analyze(
                 modeling = run_comparison(prepare_rows(clean, config, task), config, task)
                 messages += modeling.notes
             except Exception as exc:  # an exploration is still worth having
-                messages.append(f"modelling did not finish, only an exploration was made ({str(exc)[:300]})")
+                messages.append(f"modelling did not finish, only an exploration was made ({exc})")
                 task = C.EDA
 
+    for table, kind, limit in LIMITED:
+        left_out = profile.names_by_type(kind)[limit:]
+        if left_out:
+            messages.append(f"{table}: not shown, beyond the first {limit} columns: {', '.join(left_out)}")
     charts = chart_tables(df, profile, target=config.target, task=task, modeling=modeling, top_features=config.top_features)
     result = AnalysisResult(
         profile, clean, task, charts, find.all_findings(profile, meta.get("source", "data"), modeling), modeling, messages)

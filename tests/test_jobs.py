@@ -100,3 +100,17 @@ def test_every_report_table_has_a_place(spark):
     result = analyze(df, AnalysisConfig(target="y", cv_folds=2, max_models=1))
     placed = {n for _, _, tables in SECTIONS for n in tables}
     assert set(result.tables) <= placed
+
+
+def test_pairs_and_names_beyond_the_first_columns(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(120, 44))
+    values[:, 43] = values[:, 42] * 2 + rng.normal(0, 1e-3, 120)
+    names = [f"v{i:02d}" for i in range(44)]
+    df = spark.createDataFrame([tuple(r) for r in values.tolist()], ", ".join(f"{n} double" for n in names))
+    result = analyze(df, AnalysisConfig())
+    top = result.tables["top_correlations"].first()
+    assert (top.var1, top.var2) == ("v42", "v43")
+    said = [r.message for r in result.tables["messages"].collect()]
+    assert any(m.startswith("histograms") and all(n in m for n in names[6:]) and "v05" not in m for m in said)
+    assert any(m.startswith("boxes") and "v08" in m and "v07" not in m for m in said)
