@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import stage
 from . import (
-    chat_format, decontaminate, kd_shards, language_crf, license_scan, line_dedup, ngram_join, packing, quality_rules, token_files,
+    chat_format, decontaminate, kd_shards, language_crf, license_scan, line_dedup, ngram_join, packing, quality_rules, spelling, token_align,
+    token_files, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +181,80 @@ FROM d LEFT JOIN own o USING (doc_id) LEFT JOIN spoken p ON p.dir = d.up2"""
 
 
 ORACLES["op1_license_scan"] = _license_sql()
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block")]
+
+
+@query
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the longest rule that fits it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rules_of(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op11_url_rules"] = rf"""
+WITH r(h, p, v) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+u AS (
+  SELECT row_number() OVER () AS i, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY length(h || p) DESC) = 1"""
+
+#: What a word of `op12_spelling` is made of, and its least code points.
+LETTERS, LEAST_LETTERS = r"a-zÀ-ÿ", 7
+
+
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(word): the runs of letters of all texts, one code point deleted where 31 divides the hash of document and run."""
+    found = docs.select("doc_id", F.explode(spelling.runs(F.col("text"), LETTERS, LEAST_LETTERS)).alias("run"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run"))
+    found = found.select("run", h.alias("h"), (h % F.length("run")).cast("int").alias("at"))
+    cut = F.concat(F.substr("run", F.lit(1), F.col("at")), F.substr("run", F.col("at") + 2))
+    return found.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")).where(F.length("word") >= LEAST_LETTERS)
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and the forms they are variants of."""
+    words = stage(spelling.word_counts(corpus_words(table(spark, sf_dir, "documents")), 2))
+    return spelling.variants(words, times=10)
+
+
+ORACLES["op12_spelling"] = r"""
+WITH RECURSIVE
+k AS (SELECT list_reduce(range(0, 8), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v, i FROM range(0, 256) t(i)),
+crc AS (SELECT list(v ORDER BY i) AS t FROM k),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS raw FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_transform(range(0, length(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM d, crc),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+    sum(k)::BIGINT AS n FROM h GROUP BY 1),
+words AS (SELECT word, n FROM w WHERE n >= 2 AND length(word) >= 7),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM c),
+pair AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM cut x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, y.n, x.word, x.n FROM cut x JOIN words y ON x.a || x.b = y.word),
+near AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM pair GROUP BY word, n),
+f AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * words.n THEN best END AS form, CASE WHEN m >= 10 * words.n THEN m END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+go AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT go.word, f.word, f.form FROM go JOIN f ON f.word = go.next)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN go ON go.word = f.word AND go.next IS NULL"""
+
+
+@query
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers go together in every document."""
+    return token_align.align(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
