@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..functions.staging import stage
-from .csr import Csr, gather, product
+from .csr import Csr, gather, product, spread
 from .token_ids import BYTE_LETTERS
 
 #: UTF-8 bytes of texts in a slice; chunks a worker remembers; chunks aligned at once.
-SLICE_BYTES, REMEMBERED, AT_ONCE = 4 << 20, 300_000, 30_000
+SLICE_BYTES, REMEMBERED, AT_ONCE = 4 << 20, 500_000, 30_000
 SPACE = "▁"
 
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
@@ -66,6 +66,28 @@ def aligner(a: str, b: str) -> "Aligner":
     return _aligners[a, b]
 
 
+def is_open(piece: str) -> bool:
+    """Whether the space after a piece is no place to cut."""
+    return not piece or piece[-1].isspace()
+
+
+class Numbers(dict):
+    """Numbers of chunks; one that is missing gets the next."""
+
+    def __init__(self, owner: "Aligner"):
+        self.owner = owner
+
+    def __missing__(self, chunk: str) -> int:
+        new = self.owner.new
+        if self is self.owner.known and is_open(chunk):
+            number = -1
+        else:
+            number = len(self.owner.groups) + len(new)
+            new.append(chunk)
+        self[chunk] = number
+        return number
+
+
 class Aligner:
     def __init__(self, a: str, b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -85,18 +107,39 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # pieces between spaces; -1: not a chunk by itself
-        self.ends: dict[str, int] = {}  # chunks of several pieces, or at the end of a text
+        self.new: list[str] = []  # chunks with a number that are not aligned yet
+        self.known = Numbers(self)  # pieces between spaces; -1: not a chunk by itself
+        self.ends = Numbers(self)  # chunks of several pieces, or at the end of a text
         self.groups: list[str] = []
+        self.uses = np.zeros(0, np.int64)
         self.figures = [np.zeros((0, len(_FIGURES) + 1), np.int64)]  # and whether the bytes agree
         self.pairs = [Csr(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
+    def _forget_rare(self) -> None:
+        """Keep the half that is used most, and what was used before this time."""
+        figures, pairs = self.memory()
+        keep = np.sort(np.argsort(self.uses, kind="stable")[len(self.groups) // 2:])
+        keep = keep[self.uses[keep] > 1]
+        number = np.full(len(self.groups), -1)
+        number[keep] = np.arange(len(keep))
+        to = number.tolist()
+        for table in (self.known, self.ends):
+            left = {c: to[i] for c, i in table.items() if i >= 0 and to[i] >= 0}
+            table.clear()
+            table.update(left)
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.uses = self.uses[keep] // 2
+        self.figures = [figures[keep]]
+        sizes = np.diff(pairs.starts)[keep]
+        entries = spread(pairs.starts[keep], sizes)
+        self.pairs = [Csr(np.concatenate([[0], np.cumsum(sizes)]), pairs.columns[entries], pairs.values[entries])]
+
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text after a space, each without its first space."""
         out, held = [], None
         for piece in text.split(" "):
             held = piece if held is None else f"{held} {piece}"
-            if piece and not piece[-1].isspace():
+            if not is_open(piece):
                 out.append(held)
                 held = None
         return out if held is None else [*out, held]
@@ -105,14 +148,16 @@ class Aligner:
         a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
         return [e.ids for e in a], self.b.encode(chunks, num_threads=1)
 
-    def _agrees(self, chunk: str, a: list[int], b: list[int]) -> bool:
-        raw = b" " + chunk.encode()
-        return b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+    def _agree(self, chunks: list[str], every_a: list[list[int]], every_b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of both have the bytes of each chunk and its space."""
+        raw = [b" " + c.encode() for c in chunks]
+        joined = [[b"".join(map(entries.__getitem__, ids)) for ids in every] for every, entries in ((every_a, self.a_bytes), (every_b, self.b_bytes))]
+        return [a == r == b for r, a, b in zip(raw, *joined)]
 
     def _add(self, chunks: list[str]) -> None:
         """Tokenize and align chunks that are not known yet; they get the next numbers."""
         every_a, every_b = self.encode(chunks)
-        agree = [self._agrees(*x) for x in zip(chunks, every_a, every_b)]
+        agree = self._agree(chunks, every_a, every_b)
         every_a, every_b = ([ids if fine else [] for ids, fine in zip(every, agree)] for every in (every_a, every_b))
         n = len(chunks)
         sides = []
@@ -144,34 +189,20 @@ class Aligner:
         self.groups += _group_texts(n, (a, a_group), (b, b_group), n_groups)
 
     def _numbers(self, text: str) -> list[int]:
-        pieces = text.split(" ")
-        known = self.known
-        try:
-            found = [known[p] for p in pieces]
-        except KeyError:
-            found = [-1]
+        found = list(map(self.known.__getitem__, text.split(" ")))
         if -1 in found:
-            chunks = self.chunks(text)
-            whole = {c for c in chunks if " " not in c and c and not c[-1].isspace()}
-            return [known[c] if c in whole else self.ends[c] for c in chunks]
+            return [(self.ends if " " in c or is_open(c) else self.known)[c] for c in self.chunks(text)]
         return found
 
-    def _learn(self, texts: list[str]) -> None:
+    def _numbered(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of the chunks of each text, all of them aligned."""
         if len(self.groups) > REMEMBERED:
-            self._forget()
-        new, new_ends = set(), set()
-        for text in texts:
-            pieces = set(text.split(" "))
-            new |= pieces - self.known.keys()
-            if any(not p or p[-1].isspace() for p in pieces):
-                new_ends |= {c for c in self.chunks(text) if " " in c or not c or c[-1].isspace()} - self.ends.keys()
-        for table, some in ((self.known, new), (self.ends, new_ends)):
-            listed = sorted(c for c in some if table is self.ends or (c and not c[-1].isspace()))
-            table |= dict.fromkeys(some, -1)
-            for at in range(0, len(listed), AT_ONCE):
-                block = listed[at:at + AT_ONCE]
-                table |= {c: len(self.groups) + i for i, c in enumerate(block)}
-                self._add(block)
+            self._forget_rare()
+        numbers = [self._numbers(t) if t else [] for t in texts]
+        new, self.new = self.new, []
+        for at in range(0, len(new), AT_ONCE):
+            self._add(new[at:at + AT_ONCE])
+        return numbers
 
     def memory(self) -> tuple[np.ndarray, Csr]:
         """Figures and pairs of all known chunks."""
@@ -183,11 +214,11 @@ class Aligner:
 
     def slice(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], Csr]:
         """Of each text: figures, digest of its groups, and the links of each id pair."""
-        self._learn([t for t in texts if t])
-        numbers = [self._numbers(t) if t else [] for t in texts]
+        numbers = self._numbered(texts)
         figures, pairs = self.memory()
         counts = np.fromiter(map(len, numbers), np.int64, len(texts))
         flat, doc = np.fromiter((i for some in numbers for i in some), np.int64, int(counts.sum())), np.repeat(np.arange(len(texts)), counts)
+        self.uses = np.concatenate([self.uses, np.zeros(len(figures) - len(self.uses), np.int64)]) + np.bincount(flat, minlength=len(figures))
         spoiled = np.bincount(doc, figures[flat, -1] == 0, len(texts)) > 0
         keep = ~spoiled[doc]
         sums = np.stack([np.bincount(doc[keep], figures[flat[keep], k], len(texts)).astype(np.int64) for k in range(len(_FIGURES))], axis=1)
@@ -198,8 +229,7 @@ class Aligner:
 
     def spans(self, text: str) -> list[tuple[int, int, list[int], list[int]]]:
         """(start, length, ids of A, ids of B) of each group of a text."""
-        self._learn([text] if text else [])
-        numbers = self._numbers(text) if text else []
+        numbers = self._numbered([text])[0]
         if not all(self.memory()[0][i, -1] for i in numbers):
             return []
         out, at = [], 0
