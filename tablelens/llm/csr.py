@@ -32,10 +32,6 @@ def gather(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: in
     return Csr(np.searchsorted(row, np.arange(n_rows + 1)), places % width, sums)
 
 
-def transposed(m: Csr, n_columns: int) -> Csr:
-    return gather(m.columns, np.repeat(np.arange(len(m.starts) - 1), np.diff(m.starts)), m.values, n_columns)
-
-
 def product(a: Csr, b: Csr) -> Csr:
     """Gustavson's product: row r of the result is the sum of those rows of `b` that the entries of row r of `a` name, times
     their values. Rows are taken in blocks whose terms are bounded (one row alone may be larger)."""

@@ -61,29 +61,33 @@ def _repeat_words(windows: Column) -> Column:
         F.element_at(F.transform(F.array(ordered), covered), 1))
 
 
+def _bound(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns as the output of a generator: they are computed once per row, as no filter or projection over them is
+    merged into what makes them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def figures(docs: DataFrame) -> DataFrame:
     """Add the base figures, and those that only the rules need (their names begin with `q_`)."""
     docs = docs.drop(*FIGURES, "base_failed", "votes", "quality", "kept")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^" + SPACE_CLASS[1:]))
-    out = docs.withColumn("q_text_words", words(F.col("text")))
-    out = out.withColumn("q_words", F.transform("q_text_words", lambda w: F.xxhash64(w)))
-    out = out.withColumn("q_windows", F.transform(upto(F.size("q_words") - (WINDOW - 1)), lambda i: F.xxhash64(
-        *[F.get(F.col("q_words"), i + k) for k in range(WINDOW)])))
-    out = out.withColumn("q_lines", F.transform(lines, lambda x: F.xxhash64(x)))
 
     def count(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
-    return out.select(
-        *docs.columns, F.size("q_words").cast("long").alias("n_words"),
-        F.length(F.array_join("q_text_words", "")).cast("long").alias("word_chars"),
-        count(SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("q_windows")).cast("long").alias("n_repeat_words"), F.size("q_lines").alias("q_n_lines"),
-        count(r"[!-@\[-`{-~]").alias("q_signs"), count("[0-9]").alias("q_digits"), count("[A-Z]").alias("q_upper"),
-        count("!").alias("q_shouts"), count("[.,;:?]").alias("q_stops"), count("[|]").alias("q_bars"),
-        F.size(F.array_distinct("q_words")).alias("q_distinct"))
+    out = _bound(docs, q_text_words=words(F.col("text")), q_lines=F.transform(lines, lambda x: F.xxhash64(x)))
+    out = _bound(out, q_words=F.transform("q_text_words", lambda w: F.xxhash64(w)),
+                 word_chars=F.length(F.array_join("q_text_words", "")).cast("long"))
+    out = _bound(out, q_windows=F.transform(upto(F.size("q_words") - (WINDOW - 1)), lambda i: F.xxhash64(
+        *[F.get(F.col("q_words"), i + k) for k in range(WINDOW)])))
+    out = _bound(
+        out, n_words=F.size("q_words").cast("long"), n_symbols=count(SYMBOLS).cast("long"),
+        n_dup_lines=(F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
+        n_repeat_words=_repeat_words(F.col("q_windows")).cast("long"), q_n_lines=F.size("q_lines"),
+        q_signs=count(r"[!-@\[-`{-~]"), q_digits=count("[0-9]"), q_upper=count("[A-Z]"), q_shouts=count("!"),
+        q_stops=count("[.,;:?]"), q_bars=count("[|]"), q_distinct=F.size(F.array_distinct("q_words")))
+    return out.select(*docs.columns, *[c for c in FIGURES if c not in ("q_text_words", "q_words", "q_windows", "q_lines")])
 
 
 def vote(bad: Column, good: Column) -> Column:

@@ -41,7 +41,7 @@ from .csr import Csr, gather, product, spread
 from .token_ids import BYTE_LETTERS
 
 #: UTF-8 bytes of texts in a slice; chunks a worker remembers; chunks aligned at once.
-SLICE_BYTES, REMEMBERED, AT_ONCE = 4 << 20, 500_000, 30_000
+SLICE_BYTES, REMEMBERED, AT_ONCE = 2 << 20, 200_000, 20_000
 SPACE = "▁"
 
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
@@ -264,6 +264,11 @@ def _by_slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[s
         at = to
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """In as few bytes each as the largest needs; how many follows from the length."""
+    return values.astype(np.result_type(np.int8, np.min_scalar_type(-int(values.max(initial=0))))).tobytes()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -277,7 +282,7 @@ def slices(docs: DataFrame, a: str, b: str) -> DataFrame:
                 figures, digests, links = both.slice(texts)
                 pairs, columns, n_docs = np.unique(links.columns, return_inverse=True, return_counts=True)
                 row = [number, ids, *figures.T.tolist(), digests, pairs.tolist(), n_docs.tolist(), links.starts.astype("<i8").tobytes(),
-                       columns.astype("<i4").tobytes(), links.values.astype("<i8").tobytes()]
+                       columns.astype("<i4").tobytes(), _packed(links.values)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SLICE)], schema=_SLICE)
                 number += 1
     return _rows(docs).mapInArrow(make, _SLICE_DDL)
@@ -308,7 +313,8 @@ def digests(made: DataFrame, counts: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 ids, *figures, digest, starts, columns, values = (row.column(k)[0].as_py() for k in range(len(names)))
-                starts, columns, values = np.frombuffer(starts, "<i8"), np.frombuffer(columns, "<i4"), np.frombuffer(values, "<i8")
+                starts, columns = np.frombuffer(starts, "<i8"), np.frombuffer(columns, "<i4")
+                values = np.frombuffer(values, f"<i{len(values) // max(1, len(columns)) or 1}").astype(np.int64)
                 count, best = (row.column(k).values.to_numpy(zero_copy_only=False) if len(columns) else np.zeros(0, np.int64)
                                for k in (len(names), len(names) + 1))
                 sums = []
