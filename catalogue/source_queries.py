@@ -99,6 +99,19 @@ def load_csv_quoted(spark, sf_dir):
     return load_table(spark, _written(spark, sf_dir, "conversations")).df
 
 
+@query("load_csv_multiline", """
+SELECT doc_id, CASE WHEN trim(text) <> '' THEN text END AS text, lang, source FROM documents""")
+def load_csv_multiline(spark, sf_dir):
+    """Whole texts with line breaks, quotes and separators as quoted fields of one file, read in splits of 256 kB."""
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.csv"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs.coalesce(1).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    session.conf.set("spark.sql.files.openCostInBytes", "1k")
+    return load_table(session, path).df
+
+
 @query("detect_encoding", """
 SELECT 'utf-8-sig' AS utf8, 'cp949' AS ms949 FROM (SELECT count(*) AS n FROM nation) WHERE n > 0""")
 def encodings(spark, sf_dir):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.columns import INFINITY_TEXT, MISSING_TOKENS, NUMBER_TEXT, ref
 from ..functions.staging import stage
+from .records import records
 from .tidy import LoadError, unique_names
 
 #: What Java calls the encodings. Its own 'cp949' and 'EUC-KR' lose letters that MS949 has.
@@ -58,39 +59,43 @@ def detect_encoding(spark: SparkSession, path: str | list[str]) -> str:
     return C.ENCODINGS[-1]
 
 
-def layout(lines: DataFrame, header: str) -> tuple[str | None, int, int, bool]:
+def layout(lines: DataFrame, header: str, separators: tuple[str, ...] = C.SEPARATORS) -> tuple[str | None, int, int, bool]:
     """(separator, widest row, rows wider than the header, whether quoted fields span lines) from all lines.
 
     The separator is the one that cuts most lines into as many fields as the header, more than one; None if there is a
     single column. A quote counts where a field begins with it; one inside a field is a letter like any other."""
     aggs = [F.count_if(F.length("line") > 0).alias("n")]
-    widths = {sep: len(next(csv.reader([header], delimiter=sep), [])) for sep in C.SEPARATORS}
-    for i, sep in enumerate(C.SEPARATORS):
+    widths = {sep: len(_fields(header, sep)) for sep in separators}
+    for i, sep in enumerate(separators):
         mark = re.escape(sep)
-        bare = F.regexp_replace("line", f'(^|{mark})"([^"]|"")*"(?={mark}|$)', "$1")
+        bare = F.regexp_replace("line", f'(^|{mark})"(?:[^"]++|"")*+"(?={mark}|$)', "$1")
         width = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
         open_ = bare.rlike(f'(^|{mark})"')
         aggs += [F.count_if((width == widths[sep]) & (F.length("line") > 0)).alias(f"same{i}"), F.max(F.when(~open_, width)).alias(f"most{i}"),
                  F.count_if(~open_ & (width > widths[sep])).alias(f"wider{i}"), F.count_if(open_).alias(f"open{i}")]
     row = lines.agg(*aggs).first()
-    usable = [i for i, sep in enumerate(C.SEPARATORS) if widths[sep] > 1]
+    usable = [i for i, sep in enumerate(separators) if widths[sep] > 1]
     best = max(usable, key=lambda i: row[f"same{i}"], default=None)
     if best is None or not row[f"same{best}"]:
-        comma = C.SEPARATORS.index(",")
+        comma = separators.index(",") if "," in separators else 0
         return None, 1, 0, row[f"open{comma}"] > 0
-    return C.SEPARATORS[best], max(row[f"most{best}"] or 0, widths[C.SEPARATORS[best]]), row[f"wider{best}"], row[f"open{best}"] > 0
+    return separators[best], max(row[f"most{best}"] or 0, widths[separators[best]]), row[f"wider{best}"], row[f"open{best}"] > 0
+
+
+def _fields(header: str, separator: str) -> list[str]:
+    return next(csv.reader(io.StringIO(header, newline=""), delimiter=separator), [])
 
 
 def header_names(header: str, separator: str) -> list[str]:
     """Column names of a header line: blanks are numbered, repeats suffixed, as table readers do."""
-    fields = next(csv.reader(io.StringIO(header), delimiter=separator), [])
+    fields = _fields(header, separator)
     names = [f if f.strip() else f"Unnamed: {i}" for i, f in enumerate(fields)]
     return unique_names(names, ".")
 
 
 def read_delimited(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, str, str, list[str]]:
     """(table, encoding, separator, notes). Column types follow from all cells. Fields beyond the header are kept as text in
-    a column of their own; where quoted fields span lines, widths can't be told by lines, and a wider row fails."""
+    a column of their own. Where quoted fields span lines, every split of a file finds its own records (`records`)."""
     try:
         encoding = detect_encoding(spark, path)
     except AnalysisException as exc:
@@ -102,16 +107,21 @@ def read_delimited(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
         raise LoadError(f"'{path}' holds no data")
     header = first["line"].lstrip("\ufeff")
     found, widest, n_wider, multi_line = layout(lines, header)
-    separator = found or ","
+    separator, whole = found or ",", None
+    if multi_line:
+        whole = records(session, path, JAVA_NAMES[encoding], separator)
+        header = whole.where("header").orderBy("file").first()["record"].lstrip("\ufeff")
+        _, widest, n_wider, _ = layout(whole.where("NOT header").select(F.col("record").alias("line")), header, (separator,))
     names = header_names(header, separator)
-    n_extra = 0 if multi_line or found is None else max(0, widest - len(names))
+    n_extra = 0 if found is None else max(0, widest - len(names))
     fields = [f"_{i}" for i in range(len(names) + n_extra)]
     schema = ", ".join(f"{f} string" for f in fields)
-    raw = (
-        session.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", separator)
-        .option("encoding", JAVA_NAMES[encoding]).option("escape", '"').option("multiLine", multi_line)
-        .option("maxCharsPerColumn", -1).csv(path)
-    )
+    options = {"sep": separator, "escape": '"', "maxCharsPerColumn": "-1"}
+    if whole is not None:
+        raw = whole.where("NOT header").select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    else:
+        raw = session.read.schema(schema).options(
+            **options, header=True, enforceSchema=True, encoding=JAVA_NAMES[encoding]).csv(path)
     notes = []
     if n_extra:
         tail = F.concat_ws(separator, *[ref(f) for f in fields[len(names):]])

@@ -1,13 +1,20 @@
 """Loading: encodings, separators, headers, tidying, workbooks."""
 
+import csv
+import io
+import random
 import zipfile
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tablelens import LoadError, list_sheets, load_table
 from tablelens.sources import tidy as td
-from tablelens.sources.delimited import header_names, layout
+from tablelens.sources.delimited import charset_session, header_names, layout, read_delimited
+from tablelens.sources.records import _states, records
 
 REGIONS = ["서울", "부산", "대구", "광주"] * 30
 AMOUNTS = [1000 + 37 * i for i in range(120)]
@@ -53,6 +60,47 @@ def test_tokens_types_quotes_and_lines_in_quotes(spark, tmp_path):
     assert got.df.where("a IS NULL AND b IS NULL AND c IS NULL").count() == 1
 
 
+def cells(rng):
+    return "".join(rng.choice(["a", "b", '"', ",", "\n", "\r\n", " ", "é", '""', "x\n\n\ny"]) for _ in range(rng.randint(0, 8)))
+
+
+@pytest.mark.parametrize("split, encoding", [("400", "utf-8"), ("1500", "cp949"), ("1m", "utf-8")])
+def test_every_split_finds_its_own_records(spark, tmp_path, split, encoding):
+    rng = random.Random(split)
+    rows = [["id", "te\nxt", "c"], *([str(i), cells(rng).replace("é", "가"), cells(rng).replace("é", "나")] for i in range(60)), ["60", "long\n" * 150, '"']]
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator="\r\n").writerows(rows)
+    (tmp_path / "m").mkdir()
+    for i in range(2):
+        write(tmp_path / "m" / f"{i}.csv", "\r\n\r\n" * i + out.getvalue() + "\n", encoding)
+    session = charset_session(spark) if encoding != "utf-8" else spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", split)
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    found = records(session, str(tmp_path / "m"), "MS949" if encoding == "cp949" else "UTF-8", ",").collect()
+    got = [next(csv.reader(io.StringIO(r.record, newline=""))) for r in found if not r.header]
+    assert sorted(got) == sorted(rows[1:] * 2) and [r.record for r in found if r.header] == ['id,"te\nxt",c'] * 2
+    loaded, _, separator, _ = read_delimited(session, str(tmp_path / "m"))
+    assert loaded.columns == rows[0] and separator == ","
+    want = [(int(i), *(x if x.strip(" ") else None for x in (a, b))) for i, a, b in rows[1:]] * 2
+    assert sorted(map(str, map(tuple, loaded.collect()))) == sorted(map(str, want))
+
+
+def test_records_wider_than_the_header_and_a_quote_without_end(spark, tmp_path):
+    got = load_table(spark, write(tmp_path / "w.csv", 'a,b\n1,"x\ny",more\n\n2,"z\n'))
+    assert sorted(map(str, map(tuple, got.df.collect()))) == sorted(map(str, [(1, "x\ny", "more"), (2, "z", None)]))
+    assert any("more fields" in n for n in got.notes)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.booleans())), st.booleans())
+def test_states_of_lines_follow_each_other(maps, inside):
+    opens, stays = (np.array([m[k] for m in maps], bool) for k in (0, 1))
+    want = [inside]
+    for out, in_ in maps:
+        want.append(in_ if want[-1] else out)
+    assert _states(opens, stays, inside).tolist() == want
+
+
 def test_product_codes_are_not_numbers(spark, tmp_path):
     got = load_table(spark, write(tmp_path / "c.csv", "code,x\n3D,1\n1d,2\n1f,3\n"))
     assert got.df.dtypes[0] == ("code", "string")
