@@ -336,6 +336,25 @@ def correlation_wide(spark, sf_dir):
     return wide_correlation(spark, sf_dir).withColumn("corr", F.round("corr", 4) + F.lit(0.0))
 
 
+MANY = [f"m{i}" for i in range(16)]
+
+
+def many_columns(mod: str) -> list[str]:
+    """Sixteen columns of one table, some nearly alike, one flat, one with holes."""
+    made = [f"{mod.format(f'l_orderkey * {i + 1} + l_partkey', 7 + i)} + l_quantity" for i in range(12)]
+    return [*made, "l_extendedprice", "l_extendedprice * l_discount", "l_quantity * 0 + 3", "CASE WHEN l_linenumber < 4 THEN l_suppkey END"]
+
+
+@query("correlation_panels", f"""
+SELECT ord1, var1, ord2, var2, round(corr, 4) + 0.0 AS corr FROM ({corr_sql(MANY, "(SELECT " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {n}" for c, n in zip(many_columns("({} % {})"), MANY)) + " FROM lineitem)")})""")
+def correlation_panels(spark, sf_dir):
+    """Sixteen columns in panels of six."""
+    df = table(spark, sf_dir, "lineitem").select(*[F.expr(c).cast("double").alias(n) for c, n in zip(many_columns("({} % {})"), MANY)])
+    found = corr.correlation_matrix(df, MANY, {n: (None, None) for n in MANY}, panel=6)
+    return found.withColumn("corr", F.round("corr", 4) + F.lit(0.0))
+
+
 @query("top_correlations", f"""
 SELECT var1, var2, round(corr, 4) + 0.0 AS corr FROM ({corr_sql(WIDE, WIDE_SQL)})
 WHERE ord1 < ord2 AND corr IS NOT NULL ORDER BY abs(round(corr, 4)) DESC, ord1, ord2 LIMIT 15""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +17,19 @@ from ..functions.columns import number_of
 FEW_COLUMNS = 8
 #: Variance below this share of the raw second moment counts as zero.
 FLAT = 1e-13
+#: Columns that a task multiplies by as many others, and columns whose sums travel in one row.
+PANEL, TILE = 512, 64
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def correlation_matrix(
-    df: DataFrame, names: list[str], location: dict[str, tuple[float | None, float | None]]
+    df: DataFrame, names: list[str], location: dict[str, tuple[float | None, float | None]], *, panel: int = PANEL
 ) -> DataFrame:
     """(ord1, var1, ord2, var2, corr) for every ordered pair; NULL where a column does not vary over
-    the rows both have. `location` holds mean and standard deviation, used only to keep sums small."""
+    the rows both have. `location` holds mean and standard deviation, used only to keep sums small. A task holds two
+    panels of columns at a time."""
     shifted = df.select(*[_standardised(number_of(df, n), *location[n]).alias(f"x{i}") for i, n in enumerate(names)])
-    sums = _sums_in_jvm(shifted, len(names)) if len(names) <= FEW_COLUMNS else _sums_by_block(shifted, len(names))
+    sums = _sums_in_jvm(shifted, len(names)) if len(names) <= FEW_COLUMNS else _sums_by_panel(shifted, len(names), panel)
     upper = sums.select("i", "j", _corr().alias("corr"))
     both = upper.unionByName(upper.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
     name = F.array(*[F.lit(n) for n in names])
@@ -60,28 +65,61 @@ def _sums_in_jvm(x: DataFrame, k: int) -> DataFrame:
     return x.agg(F.array(*aggs).alias("pairs")).select(F.inline("pairs"))
 
 
-def _sums_by_block(x: DataFrame, k: int) -> DataFrame:
-    """Per-task products of the masked block, one row per pair and task, then added up."""
-    first, second = np.triu_indices(k)
+def _panel_products(first: range, second: range):
+    """Sums of the pairs of two panels of columns over the rows of a task: a row per column of the first panel and tile of the
+    second, so that memory is that of two panels however many columns there are."""
+    same, n = first == second, len(first)
 
-    def block(batches):
-        total = [np.zeros((k, k)) for _ in range(4)]
+    def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(SUMS), n, len(second)))
         for batch in batches:
             # Missing cells arrive as NaN.
             raw = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64", copy=False)
             mask = ~np.isnan(raw)
             z, m = np.where(mask, raw, 0.0), mask.astype("float64")
-            for t, product in zip(total, (m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z)):
-                t += product
-        n, s, ss, sp = total
-        at, back = (first, second), (second, first)
-        yield pa.RecordBatch.from_pydict({
-            "i": first.astype("int32"), "j": second.astype("int32"), "n": n[at], "sx": s[at], "sy": s[back],
-            "sxx": ss[at], "syy": ss[back], "sxy": sp[at],
-        })
-
-    parts = x.mapInArrow(block, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
-    return parts.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+            zp, mp, zq, mq = z[:, :n].T, m[:, :n].T, z if same else z[:, n:], m if same else m[:, n:]
+            for t, (left, right) in zip(total, ((mp, mq), (zp, mq), (mp, zq), (zp * zp, mq), (mp, zq * zq), (zp, zq))):
+                t += left @ right
+        for i, column in enumerate(first):
+            tiles = [t for t in range(0, len(second), TILE) if second[min(t + TILE, len(second)) - 1] >= column]
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array([column] * len(tiles), pa.int32()), "tile": pa.array([second[t] for t in tiles], pa.int32()),
+                "sums": pa.array([total[:, i, t:t + TILE].tobytes() for t in tiles], pa.binary())})
+    return products
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the same column and tile, which follow each other, are added up and taken apart."""
+    def pairs(key: tuple[int, int], sums: np.ndarray) -> pa.RecordBatch:
+        i, tile = key
+        j = np.arange(tile, tile + sums.shape[1])
+        keep = j >= i
+        return pa.RecordBatch.from_pydict({"i": np.full(keep.sum(), i, np.int32), "j": j[keep].astype(np.int32)} |
+                                          {s: row[keep] for s, row in zip(SUMS, sums)})
+    key, total = None, None
+    for batch in batches:
+        for i, tile, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            sums = np.frombuffer(raw).reshape(len(SUMS), -1)
+            if key == (i, tile):
+                total += sums
+                continue
+            if key:
+                yield pairs(key, total)
+            key, total = (i, tile), sums.copy()
+    if key:
+        yield pairs(key, total)
+
+
+def _sums_by_panel(x: DataFrame, k: int, panel: int) -> DataFrame:
+    """A tiled Gramian: each pair of column panels reads its own columns, and the tasks' sums are merged tile by tile."""
+    panels = [range(a, min(a + panel, k)) for a in range(0, k, panel)]
+    if k > TILE:  # few tasks with many rows each: what a task sends grows with the square of the columns, not with its rows
+        x = x.coalesce(2 * x.sparkSession.sparkContext.defaultParallelism)
+    parts = [x.select(*[f"x{i}" for i in (first if first == second else [*first, *second])]).mapInArrow(
+        _panel_products(first, second), "i int, tile int, sums binary") for at, first in enumerate(panels) for second in panels[at:]]
+    together = reduce(DataFrame.unionByName, parts)
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in SUMS)
+    return together.repartition("i", "tile").sortWithinPartitions("i", "tile").mapInArrow(_merged, schema)
 
 
 def top_correlations(corr: DataFrame, top_n: int = 15) -> DataFrame:

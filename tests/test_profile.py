@@ -5,10 +5,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tablelens import infer_column_type, profile_table, suggest_task_type
+from tablelens.operators import correlation
 from tablelens.operators.correlation import correlation_matrix, top_correlations
 from tablelens.operators.duplicates import count_duplicates
 from tablelens.operators.profile import overview_table
@@ -148,3 +150,27 @@ def test_result_does_not_depend_on_partitioning(spark):
         (F.col("id") * 7919 % 1009).cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 41).alias("s"))
     a, b = (profile_table(df.repartition(n)).frame().drop("mean", "std", "skewness").collect() for n in (1, 17))
     assert a == b
+
+
+@pytest.mark.parametrize("k, panel, tile", [(23, 7, 3), (130, 512, 64), (300, 100, 64), (9, 9, 64)])
+def test_correlation_in_panels(spark, monkeypatch, k, panel, tile):
+    monkeypatch.setattr(correlation, "TILE", tile)
+    rng = np.random.default_rng(k)
+    x = rng.normal(size=(80, 4)) @ rng.normal(size=(4, k)) + rng.normal(size=(80, k)) * 0.3 + 100
+    x[:, 2] = 5
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(k)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = correlation.correlation_matrix(df, names, {n: (100.0, 1.0) for n in names}, panel=panel).toPandas()
+    assert len(got) == k * k
+    found = got.pivot(index="ord1", columns="ord2", values="corr").to_numpy(float)
+    want = pd.DataFrame(x).corr().to_numpy()
+    want[2], want[:, 2] = np.nan, np.nan
+    assert np.allclose(found, want, equal_nan=True, atol=1e-8)
+
+
+def test_no_task_sums_more_than_two_panels():
+    first, second = range(0, 4), range(4, 8)
+    batch = pa.RecordBatch.from_arrays([pa.array([1.0, 2.0, float("nan")])] * 8, names=[f"x{i}" for i in range(8)])
+    rows = list(correlation._panel_products(first, second)([batch]))
+    assert sum(len(raw) for b in rows for raw in b.column(2).to_pylist()) == 8 * len(correlation.SUMS) * 16
