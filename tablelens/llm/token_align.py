@@ -146,7 +146,9 @@ class Aligner:
 
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(chunks, num_threads=1)
+        # B adds no space to nothing: a single space at the end of a text
+        b = [ids if c else [self.b.piece_to_id(SPACE)] for c, ids in zip(chunks, self.b.encode(chunks, num_threads=1))]
+        return [e.ids for e in a], b
 
     def _agree(self, chunks: list[str], every_a: list[list[int]], every_b: list[list[int]]) -> list[bool]:
         """Whether the tokens of both have the bytes of each chunk and its space."""
