@@ -5,6 +5,7 @@ for classes, an array `probability`."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from . import knn
+from . import extra_trees, knn
 
 
 @dataclass(frozen=True)
@@ -125,6 +126,16 @@ def _neighbours(train: DataFrame, ctx: FitContext) -> FittedModel:
     return NeighbourModel(train, ctx.settings.neighbours, ctx.n_classes)
 
 
+def _extra_trees(train: DataFrame, ctx: FitContext) -> FittedModel:
+    """All features are tried for a regression, their square root for classes; every tree has all rows."""
+    s = ctx.settings
+    n_tried = None
+    if ctx.n_classes:
+        n_features = train.agg(F.max(F.size(vector_to_array("features")))).first()[0] or 1
+        n_tried = max(1, math.isqrt(n_features))
+    return extra_trees.fit(train, n_trees=s.n_trees, max_depth=s.forest_depth, n_tried=n_tried, n_classes=ctx.n_classes, seed=ctx.seed)
+
+
 def _linear(ctx: FitContext):
     return reg.LinearRegression(solver="auto", standardization=False)
 
@@ -166,8 +177,7 @@ def regression_candidates() -> list[Candidate]:
         Candidate("elastic net", True, _penalised(lambda c: 0.05, lambda c: 0.05)),
         Candidate("decision tree", False, _regressor(_tree(reg.DecisionTreeRegressor))),
         Candidate("random forest", False, _regressor(_forest(reg.RandomForestRegressor, "all", True))),
-        # MLlib has no extremely randomised trees; the nearest relative draws features instead of rows.
-        Candidate("feature-sampled forest", False, _regressor(_forest(reg.RandomForestRegressor, "onethird", False))),
+        Candidate("extra trees", False, _extra_trees),
         Candidate("gradient boosting", False, _regressor(_boosting(reg.GBTRegressor, False))),
         Candidate("histogram boosting", False, _regressor(_boosting(reg.GBTRegressor, True))),
         Candidate("k nearest neighbours", True, _neighbours),
@@ -179,7 +189,7 @@ def classification_candidates() -> list[Candidate]:
         Candidate("logistic regression", True, _classifier(_logistic)),
         Candidate("decision tree", False, _classifier(_tree(cls.DecisionTreeClassifier))),
         Candidate("random forest", False, _classifier(_forest(cls.RandomForestClassifier, "sqrt", True))),
-        Candidate("feature-sampled forest", False, _classifier(_forest(cls.RandomForestClassifier, "sqrt", False))),
+        Candidate("extra trees", False, _extra_trees),
         Candidate("gradient boosting", False, _classifier(_boosting(cls.GBTClassifier, False))),
         Candidate("histogram boosting", False, _classifier(_boosting(cls.GBTClassifier, True))),
         Candidate("k nearest neighbours", True, _neighbours),
