@@ -146,9 +146,9 @@ def fit(train: DataFrame, *, n_trees: int, max_depth: int, n_tried: int | None,
     n_tried, width = min(n_tried or n_features, n_features), n_classes or 3
     centre = 0.0 if n_classes else rows.agg(F.avg("y")).first()[0]
     rows = rows.withColumn("y", F.col("y") - F.lit(centre))
-    trees, gain = Trees.stumps(n_trees, max(1, n_classes)), np.zeros(n_features)
+    trees, gain, n_tasks = Trees.stumps(n_trees, max(1, n_classes)), np.zeros(n_features), rows.rdd.getNumPartitions()
     nodes, tree_of = np.arange(n_trees), np.arange(n_trees)  # in the order of trees
-    whole = summed(rows, trees, nodes, width, lambda s: _whole(s.stop - s.start, n_classes, width))
+    whole = summed(rows, trees, nodes, width, lambda s: _whole(s.stop - s.start, n_classes, width), n_tasks=n_tasks)
     for level in range(max_depth + 1):
         n = whole.sum(axis=1) if n_classes else whole[:, 0]
         trees.value[nodes] = whole / n[:, None] if n_classes else whole[:, 1:2] / n[:, None] + centre
@@ -156,10 +156,11 @@ def fit(train: DataFrame, *, n_trees: int, max_depth: int, n_tried: int | None,
         nodes, tree_of, whole = nodes[grows], tree_of[grows], whole[grows]
         if not len(nodes):
             break
-        ends = summed(rows, trees, nodes, 2 * n_features, lambda s: _ranges(s.stop - s.start, n_features), np.minimum, np.inf)
+        ends = summed(rows, trees, nodes, 2 * n_features, lambda s: _ranges(s.stop - s.start, n_features), np.minimum, np.inf, n_tasks=n_tasks)
         order, place = (np.concatenate(d) for d in zip(*[draws(seed, t, level, n, n_features) for t, n in enumerate(np.bincount(tree_of)) if n]))
         cuts = chosen_cuts(ends[:, :n_features], -ends[:, n_features:], order, place, n_tried)
-        left = summed(rows, trees, nodes, n_features * width, lambda s: _lefts(cuts[s], n_classes, width)).reshape(len(nodes), n_features, width)
+        left = summed(rows, trees, nodes, n_features * width, lambda s: _lefts(cuts[s], n_classes, width), n_tasks=n_tasks)
+        left = left.reshape(len(nodes), n_features, width)
         best, top = best_cuts(cuts, left, whole, order, n_classes)
         split = np.isfinite(top)
         nodes, tree_of, best, cuts, left, whole, top = (v[split] for v in (nodes, tree_of, best, cuts, left, whole, top))

@@ -1,4 +1,4 @@
-"""The candidate models: MLlib estimators behind one small interface, plus exact nearest neighbours.
+"""The candidate models behind one small interface: MLlib estimators, trees grown by sums of our own, exact nearest neighbours.
 
 A training frame has the columns `_id`, `y` and `features`; a prediction frame gains `prediction` and,
 for classes, an array `probability`."""
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from . import extra_trees, knn
+from . import boosting, extra_trees, knn
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,6 @@ class MLlibModel:
         out = self.model.transform(df)
         if not self.is_classifier:
             return out.select(*df.columns, "prediction")
-        if isinstance(self.model, cls.OneVsRestModel):
-            # Binary boosting margins, turned into chances and scaled to sum to one.
-            chance = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
-            out = out.withColumn("_chance", chance)
-            total = F.aggregate("_chance", F.lit(0.0), lambda a, b: a + b)
-            return out.select(*df.columns, "prediction", F.transform("_chance", lambda p: p / total).alias("probability"))
         return out.select(*df.columns, "prediction", vector_to_array("probability").alias("probability"))
 
     def importances(self) -> list[float] | None:
@@ -158,14 +152,20 @@ def _forest(kind, subset: str, bootstrap: bool) -> Callable[[FitContext], object
     return make
 
 
-def _boosting(kind, hist: bool) -> Callable[[FitContext], object]:
-    def make(ctx: FitContext):
-        s = ctx.settings
-        one = kind(maxIter=s.boosting_rounds, stepSize=s.boosting_step, seed=ctx.seed,
-                   maxDepth=s.hist_depth if hist else s.boosting_depth, maxBins=s.hist_bins if hist else s.forest_bins)
-        return cls.OneVsRest(classifier=one) if ctx.n_classes > 2 else one
+def _gradient_boosting(train: DataFrame, ctx: FitContext) -> FittedModel:
+    """MLlib's boosting of a number or of two classes; of more classes, a tree per class and round against the softmax."""
+    s = ctx.settings
+    if ctx.n_classes > 2:
+        few = boosting.Settings(s.boosting_rounds, s.boosting_step, s.boosting_depth, 2 ** s.boosting_depth, s.forest_bins, least_rows=1)
+        return boosting.fit(train, few, n_classes=ctx.n_classes)
+    kind = cls.GBTClassifier if ctx.n_classes else reg.GBTRegressor
+    make = _classifier if ctx.n_classes else _regressor
+    return make(lambda c: kind(maxIter=s.boosting_rounds, stepSize=s.boosting_step, seed=c.seed, maxDepth=s.boosting_depth, maxBins=s.forest_bins))(train, ctx)
 
-    return make
+
+def _histogram_boosting(train: DataFrame, ctx: FitContext) -> FittedModel:
+    s = ctx.settings
+    return boosting.fit(train, boosting.Settings(s.boosting_rounds, s.boosting_step, s.hist_depth, bins=s.hist_bins), n_classes=ctx.n_classes)
 
 
 def regression_candidates() -> list[Candidate]:
@@ -178,8 +178,8 @@ def regression_candidates() -> list[Candidate]:
         Candidate("decision tree", False, _regressor(_tree(reg.DecisionTreeRegressor))),
         Candidate("random forest", False, _regressor(_forest(reg.RandomForestRegressor, "all", True))),
         Candidate("extra trees", False, _extra_trees),
-        Candidate("gradient boosting", False, _regressor(_boosting(reg.GBTRegressor, False))),
-        Candidate("histogram boosting", False, _regressor(_boosting(reg.GBTRegressor, True))),
+        Candidate("gradient boosting", False, _gradient_boosting),
+        Candidate("histogram boosting", False, _histogram_boosting),
         Candidate("k nearest neighbours", True, _neighbours),
     ]
 
@@ -190,8 +190,8 @@ def classification_candidates() -> list[Candidate]:
         Candidate("decision tree", False, _classifier(_tree(cls.DecisionTreeClassifier))),
         Candidate("random forest", False, _classifier(_forest(cls.RandomForestClassifier, "sqrt", True))),
         Candidate("extra trees", False, _extra_trees),
-        Candidate("gradient boosting", False, _classifier(_boosting(cls.GBTClassifier, False))),
-        Candidate("histogram boosting", False, _classifier(_boosting(cls.GBTClassifier, True))),
+        Candidate("gradient boosting", False, _gradient_boosting),
+        Candidate("histogram boosting", False, _histogram_boosting),
         Candidate("k nearest neighbours", True, _neighbours),
     ]
 

@@ -25,25 +25,27 @@ Summing = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 @dataclass
 class Trees:
-    """Nodes of many trees. An inner node sends a row to `left` where its `feature` is at most `cut`, else to the node after
-    it; a leaf's feature is -1."""
+    """Nodes of many trees. An inner node sends a row to `left` where its `feature` is at most `cut`, or is NaN and
+    `nan_left` holds, else to the node after it; a leaf's feature is -1."""
     root: np.ndarray
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
+    nan_left: np.ndarray
     value: np.ndarray  # a row per node
 
     @staticmethod
     def stumps(n_trees: int, n_values: int) -> "Trees":
-        return Trees(np.arange(n_trees), np.full(n_trees, -1), np.zeros(n_trees), np.zeros(n_trees, int), np.zeros((n_trees, n_values)))
+        return Trees(np.arange(n_trees), np.full(n_trees, -1), np.zeros(n_trees), np.zeros(n_trees, int), np.zeros(n_trees, bool),
+                     np.zeros((n_trees, n_values)))
 
-    def split(self, nodes: np.ndarray, features: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    def split(self, nodes: np.ndarray, features: np.ndarray, cuts: np.ndarray, nan_left: np.ndarray | bool = False) -> np.ndarray:
         """Give the nodes two children each; returns the left ones."""
         left = len(self.feature) + 2 * np.arange(len(nodes))
-        self.feature[nodes], self.cut[nodes], self.left[nodes] = features, cuts, left
+        self.feature[nodes], self.cut[nodes], self.left[nodes], self.nan_left[nodes] = features, cuts, left, nan_left
         n = 2 * len(nodes)
         self.feature = np.concatenate([self.feature, np.full(n, -1)])
-        self.cut, self.left = (np.concatenate([a, np.zeros(n, a.dtype)]) for a in (self.cut, self.left))
+        self.cut, self.left, self.nan_left = (np.concatenate([a, np.zeros(n, a.dtype)]) for a in (self.cut, self.left, self.nan_left))
         self.value = np.concatenate([self.value, np.zeros((n, self.value.shape[1]))])
         return left
 
@@ -55,7 +57,8 @@ class Trees:
             inner = feature >= 0
             if not inner.any():
                 return at
-            at = np.where(inner, self.left[at] + (x[rows, np.maximum(feature, 0)] > self.cut[at]), at)
+            value = x[rows, np.maximum(feature, 0)]
+            at = np.where(inner, self.left[at] + np.where(np.isnan(value), ~self.nan_left[at], value > self.cut[at]), at)
 
 
 def training_rows(train: DataFrame, *columns: str) -> DataFrame:
@@ -76,11 +79,17 @@ def by_slot(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order // slots.shape[1], starts, present
 
 
+def split_inputs(part: pa.RecordBatch) -> np.ndarray:
+    return matrix(part.column(1))
+
+
 def summed(
     rows: DataFrame, trees: Trees, open_nodes: np.ndarray, width: int, make: Callable[[slice], Summing], merge: np.ufunc = np.add, empty: float = 0.0,
+    inputs: Callable[[pa.RecordBatch], np.ndarray] = split_inputs, n_tasks: int | None = None,
 ) -> np.ndarray:
     """(open nodes, width): the sums over the rows of each open node, merged over all tasks. `make` gives what is summed for a
-    range of the open nodes; `empty` is what no row gives."""
+    range of the open nodes; `empty` is what no row gives; `inputs` makes the inputs of a slice of rows. Where the
+    sums of all tasks (`n_tasks`) are no more than LIMIT numbers they are merged here, else by a shuffle."""
     per_pass, per_block = max(1, LIMIT // width), max(1, BLOCK // width)
     out = np.full((len(open_nodes), width), empty)
     for at in range(0, len(open_nodes), per_pass):
@@ -94,7 +103,7 @@ def summed(
             for batch in batches:
                 for i in range(0, batch.num_rows, SLICE):
                     part = batch.slice(i, SLICE)
-                    x = matrix(part.column(1))
+                    x = inputs(part)
                     merge(total, sums(x, part, slot_of[trees.leaves(x)]), out=total)
             blocks = range(0, len(some), per_block)
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(blocks), pa.int64()),
@@ -115,8 +124,10 @@ def summed(
             yield pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in done], pa.int64()), "sums": pa.array([r for _, r in done], pa.binary())})
 
         parts = rows.mapInArrow(partial, "block long, sums binary")
-        together = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block long, sums binary")
-        for r in together.collect():  # the open nodes of a pass: at most LIMIT numbers
+        if n_tasks is None or n_tasks * len(some) * width > LIMIT:
+            parts = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block long, sums binary")
+        for r in parts.collect():  # the open nodes of a pass, or those of all tasks: at most LIMIT numbers
             found = np.frombuffer(r["sums"]).reshape(-1, width)
-            out[at + r["block"]:at + r["block"] + len(found)] = found
+            here = out[at + r["block"]:at + r["block"] + len(found)]
+            merge(here, found, out=here)
     return out

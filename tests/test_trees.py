@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tablelens.operators import extra_trees, tree_sums
+from tablelens.operators import boosting, extra_trees, models, tree_sums
 
 
 def frame(spark, x, y, partitions=3):
@@ -110,3 +110,84 @@ def test_extra_trees_of_nothing_to_split(spark):
     assert same.predict(frame(spark, np.ones((2, 2)), [0, 0]).where(F.lit(False))).count() == 0
     with pytest.raises(ValueError):
         extra_trees.fit(frame(spark, np.ones((2, 2)), [0, 0]).where(F.lit(False)), n_trees=2, max_depth=4, n_tried=None)
+
+
+def plain_boosting(x, y, s, n_classes):
+    """The same trees by looking at every value as a cut, node by node, best gain first."""
+    n, edges = len(y), [np.unique(c[~np.isnan(c)])[:-1] for c in x.T]
+    if n_classes:
+        share = np.log(np.bincount(y.astype(int), minlength=n_classes) / n)
+        base = share[1:] - share[:1] if n_classes == 2 else share
+    else:
+        base = np.array([y.mean()])
+    margin, losses = np.tile(base, (n, 1)).astype(float), []
+    for _ in range(s.rounds):
+        g, h = boosting.gradients(y, margin, n_classes)
+        step = np.zeros_like(margin)
+        for k in range(len(base)):
+            def best(rows, depth):
+                found = (1e-9, None)
+                if depth == s.max_depth:
+                    return found
+                G, H = g[rows, k].sum(), h[rows, k].sum()
+                for f in range(x.shape[1]):
+                    for cut in edges[f]:
+                        for nan_left in (False, True):
+                            v = x[rows, f]
+                            low = np.where(np.isnan(v), nan_left, v <= cut)
+                            a, b = rows[low], rows[~low]
+                            if min(len(a), len(b)) < s.least_rows or min(h[a, k].sum(), h[b, k].sum()) < boosting.LEAST_HESSIAN:
+                                continue
+                            gain = g[a, k].sum() ** 2 / h[a, k].sum() + g[b, k].sum() ** 2 / h[b, k].sum() - G * G / H
+                            if gain > found[0] * (1 + 1e-9):
+                                found = (gain, (a, b))
+                return found
+            leaves = [(np.arange(n), 0, best(np.arange(n), 0))]
+            while len(leaves) < s.max_leaves:
+                at = max(range(len(leaves)), key=lambda i: leaves[i][2][0] if leaves[i][2][1] else -1)
+                rows, depth, (gain, parts) = leaves[at]
+                if parts is None:
+                    break
+                leaves[at:at + 1] = [(r, depth + 1, best(r, depth + 1)) for r in parts]
+            for rows, _, _ in leaves:
+                step[rows, k] = -g[rows, k].sum() / h[rows, k].sum()
+        margin = margin + s.step * step
+        if n_classes:
+            losses.append(-np.log(boosting.chances(margin)[np.arange(n), y.astype(int)]).mean())
+    return margin, losses
+
+
+@pytest.mark.parametrize("n_classes, leaves", [(0, 5), (2, 8), (3, 4)])
+def test_boosting_agrees_with_every_cut_tried(spark, monkeypatch, n_classes, leaves):
+    monkeypatch.setattr(boosting, "STAGED", 2)
+    x, y = table(90, 2)
+    x[::7, 0] = np.nan
+    y = y + np.where(np.isnan(x[:, 0]), 4.0, 0.0)
+    if n_classes:
+        y = np.digitize(y, [-1.0, 2.5][:n_classes - 1]).astype(float)
+    y = np.where(np.isnan(y), 6.0, y)
+    s = boosting.Settings(rounds=5, step=0.3, max_depth=3, max_leaves=leaves, bins=255, least_rows=4)
+    model = boosting.fit(frame(spark, x, y), s, n_classes=n_classes)
+    want, losses = plain_boosting(x, y, s, n_classes)
+    assert np.allclose(model.margins(x), want, rtol=1e-6, atol=1e-8)
+    assert all(a > b for a, b in zip(losses, losses[1:]))
+    rows = model.predict(frame(spark, x, y)).orderBy("_id").collect()
+    if n_classes:
+        assert np.allclose([r["probability"] for r in rows], boosting.chances(want), atol=1e-6)
+        assert [r["prediction"] for r in rows] == boosting.chances(want).argmax(axis=1).tolist()
+    else:
+        assert np.allclose([r["prediction"] for r in rows], want[:, 0], atol=1e-6)
+
+
+def test_boosting_with_few_bins_and_one_value(spark):
+    x, y = table(500, 4)
+    model = boosting.fit(frame(spark, x, y), boosting.Settings(rounds=30, bins=16, least_rows=5))
+    assert np.corrcoef(model.margins(x)[:, 0], y)[0, 1] > 0.97 and model.importances()[3] == 0
+    flat = boosting.fit(frame(spark, x[:20], np.full(20, 2.5)), boosting.Settings(rounds=5))
+    assert {r["prediction"] for r in flat.predict(frame(spark, x[:3], y[:3])).collect()} == {2.5}
+
+
+def test_candidates_carry_their_true_names():
+    for task in ("regression", "classification"):
+        names = [c.name for c in models.candidates(task, 99)]
+        assert {"extra trees", "histogram boosting", "gradient boosting"} <= set(names) and len(set(names)) == len(names)
