@@ -77,6 +77,33 @@ def stratified_split_lines(spark, sf_dir):
     return parts.groupBy("l_returnflag", "part").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("key_sum"))
 
 
+@query("stratified_split_many", f"""
+WITH s AS (SELECT l_orderkey AS c, count(*) AS n FROM lineitem GROUP BY 1),
+t AS (SELECT sum(n) AS total, CAST(ceil(sum(n) * 0.2) AS BIGINT) AS n_test FROM s),
+w AS (SELECT c, n * n_test // total AS whole, n * n_test % total AS rest, n_test FROM s, t),
+q AS (SELECT c, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, c) <= n_test - sum(whole) OVER () THEN 1 ELSE 0
+      END AS quota FROM w)
+SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER (PARTITION BY c ORDER BY {_hash_sql(LINE_KEY_SQL, '42')}) <= quota
+  THEN 0 ELSE 1 END AS part FROM lineitem JOIN q ON l_orderkey = c""")
+def stratified_split_many(spark, sf_dir):
+    """Every order is a class of its own."""
+    df = table(spark, sf_dir, "lineitem").select(*LINE_KEY)
+    return sp.stratified_holdout(df, "l_orderkey", LINE_KEY).assign(df, "part").select("l_orderkey", "l_linenumber", "part")
+
+
+@query("stratified_kfold_many", f"""
+WITH s AS (SELECT l_orderkey AS c, count(*) AS n FROM lineitem GROUP BY 1),
+o AS (SELECT c, n, sum(n) OVER (ORDER BY c) - n AS start FROM s),
+f AS (SELECT c, i, (SELECT count(*) FROM range(start, start + n) r(x) WHERE x % 3 = i) AS size
+      FROM (SELECT c, CAST(n AS BIGINT) AS n, CAST(start AS BIGINT) AS start FROM o), range(3) g(i)),
+u AS (SELECT c, i, sum(size) OVER (PARTITION BY c ORDER BY i) AS upto, size FROM f),
+r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_hash_sql(LINE_KEY_SQL, '42f')}) AS rk FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(i AS INTEGER) AS fold FROM r JOIN u ON l_orderkey = u.c AND rk <= upto AND rk > upto - size""")
+def stratified_kfold_many(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*LINE_KEY)
+    return sp.stratified_kfold(df, "l_orderkey", LINE_KEY, 3).assign(df, "fold").select("l_orderkey", "l_linenumber", "fold")
+
+
 # -- regression metrics --------------------------------------------------------------------------------
 PRED_SQL = """(SELECT l_extendedprice AS y, p AS prediction, l_returnflag AS g FROM lineitem JOIN
   (SELECT l_quantity AS q, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1) ON l_quantity = q)"""
@@ -150,6 +177,21 @@ def confusion(spark, sf_dir):
     return met.confusion_matrix(status_by_price(spark, sf_dir))
 
 
+MANY_CLASS_SQL = "(SELECT o_custkey AS y, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey % 97 END AS prediction FROM orders)"
+
+
+@query("confusion_many", f"""
+WITH n AS (SELECT y, prediction, count(*) AS n FROM {MANY_CLASS_SQL} GROUP BY 1, 2),
+k AS (SELECT c FROM (SELECT y AS c, n FROM n UNION ALL SELECT prediction, n FROM n) GROUP BY c ORDER BY sum(n) DESC, c LIMIT 50)
+SELECT coalesce(n.y, g.y) AS y, coalesce(n.prediction, g.prediction) AS prediction, coalesce(n.n, 0) AS n
+FROM n FULL JOIN (SELECT a.c AS y, b.c AS prediction FROM k a, k b) g ON n.y = g.y AND n.prediction = g.prediction""")
+def confusion_many(spark, sf_dir):
+    """A class per customer."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("y"), F.when(
+        F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") % 97).alias("prediction"))
+    return met.confusion_matrix(rows)
+
+
 @query("class_recall", f"SELECT c AS y, support, round(hit / support, 6) AS recall FROM {CLASS_RATES_SQL}")
 def class_recall(spark, sf_dir):
     return met.class_recall(met.confusion_counts(status_by_price(spark, sf_dir))).withColumn("recall", F.round("recall", 6))

@@ -220,6 +220,19 @@ def analyze_report_index(spark, sf_dir):
     return report_index(spark, analyze(table(spark, sf_dir, "part"), config, source_meta={"source": "part"}).tables)
 
 
+def _shown_category(name: str, ordinal: int) -> str:
+    return f"""SELECT '{ordinal}' AS ordinal, '{name}' AS name, format('{{:,}}', count(DISTINCT {name})) AS n_unique,
+  (SELECT {name} FROM orders WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_value,
+  format('{{:,}}', (SELECT count(*) FROM orders WHERE {name} IS NOT NULL GROUP BY {name} ORDER BY 1 DESC LIMIT 1)) AS top_freq,
+  '0' AS missing_pct, false AS truncated FROM orders"""
+
+
+@query("report_display", " UNION ALL ".join([_shown_category("o_orderstatus", 2), _shown_category("o_orderpriority", 5)]))
+def report_display(spark, sf_dir):
+    """The table of categories of a whole analysis, as it is read in the report."""
+    return analyze(table(spark, sf_dir, "orders"), AnalysisConfig()).display["categorical"]
+
+
 @query("analyze_path")
 def analyze_csv(spark, sf_dir):
     """A whole analysis from delimited text: the findings on the loaded table."""

@@ -90,3 +90,10 @@ class AnalysisConfig:
     organization: str = ""
     include_raw_preview: bool = True
     top_features: int = 15
+    #: How much the charts and tables show; a message names what a limit leaves out.
+    histogram_columns: int = 6
+    box_columns: int = 8
+    categorical_rows: int = 30
+    shown_classes: int = 20
+    group_charts: int = 2
+    group_rows: int = 12

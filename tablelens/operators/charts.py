@@ -14,8 +14,7 @@ from .correlation import correlation_heatmap
 from .profile import TableProfile
 
 MIN_BINS, MAX_BINS = 10, 40
-HISTOGRAM_COLUMNS = 6
-BOX_COLUMNS = 8
+DEFAULTS = C.AnalysisConfig()
 HISTOGRAM = "name string, bin int, low double, high double, n bigint, median double"
 
 
@@ -68,7 +67,7 @@ def histograms(df: DataFrame, columns: dict[str, tuple[Column, float, float, int
         "name", "bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"), "median")
 
 
-def numeric_histograms(df: DataFrame, profile: TableProfile, max_cols: int = HISTOGRAM_COLUMNS) -> DataFrame:
+def numeric_histograms(df: DataFrame, profile: TableProfile, max_cols: int = DEFAULTS.histogram_columns) -> DataFrame:
     wanted = {}
     for name in profile.names_by_type(C.NUMERIC)[:max_cols]:
         c = profile[name]
@@ -85,7 +84,7 @@ def histogram_of(df: DataFrame, name: str, x: Column) -> DataFrame:
     return histograms(df, {name: (x, float(row["lo"]), float(row["hi"]), row["n"], None)}).drop("median")
 
 
-def class_distribution(df: DataFrame, target: str, top_n: int = 20) -> DataFrame:
+def class_distribution(df: DataFrame, target: str, top_n: int = DEFAULTS.shown_classes) -> DataFrame:
     """The most frequent classes with their share among those shown, the ratio of the largest to the
     smallest shown, and how many rows have no class."""
     counts = df.groupBy(ref(target).cast("string").alias("label")).agg(F.count("*").alias("n")).persist()
@@ -99,11 +98,11 @@ def class_distribution(df: DataFrame, target: str, top_n: int = 20) -> DataFrame
         rows, "rank int, label string, n bigint, share double, max_min_ratio double, n_missing bigint")
 
 
-def target_distribution(df: DataFrame, target: str, task: str) -> DataFrame:
-    return histogram_of(df, target, number_of(df, target)) if task == C.REGRESSION else class_distribution(df, target)
+def target_distribution(df: DataFrame, target: str, task: str, top_n: int = DEFAULTS.shown_classes) -> DataFrame:
+    return histogram_of(df, target, number_of(df, target)) if task == C.REGRESSION else class_distribution(df, target, top_n)
 
 
-def box_stats(df: DataFrame, profile: TableProfile, max_cols: int = BOX_COLUMNS) -> DataFrame:
+def box_stats(df: DataFrame, profile: TableProfile, max_cols: int = DEFAULTS.box_columns) -> DataFrame:
     """Box plot numbers of the standardised columns: quartiles, whiskers on the last value inside the
     fences, and the points beyond. Constant columns are skipped; fewer than two give no rows."""
     schema = ("ordinal int, name string, q1 double, median double, q3 double, low_whisker double, "
@@ -133,7 +132,8 @@ def box_stats(df: DataFrame, profile: TableProfile, max_cols: int = BOX_COLUMNS)
 
 
 def target_by_category(
-    df: DataFrame, target: str, categories: list[str], *, max_charts: int = 2, max_groups: int = 12
+    df: DataFrame, target: str, categories: list[str], *, max_charts: int = DEFAULTS.group_charts,
+    max_groups: int = DEFAULTS.group_rows,
 ) -> DataFrame:
     """(chart, name, label, mean, overall): mean target of the leading groups of the first categories.
     Empty unless four fifths of the target are numbers; a category with one group is left out."""
@@ -209,24 +209,42 @@ def residual_histogram(predictions: DataFrame) -> DataFrame:
     return histogram_of(predictions, "residual", F.col("y") - F.col("prediction"))
 
 
+def left_out(profile: TableProfile, target: str | None, task: str, limits: C.AnalysisConfig) -> list[str]:
+    """What the limits keep from being shown, as messages."""
+    numeric, categorical = profile.names_by_type(C.NUMERIC), profile.names_by_type(C.CATEGORICAL)
+    limited = [("histograms", numeric, limits.histogram_columns), ("boxes", numeric, limits.box_columns),
+               ("categorical", categorical, limits.categorical_rows)]
+    known = {c.name: c for c in profile.columns}
+    out = []
+    if target and task == C.REGRESSION:
+        limited.append(("means by group", categorical, limits.group_charts))
+        for name in categorical[:limits.group_charts]:
+            if (known[name].n_unique or 0) > limits.group_rows:
+                out.append(f"means by group: the {limits.group_rows} largest of {known[name].n_unique:,} groups of '{name}' are shown")
+    elif target in known and task == C.CLASSIFICATION and (known[target].n_unique or 0) > limits.shown_classes:
+        out.append(f"target: the {limits.shown_classes} most frequent of {known[target].n_unique:,} classes are shown")
+    return [f"{table}: not shown, beyond the first {limit} columns: {', '.join(names[limit:])}" for table, names, limit in limited if names[limit:]] + out
+
+
 # -- choosing ------------------------------------------------------------------------------------------
 def chart_tables(
     df: DataFrame, profile: TableProfile, *, target: str | None = None, task: str = C.EDA, modeling=None,
-    top_features: int = 15,
+    top_features: int = 15, limits: C.AnalysisConfig = DEFAULTS,
 ) -> dict[str, DataFrame]:
-    """The chart data that suits the task, by chart key. Keys of empty charts are left out."""
+    """The chart data that suits the task, by chart key. Keys of empty charts are left out. `limits` says how much each shows."""
     out: dict[str, DataFrame] = {}
     if any(c.n_missing for c in profile.columns):
         out["missing"] = missing_chart(profile.frame())
     if profile.names_by_type(C.NUMERIC):
-        out["distribution"] = numeric_histograms(df, profile)
+        out["distribution"] = numeric_histograms(df, profile, limits.histogram_columns)
     if len(profile.names_by_type(C.NUMERIC)) >= 2:
-        out["boxplot"] = box_stats(df, profile)
+        out["boxplot"] = box_stats(df, profile, limits.box_columns)
         out["correlation"] = correlation_heatmap(profile.correlation())
     if target and target in df.columns:
-        out["target"] = target_distribution(df, target, task)
+        out["target"] = target_distribution(df, target, task, limits.shown_classes)
         if task == C.REGRESSION:
-            out["group_mean"] = target_by_category(df, target, profile.names_by_type(C.CATEGORICAL))
+            out["group_mean"] = target_by_category(
+                df, target, profile.names_by_type(C.CATEGORICAL), max_charts=limits.group_charts, max_groups=limits.group_rows)
     if modeling is not None:
         metric = "r2" if modeling.task == C.REGRESSION else "f1_weighted"
         out["model_comparison"] = model_comparison(modeling.leaderboard, metric)

@@ -33,14 +33,20 @@ def confusion_counts(rows: DataFrame, by: list[str] | None = None, y: str = "y",
     return rows.groupBy(*(by or []), F.col(y).alias("y"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(rows: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
-    """(y, prediction, n) for every pair of classes seen on either side, empty cells as 0."""
+#: Classes between which empty cells are filled in.
+SHOWN_CLASSES = 50
+
+
+def confusion_matrix(rows: DataFrame, y: str = "y", prediction: str = "prediction", *, shown: int = SHOWN_CLASSES) -> DataFrame:
+    """(y, prediction, n): every cell that occurs, and zeros for the empty ones between the `shown` most frequent classes (of
+    either side; ties: the least)."""
     counts = confusion_counts(rows, None, y, prediction)
-    seen = counts.select(F.explode(F.array("y", "prediction")).alias("c")).distinct()
-    # The class list is folded into one row, so that the grid needs no join of rows with rows.
-    grid = seen.agg(F.sort_array(F.collect_set("c")).alias("all")).select(F.explode("all").alias("y"), "all").select(
-        "y", F.explode("all").alias("prediction"))
-    return grid.join(counts, ["y", "prediction"], "left").select("y", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
+    sides = counts.select(F.explode(F.array(*[F.struct(F.col(c).alias("c"), "n") for c in ("y", "prediction")])).alias("s"))
+    frequent = sides.groupBy("s.c").agg(F.sum("s.n").alias("n")).orderBy(F.desc("n"), "c").limit(shown)
+    # at most `shown` classes in one row
+    grid = frequent.agg(F.collect_list(F.struct("c")).alias("all")).select(F.explode("all.c").alias("y"), "all").select(
+        "y", F.explode("all.c").alias("prediction"), F.lit(0).cast("bigint").alias("n"))
+    return counts.unionByName(grid).groupBy("y", "prediction").agg(F.sum("n").alias("n"))
 
 
 def classification_metrics(counts: DataFrame, by: list[str] | None = None) -> DataFrame:

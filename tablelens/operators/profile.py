@@ -325,11 +325,7 @@ def numeric_describe_table(profile: DataFrame) -> DataFrame:
         "ordinal", "name", *[F.round(c, 4).alias(c) for c in stats], "n_outliers")
 
 
-#: Columns of the table of categories.
-CATEGORICAL_ROWS = 30
-
-
-def categorical_table(profile: DataFrame, top_n: int = CATEGORICAL_ROWS) -> DataFrame:
+def categorical_table(profile: DataFrame, top_n: int = C.AnalysisConfig.categorical_rows) -> DataFrame:
     return (
         profile.where(F.col("semantic_type") == C.CATEGORICAL).orderBy("ordinal").limit(top_n)
         .select("ordinal", "name", "n_unique", "top_value", "top_freq",

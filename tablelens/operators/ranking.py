@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
@@ -35,6 +35,18 @@ def sorted_codes(levels: DataFrame, column: str, n_levels: int, *, as_number: bo
     return ranged.join(F.broadcast(offsets), "part").select(column, (F.col("offset") + within).cast("bigint").alias("code"))
 
 
+def prefix_sums(rows: DataFrame, order: list[Column], amount: Column, output: str) -> DataFrame:
+    """Add the sum of `amount` over all rows earlier in `order`, which no two rows may share. The rows are written by ranges of
+    the order; each range is added up by itself and moved on by the ranges before it (a row per range)."""
+    ranged = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
+    before = F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum(amount).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.join(F.broadcast(offsets), "_range")
+    return out.withColumn(output, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_range", "_before")
+
+
 def in_ranges(df: DataFrame, key: str, *, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add `bucket`: an ascending numeric range per row, each of roughly `bucket_rows` rows. The bounds
     are literals, so that recomputed rows always fall into the same range. `df` should be staged."""

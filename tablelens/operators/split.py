@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..functions.staging import stage
+from .ranking import prefix_sums
 
 #: Rows of one hash bucket that a task ranks.
 BUCKET_ROWS = 50_000
 #: Buckets are the leading hexadecimal digits of the hash; at most this many.
 MAX_BUCKET_DIGITS = 5
-#: Classes whose range ends may be broadcast.
-BROADCAST_CLASSES = 200_000
+#: Classes whose range ends may be broadcast, and classes that one task may put in order.
+BROADCAST_CLASSES, ORDERED_CLASSES = 200_000, 1_000
 SMALL_SAMPLE = 30
 
-END = "struct<h:string,k:string>"
+#: A row where a part ends, and how many parts end there (those after the first are empty).
+END = "struct<h:string,k:string,times:bigint>"
 
 
 def row_key(key_columns: list[str]) -> Column:
@@ -72,7 +74,8 @@ class Parts:
             return df.withColumn(output, sum(passed, F.lit(0)).cast("int"))
         ends = F.broadcast(self.ends) if self.broadcast else self.ends
         own = df.withColumn("_me", me).join(ends, ref(self.label).eqNullSafe(F.col("_class")), "left")
-        number = F.size(F.filter(F.coalesce("_ends", F.array().cast(f"array<{END}>")), lambda e: e < F.col("_me")))
+        passed = F.filter(F.coalesce("_ends", F.array().cast(f"array<{END}>")), lambda e: F.struct(e["h"], e["k"]) < F.col("_me"))
+        number = F.aggregate(passed, F.coalesce("_none", F.lit(0).cast("bigint")), lambda n, e: n + e["times"])
         return own.select(*[ref(c) for c in df.columns], number.cast("int").alias(output))
 
 
@@ -81,7 +84,7 @@ def cut_plain(df: DataFrame, key_columns: list[str], salt: str, sizes: list[int]
     cuts = [sum(sizes[: i + 1]) for i in range(len(sizes) - 1)]
     one = df.sparkSession.createDataFrame([(0, cuts)], "_class int, cuts array<bigint>")
     rows = _find_ends(df.withColumn("_class", F.lit(0)), "_class", one, key_columns, salt, sum(sizes), True).collect()
-    ends = sorted((e["h"], e["k"]) for r in rows for e in r["_ends"])
+    ends = sorted((e["h"], e["k"]) for r in rows for e in r["_ends"] or [] for _ in range(e["times"]))
     return Parts(salt, key_columns, None, None, ends)
 
 
@@ -98,7 +101,8 @@ def cut_by_class(
 def _find_ends(
     df: DataFrame, label: str, cuts: DataFrame, key_columns: list[str], salt: str, n_rows: int, few_classes: bool
 ) -> DataFrame:
-    """(_class, _ends): the (hash, key) of the rows whose rank within their class is a cut."""
+    """(_class, _ends, _none): the (hash, key) of the rows whose rank within their class is a cut, and how many parts at the
+    beginning have no row."""
     small = F.broadcast if few_classes else (lambda x: x)
     digits = min(MAX_BUCKET_DIGITS, max(0, math.ceil(math.log(max(n_rows, 1) / BUCKET_ROWS, 16))))
     key = row_key(key_columns)
@@ -106,16 +110,19 @@ def _find_ends(
         "bucket", F.substring("h", 1, digits))
     order = Window.partitionBy("_class").orderBy("bucket")
     counted = rows.groupBy("_class", "bucket").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
-    wanted = cuts.select("_class", F.explode("cuts").alias("cut")).where(F.col("cut") > 0)
+    every = cuts.select("_class", F.explode("cuts").alias("cut")).groupBy("_class", "cut").agg(F.count("*").alias("times"))
+    wanted = every.where(F.col("cut") > 0)
     # One row per class and bucket that holds a cut, with the ranks of the cuts in it.
     targets = stage(
         counted.join(small(wanted), "_class").where(F.col("cut").between(F.col("upto") - F.col("n") + 1, F.col("upto")))
-        .groupBy("_class", "bucket").agg(F.collect_set((F.col("cut") - F.col("upto") + F.col("n")).cast("int")).alias("ranks"))
+        .groupBy("_class", "bucket").agg(F.map_from_entries(F.collect_list(F.struct(
+            (F.col("cut") - F.col("upto") + F.col("n")).cast("int"), "times"))).alias("ranks"))
     )
     rank = F.row_number().over(Window.partitionBy("_class", "bucket").orderBy("h", "k"))
-    hits = rows.join(small(targets), ["_class", "bucket"]).withColumn("rank", rank)
-    return hits.where(F.array_contains("ranks", F.col("rank"))).groupBy("_class").agg(
-        F.collect_list(F.struct("h", "k")).alias("_ends"))
+    hits = rows.join(small(targets), ["_class", "bucket"]).withColumn("times", F.element_at("ranks", rank))
+    ends = hits.where("times IS NOT NULL").groupBy("_class").agg(F.collect_list(F.struct("h", "k", "times")).alias("_ends"))
+    none = every.where(F.col("cut") <= 0).select("_class", F.col("times").alias("_none"))
+    return ends.join(none, "_class", "full").select("_class", "_ends", "_none")
 
 
 # -- the four splits -----------------------------------------------------------------------------------
@@ -134,6 +141,14 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(ref(label).alias("_class")).agg(F.count("*").alias("n"))
 
 
+def _before(sizes: DataFrame, n_classes: int, order: list[Column], amount: Column, output: str) -> DataFrame:
+    """Add the sum of `amount` over the classes earlier in `order`."""
+    if n_classes > ORDERED_CLASSES:
+        return prefix_sums(sizes, order, amount, output)
+    earlier = F.sum(amount).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn(output, F.coalesce(earlier, F.lit(0)))
+
+
 def stratified_holdout(
     df: DataFrame, label: str, key_columns: list[str], *, fraction: float = 0.2, seed: int = 42
 ) -> Parts:
@@ -145,8 +160,8 @@ def stratified_holdout(
     share = sizes.withColumn("whole", F.expr(f"n * {n_test}L div {total['n']}L")).withColumn(
         "left", F.expr(f"n * {n_test}L % {total['n']}L"))
     extra = n_test - (share.agg(F.sum("whole")).first()[0] or 0)
-    by_left = F.row_number().over(Window.orderBy(F.desc("left"), "_class"))  # one row per class
-    cuts = share.select("_class", F.array(F.col("whole") + F.when(by_left <= extra, 1).otherwise(0)).alias("cuts"))
+    placed = _before(share, total["classes"], [F.desc("left"), F.col("_class")], F.lit(1), "place")
+    cuts = placed.select("_class", F.array(F.col("whole") + F.when(F.col("place") < extra, 1).otherwise(0)).alias("cuts"))
     return cut_by_class(df, label, cuts, key_columns, f"{seed}", total["n"], total["classes"])
 
 
@@ -154,11 +169,9 @@ def stratified_kfold(df: DataFrame, label: str, key_columns: list[str], k: int,
     """Classes are dealt to the folds in turn, so that fold sizes differ by at most one as well."""
     sizes = class_sizes(df, label)
     total = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("classes")).first()
-    before = F.sum("n").over(Window.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1))  # one row per class
-    start = F.coalesce(before, F.lit(0))
     # Rows start .. start + n - 1 are dealt; fold i gets those whose position is i modulo k.
     dealt = [F.floor((F.col("start") + F.col("n") + (k - 1 - i)) / k) - F.floor((F.col("start") + (k - 1 - i)) / k)
              for i in range(k)]
     upto = [sum(dealt[1 : i + 1], dealt[0]) for i in range(k - 1)]
-    cuts = sizes.withColumn("start", start).select("_class", F.array(*upto).cast("array<bigint>").alias("cuts"))
+    cuts = _before(sizes, total["classes"], [F.col("_class")], F.col("n"), "start").select("_class", F.array(*upto).cast("array<bigint>").alias("cuts"))
     return cut_by_class(df, label, cuts, key_columns, f"{seed}f", total["n"], total["classes"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import config as C
 from ..operators import findings as find
 from ..operators import profile as prof
-from ..operators.charts import BOX_COLUMNS, HISTOGRAM_COLUMNS, chart_tables
+from ..operators.charts import chart_tables, left_out
 from ..operators.clean import CleanTable, clean_frame, log_table
 from ..operators.compare import ModelingResult, leaderboard_display, prepare_rows, run_comparison
 from ..operators.correlation import top_correlations
@@ -21,8 +21,6 @@ from . import report
 
 PREVIEW_ROWS = 10
 REPORT_PAIRS = 12
-#: Tables of the first columns of a type only; a message names the others.
-LIMITED = (("histograms", C.NUMERIC, HISTOGRAM_COLUMNS), ("boxes", C.NUMERIC, BOX_COLUMNS), ("categorical", C.CATEGORICAL, prof.CATEGORICAL_ROWS))
 
 
 @dataclass
@@ -37,6 +35,8 @@ class AnalysisResult:
     modeling: ModelingResult | None = None
     messages: list[str] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: The tables as they are read: cells as text, and whether rows were left out.
+    display: dict[str, DataFrame] = field(default_factory=dict)
     report_path: str | None = None
 
     @property
@@ -77,21 +77,20 @@ def analyze(
             try:
                 modeling = run_comparison(prepare_rows(clean, config, task), config, task)
                 messages += modeling.notes
-            except Exception as exc:  # an exploration is still worth having
+            except (ValueError, RuntimeError) as exc:  # no usable rows or no fitted candidate; a failing cluster is no such case
                 messages.append(f"modelling did not finish, only an exploration was made ({exc})")
                 task = C.EDA
 
-    for table, kind, limit in LIMITED:
-        left_out = profile.names_by_type(kind)[limit:]
-        if left_out:
-            messages.append(f"{table}: not shown, beyond the first {limit} columns: {', '.join(left_out)}")
-    charts = chart_tables(df, profile, target=config.target, task=task, modeling=modeling, top_features=config.top_features)
+    messages += left_out(profile, config.target, task, config)
+    charts = chart_tables(df, profile, target=config.target, task=task, modeling=modeling, top_features=config.top_features,
+                          limits=config)
     result = AnalysisResult(
         profile, clean, task, charts, find.all_findings(profile, meta.get("source", "data"), modeling), modeling, messages)
     now = datetime.datetime.now()
     result.tables = report_tables(result, df, config, meta, load_notes or [], now)
+    result.display = {name: report.display_table(table) for name, table in result.tables.items() if not name.startswith("chart_")}
     if output:
-        result.report_path = report.write_report_tables(spark, result.tables, output, now=now)
+        result.report_path = report.write_report_tables(spark, result.tables, output, now=now, display=result.display)
     return result
 
 
@@ -121,7 +120,7 @@ def report_tables(
     if profile.names_by_type(C.NUMERIC):
         out["describe"] = prof.numeric_describe_table(frame)
     if profile.names_by_type(C.CATEGORICAL):
-        out["categorical"] = prof.categorical_table(frame)
+        out["categorical"] = prof.categorical_table(frame, config.categorical_rows)
     corr = profile.correlation()
     if corr is not None:
         out["top_correlations"] = top_correlations(corr, REPORT_PAIRS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,9 @@ SECTIONS = (
 def display_table(df: DataFrame, max_rows: int = MAX_TABLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
     """The first rows as text, every row saying whether more were left out."""
     ordered = df.orderBy(*order_by) if order_by else df
-    truncated = df.limit(max_rows + 1).count() > max_rows
+    # one row more than is shown tells whether there are others; these few rows are in one task
+    first = ordered.limit(max_rows + 1).withColumn("_i", F.monotonically_increasing_id())
+    first = first.withColumn("_last", F.max("_i").over(Window.partitionBy()))
     cells = []
     for c in df.columns:
         dtype = field_type(df, c)
@@ -46,7 +48,7 @@ def display_table(df: DataFrame, max_rows: int = MAX_TABLE_ROWS, order_by: list[
             cells.append(F.concat_ws(", ", ref(c)).alias(c))
         else:
             cells.append(F.coalesce(ref(c).cast("string"), F.lit("-")).alias(c))
-    return ordered.limit(max_rows).select(*cells, F.lit(truncated).alias("truncated"))
+    return first.where(F.col("_i") < max_rows).select(*cells, (F.col("_last") >= max_rows).alias("truncated"))
 
 
 def task_label(task: str, target: str | None) -> str:
@@ -85,11 +87,12 @@ def run_folder(base: str, now: datetime.datetime) -> str:
 
 def write_report_tables(
     spark: SparkSession, tables: dict[str, DataFrame], base: str, *, now: datetime.datetime | None = None,
-    source: str = "parquet",
+    source: str = "parquet", display: dict[str, DataFrame] | None = None,
 ) -> str:
-    """Write every table of the report and its index under a folder named after the run; an existing run
-    is never overwritten."""
+    """Write every table of the report and its index under a folder named after the run, those in display form in its folder
+    `display`; an existing run is never overwritten."""
     folder = run_folder(base, now or datetime.datetime.now())
-    for name, df in {**tables, "report_index": report_index(spark, tables)}.items():
+    shown = {f"display/{name}": df for name, df in (display or {}).items()}
+    for name, df in {**tables, **shown, "report_index": report_index(spark, tables)}.items():
         df.write.mode("errorifexists").format(source).save(f"{folder}/{name}")
     return folder

@@ -181,3 +181,35 @@ def test_votes(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 0.0), ("b", 2.0), ("b", 0.0)], "qid string, y double")
     got = {r["qid"]: (r["prediction"], list(r["probability"])) for r in knn.vote_of_neighbours(df, 3).collect()}
     assert got["a"] == (1.0, pytest.approx([1 / 3, 2 / 3, 0])) and got["b"] == (0.0, [0.5, 0.0, 0.5])
+
+
+def test_parts_without_rows_and_many_classes(spark, monkeypatch):
+    rows = [(i, f"c{i % 40}") for i in range(97)]
+    df = spark.createDataFrame(rows, "id int, c string")
+    found = []
+    for ordered in (1_000, 5):
+        monkeypatch.setattr(sp, "ORDERED_CLASSES", ordered)
+        folds = sp.stratified_kfold(df, "c", ["id"], 5)
+        tests = sp.stratified_holdout(df, "c", ["id"])
+        fold = {r["id"]: r["fold"] for r in folds.assign(df, "fold").collect()}
+        part = {r["id"]: r["part"] for r in tests.assign(df, "part").collect()}
+        assert sorted(np.bincount(list(fold.values()))) == [19, 19, 19, 20, 20] and sum(p == 0 for p in part.values()) == 20
+        for c in range(40):
+            mine = [fold[i] for i, name in rows if name == f"c{c}"]
+            assert max(np.bincount(mine)) == 1  # two or three rows, each in a fold of its own
+        found.append((fold, part))
+    assert found[0] == found[1]
+
+
+def test_many_classes_are_not_put_in_order_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(sp, "ORDERED_CLASSES", 5)
+    sizes = sp.class_sizes(spark.range(100).select(F.col("id").cast("string").alias("c")), "c")
+    plan = sp._before(sizes, 100, [F.col("_class")], F.col("n"), "start")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_class" not in plan.replace("#", "").replace(" ", "")
+
+
+def test_confusion_of_many_classes_has_no_grid(spark):
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("y"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(0).alias("prediction"))
+    cells = met.confusion_matrix(rows, shown=10)
+    assert cells.count() == n + 100 - 10 and cells.agg(F.sum("n")).first()[0] == n  # the grid of ten classes has ten full cells

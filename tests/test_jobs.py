@@ -7,9 +7,10 @@ from urllib.parse import urlparse
 import numpy as np
 import pytest
 
-from tablelens import AnalysisConfig, analyze, analyze_path, temporary_copies, write_report_tables
+from tablelens import AnalysisConfig, analyze, analyze_path, profile_table, temporary_copies, write_report_tables
 from tablelens.functions.staging import stage
-from tablelens.plans import batch
+from tablelens.operators.charts import left_out
+from tablelens.plans import batch, jobs
 from tablelens.plans.report import SECTIONS, display_table, task_label
 
 
@@ -114,3 +115,36 @@ def test_pairs_and_names_beyond_the_first_columns(spark):
     said = [r.message for r in result.tables["messages"].collect()]
     assert any(m.startswith("histograms") and all(n in m for n in names[6:]) and "v05" not in m for m in said)
     assert any(m.startswith("boxes") and "v08" in m and "v07" not in m for m in said)
+    more = analyze(df, AnalysisConfig(histogram_columns=44, box_columns=43))
+    assert more.charts["distribution"].select("name").distinct().count() == 44
+    assert [r.message for r in more.tables["messages"].collect()] == ["boxes: not shown, beyond the first 43 columns: v43"]
+
+
+def test_limits_of_groups_and_classes_are_told(spark):
+    df = spark.createDataFrame([(float(i), f"c{i % 15}", "ab"[i % 2], f"d{i % 25}") for i in range(300)], "y double, c string, d string, e string")
+    profile = profile_table(df)
+    said = left_out(profile, "y", "regression", AnalysisConfig())
+    assert any(m.startswith("means by group: the 12 largest of 15") for m in said) and any(m.endswith("columns: e") for m in said)
+    assert left_out(profile, "e", "classification", AnalysisConfig()) == ["target: the 20 most frequent of 25 classes are shown"]
+    assert left_out(profile, "e", "classification", AnalysisConfig(shown_classes=30)) == []
+
+
+def test_only_unusable_data_becomes_an_exploration(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 23), float(i)) for i in range(60)], "x double, y double")
+
+    def failing(error):
+        def run(*_):
+            raise error
+        monkeypatch.setattr(jobs, "run_comparison", run)
+        return analyze(df, AnalysisConfig(target="y", cv_folds=2, max_models=1))
+    assert failing(RuntimeError("no candidate")).modeling is None
+    with pytest.raises(OSError):
+        failing(OSError("an executor is lost"))
+
+
+def test_report_is_written_in_display_form_too(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7, "ab"[i % 2]) for i in range(60)], "x int, c string")
+    result = analyze(df, AnalysisConfig(), output=str(tmp_path))
+    shown = spark.read.parquet(f"{result.report_path}/display/table_summary")
+    assert all(t == "string" for c, t in shown.dtypes if c != "truncated") and shown.count() == result.tables["table_summary"].count()
+    assert set(result.display) == {n for n in result.tables if not n.startswith("chart_")}
