@@ -26,7 +26,7 @@ from .token_ids import coder
 
 SEGMENT_TOKENS = 1 << 21
 #: Documents encoded at once, and words a worker remembers for it.
-SLICE, REMEMBERED = 128, 1_600_000
+SLICE, REMEMBERED = 128, 2_400_000
 
 _SEGMENT = pa.schema([("part", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
                       ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("ids", pa.binary())])

@@ -17,9 +17,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words remembered by one Python worker (some 0.2 kB each), which keeps them while it lives; when full the memory starts
-#: anew. Only speed depends on it.
-REMEMBERED = 250_000
+#: Words remembered by one Python worker (some 0.2 kB each), which keeps them while it lives; when full, those not met since
+#: it was half full are forgotten. Only speed depends on it.
+REMEMBERED = 600_000
 #: The letters that stand for bytes without a printable one in both vocabularies.
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(0, 33), *range(127, 161), 173])}
 
@@ -35,15 +35,19 @@ def coder(name: str, remembered: int = REMEMBERED) -> "Coder":
 
 
 class Known(dict):
-    """A dictionary that finds what is missing."""
+    """A dictionary that finds what is missing, first among what it held before it aged."""
 
     def __init__(self, find: Callable[[str], bytes | None]):
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, word: str) -> bytes | None:
-        found = self[word] = self.find(word)
+        found = self[word] = self.older[word] if word in self.older else self.find(word)
         return found
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class Coder:
     def __init__(self, name: str):
@@ -52,9 +56,6 @@ class Coder:
         self.byte_level = name.startswith("byte")  # white space counts, and a word differs from a space-led word
         self.lead, self.line_break = (" ", self._whole("\n")) if self.byte_level else ("", b"")
         self.remembered = REMEMBERED
-        self._forget()
-
-    def _forget(self) -> None:
         self.known = Known(self._ids)
         self.stops = {c: self._whole(c) for c in ".,"}
 
@@ -87,8 +88,8 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a NULL text has none."""
-        if len(self.known) > self.remembered:
-            self._forget()
+        if 2 * len(self.known) > self.remembered:
+            self.known.age()
         skip, known, out = len(self.line_break), self.known.__getitem__, []
         for text in texts:
             words = ("\n" + (text or "")).replace("\n", " \n").split(" ")
