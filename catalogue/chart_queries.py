@@ -61,10 +61,11 @@ def _enough_values(name: str) -> str:
 
 
 @query("histograms", "\nUNION ALL\n".join(
-    histogram_sql("events", n, f"CAST({n} AS DOUBLE)") + f" AND {_enough_values(n)}" for n in EVENT_NUMBERS))
+    f"SELECT *, (SELECT round(median({n}), 3) FROM events) AS median FROM (" +
+    histogram_sql("events", n, f"CAST({n} AS DOUBLE)") + f" AND {_enough_values(n)})" for n in EVENT_NUMBERS))
 def histograms(spark, sf_dir):
     df = table(spark, sf_dir, "events")
-    return _round(ch.numeric_histograms(df, _profile(df)).drop("median"), low=3, high=3)
+    return _round(ch.numeric_histograms(df, _profile(df)), low=3, high=3, median=3)
 
 
 @query("target_distribution_numeric", histogram_sql("orders", "o_totalprice", "o_totalprice"))

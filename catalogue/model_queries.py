@@ -239,4 +239,4 @@ def analyze_csv(spark, sf_dir):
     from tablelens.plans.jobs import analyze_path
 
     from .source_queries import _written
-    return analyze_path(spark, _written(spark, sf_dir, "customer", sep=";"), AnalysisConfig()).findings.drop("sentence")
+    return analyze_path(spark, _written(spark, sf_dir, "customer", sep=";"), AnalysisConfig()).findings

@@ -240,17 +240,22 @@ def type_counts(spark, sf_dir):
 
 
 # -- tables of the profile ---------------------------------------------------------------------------
+#: The mean to four digits, else the most frequent value, else two samples.
+HEADLINE_SQL = """CASE WHEN semantic_type = 'numeric' AND abs(mean) >= 9999.5 THEN regexp_replace(format('{:.3e}', mean), '\\.?0*e', 'e')
+  WHEN semantic_type = 'numeric' THEN regexp_replace(format('{:,}', round(mean, 3 - CAST(floor(log10(abs(mean))) AS INTEGER))), '\\.0$', '')
+  ELSE coalesce(top_value, array_to_string(string_split(samples, '|')[1:2], ', ')) END"""
+
+
 @query("overview", f"""
-SELECT ordinal, name, semantic_type, n_missing, round(missing_ratio * 100, 2) AS missing_pct, n_unique
+SELECT ordinal, name, CASE WHEN name IN ('rate', 'price') THEN 'double' ELSE 'string' END AS dtype, semantic_type, n_missing, round(missing_ratio * 100, 2) AS missing_pct, n_unique, {HEADLINE_SQL} AS headline
 FROM ({profile_sql(AS_TEXT_SQL, AS_TEXT_COLUMNS)})""")
 def overview(spark, sf_dir):
     p = prof.profile_table(lineitem_as_text(spark, sf_dir), count_duplicate_rows=False)
-    return prof.overview_table(p.frame()).drop("dtype", "headline")
+    return prof.overview_table(p.frame())
 
 
 @query("headline_values", f"""
-SELECT name, CASE WHEN semantic_type = 'numeric' THEN regexp_replace(format('{{:,}}', round(mean, 3 - CAST(floor(log10(abs(mean))) AS INTEGER))), '\\.0$', '')
-  ELSE coalesce(top_value, array_to_string(string_split(samples, '|')[1:2], ', ')) END AS headline
+SELECT name, {HEADLINE_SQL} AS headline
 FROM ({profile_sql('customer', TABLES['customer'])})""")
 def headline(spark, sf_dir):
     p = prof.profile_table(table(spark, sf_dir, "customer"), count_duplicate_rows=False)
