@@ -115,6 +115,18 @@ def test_quality_agrees_with_labels(spark):
     assert out[out.label == 1].kept.mean() > 0.99
 
 
+def test_filters_on_figures_leave_one_split_of_the_text(spark):
+    docs = spark.createDataFrame([(1, "a b c\n" * 20), (2, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        some = quality_rules.figures(docs).where("n_words >= 10 AND n_repeat_words * 100 <= n_words * 500 AND n_dup_lines > 2")
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("split(") == 2  # into words, and into lines
+    assert [r["doc_id"] for r in some.collect()] == [1]
+
+
 # sharding
 
 def shards_of(spark, rows, k):
