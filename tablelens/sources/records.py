@@ -52,6 +52,8 @@ def _with_ends(lines: DataFrame, separator: str) -> DataFrame:
 def _states(opens: np.ndarray, stays: np.ndarray, inside: bool) -> np.ndarray:
     """The state before each line and after the last: the last line whose map is constant decides, swaps after it alternate."""
     n = len(opens)
+    if not n:
+        return np.array([inside])
     constant, swap = opens == stays, opens & ~stays
     swaps = np.concatenate([[0], np.cumsum(swap)])
     last = np.maximum.accumulate(np.concatenate([[-1], np.where(constant, np.arange(n), -1)]))
