@@ -8,7 +8,9 @@ sequence as one). Two documents link when the intersection is at least num/den o
    sizes has more slices of the hash range than that, so two linked sets agree in at least one slice in full. A tile
    is (band, slice, hash of the slice's shingles); a class enters the tile of each of its slices, and if it may link
    into the next lower band, that band's tiles as a visitor too. A slice holds several shingles, so neither frequent
-   shingles nor shared passages bring unlike documents together, and no order by frequency is needed.
+   shingles nor shared passages bring unlike documents together, and no order by frequency is needed. Tiles are two
+   numbers a row (tile, class) until those with one class are gone; of tiles with the same classes, as near copies have
+   by the dozen, one stays.
 3. Hashed bitmap signatures: each shingle flips one bit, so differing bits bound the symmetric difference from below
    and the intersection from above. Each class is first compared with the first class of its tiles; pairs that pass are
    decided exactly, and what they link becomes groups. Then, tile by tile, pairs of different groups are bounded by
@@ -124,7 +126,7 @@ def _slice_tiles(flat: np.ndarray, size: np.ndarray, band: np.ndarray, bands: Ba
 
 
 def _tiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(tile, n, digest, visits) of every set; a task reports a set once."""
+    """(tile, class) of every set, the class by its key with the last bit set for visitors; a task reports a set once."""
     bands = Bands(num, den)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +148,20 @@ def _tiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             if len(down):
                 parts.append((*_slice_tiles(np.concatenate([held[i] for i in down]), size[down], band[down] - 1, bands), down, True))
             for tiles, who, index, visits in parts:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(tiles.view(np.int64)), pa.array(size[index[who]]), pa.array(digest[index[who]]),
-                    pa.array(np.full(len(tiles), visits))], names=["tile", "n", "digest", "visits"])
+                keys = digest[index[who]] & ~1 | visits
+                yield pa.RecordBatch.from_arrays([pa.array(tiles.view(np.int64)), pa.array(keys)], names=["tile", "class"])
 
-    return docs.mapInArrow(rows, "tile long, n long, digest long, visits boolean")
+    return docs.mapInArrow(rows, "tile long, class long")
+
+
+def _shared_tiles(tiles: DataFrame) -> DataFrame:
+    """(tile, class): the tiles that hold more than one class, and of those that hold the same classes one."""
+    order = Window.partitionBy("tile").orderBy("class")
+    rows = tiles.withColumn("before", F.lag("class").over(order)).withColumn("after", F.lead("class").over(order))
+    rows = stage(rows.where("before <> class OR after <> class").select("tile", "class").distinct())
+    held = rows.groupBy("tile").agg(
+        F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    return rows.join(held.groupBy("x", "y", "n").agg(F.min("tile").alias("tile")).select("tile"), "tile", "left_semi")
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -266,31 +277,36 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
     every = stage(_scan(docs, n))
     classes = every.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
 
-    # tiles that hold more than one class
-    tile = Window.partitionBy("tile").orderBy("digest", "n")
-    rows = _tiles(docs, n, num, den).withColumn("before", F.lag("digest").over(tile)).withColumn("after", F.lead("digest").over(tile))
-    rows = rows.where("before <> digest OR after <> digest").select("tile", "n", "digest", "visits").distinct()
-    shared = stage(rows.join(classes, ["n", "digest"]).where("node IS NOT NULL").select("tile", "n", "node", "visits", "signature"))
-    sets = _full_sets(docs, shared.select("node").distinct(), n)
+    keyed = classes.where("node IS NOT NULL").select("node", F.col("digest").bitwiseAND(F.lit(~1)).alias("key"))
+    rows = _shared_tiles(_tiles(docs, n, num, den)).select(
+        "tile", F.col("class").bitwiseAND(F.lit(~1)).alias("key"), (F.col("class").bitwiseAND(F.lit(1)) == 1).alias("visits"))
+    shared = stage(rows.join(keyed, "key").select("tile", "node", "visits"))
+    nodes = shared.select("node").distinct()
+    looks = stage(classes.join(nodes, "node", "left_semi").select("node", "n", "signature"))
+    sets = _full_sets(docs, nodes, n)
 
     # each class against the first one of its tiles
-    first = _streamed(shared.withColumn("group", F.col("node")), _with_first, num, den)
+    first = _streamed(shared.join(looks, "node").withColumn("group", F.col("node")), _with_first, num, den)
     first = first.groupBy("b").agg(F.min("a").alias("a"))  # one for each
     first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stage(_linked(first, sets, num, den))
 
-    # what may join two groups: the likeliest pair of each group, then all pairs
-    tried, groups = first, stage(components(links))
-    for one_each in [True] * MERGES + [False]:
-        open_rows = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
-        several = open_rows.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
-        visit = partial(_all_pairs, one_each=one_each)
-        pairs = stage(_streamed(open_rows.join(several, "tile"), visit, num, den).join(tried, ["a", "b"], "left_anti"))
+    # what may join two groups: the likeliest pair of each group, as long as that finds links, then all pairs
+    tried, groups, merges = first, stage(components(links)), MERGES
+    while True:
+        grouped = shared.join(groups, "node", "left").select("tile", "node", "visits", F.coalesce("component", "node").alias("group"))
+        several = grouped.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
+        open_rows = grouped.join(several, "tile").join(looks, "node")
+        visit = partial(_all_pairs, one_each=merges > 0)
+        pairs = stage(_streamed(open_rows, visit, num, den).join(tried, ["a", "b"], "left_anti"))
         found = stage(_linked(pairs, sets, num, den))
-        if not found.isEmpty():
+        new = not found.isEmpty()
+        if new:
             links = links.unionByName(found)
             groups = stage(components(links))
-        tried = tried.unionByName(pairs)
+        if not merges:
+            break
+        tried, merges = tried.unionByName(pairs), merges - 1 if new else 0
 
     copies = every.join(classes, ["n", "digest"], "left").select("doc_id", "n", "node")
     out = copies.join(groups, "node", "left")
