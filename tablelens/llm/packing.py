@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces into sequences of bounded length.
 
 Bounded-space online best-fit: a fixed number of bins is open at a time, held in a bitset with one bit per amount of
-free space. A piece goes into the open bin with the least free space that still takes it; where none does, a new bin
-is opened, and the fullest open one closes first if all places are taken. Pieces are dealt at random to groups of
-bounded size, packed side by side; the bins still open at the end of a group are then packed like pieces among
-themselves, level by level, until one group holds them all. Nothing but one group is ever in one task.
+free space. Pieces are taken as they arrive, never sorted by length: each goes into the open bin with the least free
+space that still takes it; where none does, a new bin is opened, and the fullest open one closes first if all places
+are taken. Pieces are dealt at random to groups of bounded size, packed side by side; the bins still open at the end of
+a group arrive like pieces at the next level, until one group holds them all. Nothing but one group is ever in one
+task. No more bins are open than half the rows of a group, so every level has fewer rows than the one before.
 
 Defined cases: a NULL text is empty, and an empty document is its end id alone; repeated rows are documents of their
 own; longer documents are cut into pieces of the capacity, the last one may be shorter; other columns are ignored.
@@ -27,7 +28,7 @@ from .token_ids import coder
 
 #: Pieces (or left-over bins) that one task packs, and bins open at a time.
 GROUP_ROWS = 20_000
-OPEN_BINS = 8_192
+OPEN_BINS = 512
 #: Documents encoded at once.
 SLICE = 128
 
@@ -92,8 +93,7 @@ def _packed(items: DataFrame, n: int, level: int, capacity: int, n_open: int, gr
     groups = max(1, math.ceil(n / group_rows))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        # the longest arrive first, as the short ones then fill what is left; the row ids make the order definite
-        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values("row", ignore_index=True)  # the order of arrival
         bins, offsets, left = best_fit(pdf["length"].tolist(), capacity, n_open)
         first = (int(pdf["group"].iloc[0]) << 32) + (level << 58)
         return pd.DataFrame({
@@ -107,6 +107,9 @@ def _packed(items: DataFrame, n: int, level: int, capacity: int, n_open: int, gr
 def pack(docs: DataFrame, *, capacity: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 0,
          open_bins: int = OPEN_BINS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place."""
+    if group_rows < 2 or open_bins < 1:
+        raise ValueError("a group holds at least two rows and one open bin")
+    open_bins = min(open_bins, group_rows // 2)
     cut = stage(pieces(docs, capacity, tokenizer, end_id).withColumn("row", F.monotonically_increasing_id()))
     n = cut.count()
     placed = stage(_packed(cut, n, 0, capacity, open_bins, group_rows))

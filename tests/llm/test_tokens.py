@@ -94,6 +94,26 @@ def test_few_open_bins_close_the_fullest():
     assert packing.best_fit([6, 7, 8, 3], 10, 3)[0] == [0, 1, 2, 1]
 
 
+def test_pieces_are_taken_as_they_arrive(spark, monkeypatch):
+    lengths = [3, 8, 2, 9, 5, 1, 4, 4, 6, 2]
+    items = spark.createDataFrame(list(enumerate(lengths)), "row long, length long")
+    got = sorted(map(tuple, packing._packed(items, len(lengths), 0, 10, 2, 100).select("row", "bin", "place").collect()))
+    bins, places, _ = packing.best_fit(lengths, 10, 2)
+    assert [(b, at) for _, b, at in got] == list(zip(bins, places))
+    # by hand; before the 6 two bins have the same free space, and the one touched last closes
+    assert bins == [0, 1, 1, 2, 0, 2, 3, 3, 4, 0]
+
+
+@pytest.mark.parametrize(("open_bins", "group_rows"), [(20, 10), (1, 2), (3, 7)])
+def test_pieces_that_never_share_a_bin_come_to_an_end(spark, open_bins, group_rows):
+    text = " ".join(["word"] * 40)  # more than half of the capacity
+    docs = spark.createDataFrame([(i, text) for i in range(65)], "doc_id long, text string")
+    rows = packing.pack(docs, capacity=64, open_bins=open_bins, group_rows=group_rows).collect()
+    assert check_pieces(rows, [(i, text) for i in range(65)], 64) == 65
+    with pytest.raises(ValueError):
+        packing.pack(docs, group_rows=1)
+
+
 def test_token_files(spark):
     docs = rows_of(spark)
     files = token_files.segments(docs, "byte_bpe_50k.json", 2, segment_tokens=50)
