@@ -52,10 +52,30 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return left.select(*docs.columns)
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """(row, id, text, alone): an id for every text. It is doc_id, but rows without one, or whose doc_id has several texts, get a
+    hash of both beyond 2**62, so equal rows share it. `alone` is false where several rows may share the id."""
+    doc_id = F.col("doc_id").cast("long")
+    per_id = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("of")).agg(
+        F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    repeated = stage(per_id.where("n > 1").select("of", (F.col("low") != F.col("high")).alias("differ")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_id.alias("own"), F.col("text").alias("text"))
+    hashed = F.xxhash64("own", "text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    unclear = F.col("own").isNull() | F.coalesce("differ", F.lit(False))
+    return rows.join(repeated, F.col("own") == F.col("of"), "left").select(
+        "row", F.when(unclear, hashed).otherwise(F.col("own")).alias("id"), "text",
+        (F.col("own").isNotNull() & F.col("of").isNull()).alias("alone"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of documents alike in eight tenths of their five-word shingles."""
-    groups = ngram_join.jaccard_groups(docs, n=5, num=80, den=100)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of documents alike in eight tenths of their five-word shingles: the one of the least id
+    (those without an id, or with one of several texts, come last), and of rows that are equal in id and text the least."""
+    rows = _identified(docs)
+    groups = ngram_join.jaccard_groups(rows.select(F.col("id").alias("doc_id"), "text"), n=5, num=80, den=100)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    kept = rows.join(gone, "id", "left_anti")
+    one_each = kept.where(~F.col("alone")).groupBy("id").agg(F.min("row").alias("row"))
+    return _restored(kept.where("alone").select("row").unionByName(one_each.select("row")), docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
