@@ -209,3 +209,20 @@ def test_stages_take_effect(spark, prose, tmp_path):
     assert set(kept[3]) == every - {100, 101, 121, 122, 130, 140}
     packed = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in packed} == set(kept[3]) and sum(r.piece == 0 for r in packed) == len(kept[3])
+
+
+def test_one_row_of_each_group_stays(spark, prose):
+    rng = random.Random(9)
+    copy, other, third = (prose(rng, 60) for _ in range(3))
+    rows = [(1, copy, "a"), (1, copy, "a"), (1, copy, "b"), (2, copy, "c"), (None, copy, "d"), (None, copy, "d")]
+    rows += [(None, other, "e"), (None, other, "e"), (None, other + " more", "f")]  # no id at all
+    rows += [(5, third, "g"), (5, prose(rng, 60), "h"), (9, third, "i")]  # an id of two texts
+    rows += [(7, "", "j"), (8, None, "k"), (8, None, "k"), (10, "short", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("id", F.lit(3)).withColumn("own", F.lit("x"))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.row) for r in out.collect()), key=str)
+    alone = [r for r in got if r[0] is None]
+    assert len(alone) == 1 and alone[0][1] in "ef"
+    assert [r for r in got if r[0] is not None] == sorted([(1, "a"), (5, "h"), (9, "i"), (7, "j"), (8, "k"), (10, "l")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
