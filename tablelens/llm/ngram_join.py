@@ -194,8 +194,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    # the sets that no pair names are left out before anything is shuffled
+    one, two = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)).join(
+        pairs.select(end).distinct(), end, "left_semi") for end, name in (("a", "x"), ("b", "y")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
@@ -281,9 +282,8 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
     rows = _shared_tiles(_tiles(docs, n, num, den)).select(
         "tile", F.col("class").bitwiseAND(F.lit(~1)).alias("key"), (F.col("class").bitwiseAND(F.lit(1)) == 1).alias("visits"))
     shared = stage(rows.join(keyed, "key").select("tile", "node", "visits"))
-    nodes = shared.select("node").distinct()
-    looks = stage(classes.join(nodes, "node", "left_semi").select("node", "n", "signature"))
-    sets = _full_sets(docs, nodes, n)
+    looks = stage(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "signature"))
+    sets = _full_sets(docs, looks.select("node"), n)
 
     # each class against the first one of its tiles
     first = _streamed(shared.join(looks, "node").withColumn("group", F.col("node")), _with_first, num, den)
