@@ -317,7 +317,7 @@ def digests(made: DataFrame, counts: DataFrame) -> DataFrame:
                 ids, *figures, digest, starts, columns, values = (row.column(k)[0].as_py() for k in range(len(names)))
                 starts, columns = np.frombuffer(starts, "<i8"), np.frombuffer(columns, "<i4")
                 values = np.frombuffer(values, f"<i{len(values) // max(1, len(columns)) or 1}").astype(np.int64)
-                count, best = (row.column(k).values.to_numpy(zero_copy_only=False) if len(columns) else np.zeros(0, np.int64)
+                count, best = (row.column(k).flatten().to_numpy(zero_copy_only=False) if len(columns) else np.zeros(0, np.int64)
                                for k in (len(names), len(names) + 1))
                 sums = []
                 for per_pair in (best.astype(np.int64), count):

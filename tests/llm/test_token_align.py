@@ -72,6 +72,12 @@ def test_documents_agree_with_the_plain_walk(spark, texts, monkeypatch, slice_by
     assert rows == dict(enumerate(plain(texts)))
 
 
+def test_many_slices_in_one_batch(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id long, text string").repartition(12)  # a slice each
+    rows = {r.doc_id: tuple(r)[1:] for r in token_align.align(docs, A, B).collect()}
+    assert rows == dict(enumerate(plain(texts[:300])))
+
+
 def test_groups_cover_the_bytes(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string")
     both, want = token_align.aligner(A, B), plain(texts[:200])
