@@ -17,7 +17,10 @@ sequence as one). Two documents link when the intersection is at least num/den o
    sizes and signatures: first the likeliest pair of each group, to join what belongs together, then
    all pairs that are left. Pairs within a group need no comparison for the groups, and no pair that may join two
    groups is left out. A tile is sorted by size and streamed, never held as a whole.
-4. Pairs that pass are decided exactly on sorted arrays; links make the final groups.
+4. Pairs that pass are bounded once more by sketches, signatures with as many bits as the set has shingles, as 512 bits say
+   little of a long document. What is left is decided exactly on sorted arrays; links make the final groups. The sets of
+   its documents are made from the texts again, in the tasks that read them: ids are looked up in a bitmap of bounded size
+   that may let others through, so that neither texts nor sets of documents that no pair names are shuffled or kept.
 
 Defined cases: a NULL text, or one without words, has an empty set and links with nothing; equal texts always link;
 a row without an id takes the group of an equal set that has one, else NULL; rows of one id count as linked; other
@@ -43,6 +46,8 @@ from .word_hashes import mix, shingles, words_of
 _U = np.uint64
 #: Words of a bitmap signature (64 bits each).
 SIGNATURE = 8
+#: Bits of a filter of ids for each of them, and at most.
+FILTER, FILTER_MOST = 64, 1 << 26
 #: Rows of a tile compared at once.
 TILE_ROWS = 1_024
 #: Rounds that join groups by one pair of each of them, before all pairs are looked at.
@@ -62,15 +67,15 @@ def _digest(values: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, digest, signature) of every document."""
+    """(doc_id, n, digest, signature, sketch) of every document."""
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, sets in _sets(batches, n):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary())],
-                names=["doc_id", "n", "digest", "signature"])
+                pa.array([_digest(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()),
+                pa.array([_sketch(s) for s in sets], pa.binary())], names=["doc_id", "n", "digest", "signature", "sketch"])
 
-    return docs.mapInArrow(scan, "doc_id long, n long, digest long, signature binary")
+    return docs.mapInArrow(scan, "doc_id long, n long, digest long, signature binary, sketch binary")
 
 
 class Bands:
@@ -170,18 +175,68 @@ def _signature(s: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Each shingle flips one of at least as many bits, a power of two."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    flips = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many bits of two sketches differ, the longer one folded to the length of the other."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap with the places of all `id`, in whole bytes; with very many ids more of the others pass."""
+    bits = min(FILTER_MOST, 1 << max(12, (FILTER * ids.count()).bit_length()))
+    place = F.xxhash64("id").bitwiseAND(F.lit(bits - 1))
+    words = ids.select(F.shiftright(place, 5).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(F.lit(31)).cast("int").alias("at"))
+    held = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, at)")).alias("bits")).toArrow()
+    out = np.zeros(bits // 32, "<u4")
+    out[held["word"].to_numpy()] = held["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the documents in `wanted` (node)."""
+    """(node, shingles) of the documents in `wanted` (id), and of some others."""
+    bitmap = _id_filter(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, at, sets in _sets(batches, n):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
-                                             names=["node", "shingles"])
+        bitmap = sent.value
+        for whole in batches:
+            place = whole.column(2).to_numpy()
+            batch = whole.filter(pa.array((bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+            for _, at, sets in _sets([batch], n):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())],
+                                                 names=["node", "shingles"])
+
+    placed = docs.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(F.lit(8 * len(bitmap) - 1)).alias("place"))
+    return placed.mapInArrow(rows, "node long, shingles binary")
+
+
+def _likely(pairs: DataFrame, looks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the sketches let through."""
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, sizes, left, right = (batch.column(i) for i in range(5))
+            differ = [_bits_apart(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(left, right)]
+            sizes = sizes.to_numpy()
+            most = (sizes - np.array(differ, np.int64)) // 2  # of the intersection
+            mask = pa.array(most * den >= num * (sizes - most))
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    held = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").select("doc_id", "text")
-    return stage(held.mapInArrow(rows, "node long, shingles binary"))
+    one, two = (looks.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), "x", "y")
+    return both.mapInArrow(decide, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, looks: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection."""
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +249,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
-    # the sets that no pair names are left out before anything is shuffled
-    one, two = (sets.select(F.col("node").alias(end), F.col("shingles").alias(name)).join(
-        pairs.select(end).distinct(), end, "left_semi") for end, name in (("a", "x"), ("b", "y")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    pairs = stage(_likely(pairs, looks, num, den))
+    if pairs.isEmpty():
+        return pairs
+    one, two = (_full_sets(docs, pairs.select(F.col(end).alias("id")).distinct(), n).select(F.col("node").alias(end), F.col("shingles").alias(name))
+                for end, name in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long").distinct()
 
 
 def _may_link(x: dict, y: dict, num: int, den: int) -> np.ndarray:
@@ -276,30 +333,29 @@ def jaccard_groups(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
     """(doc_id, n_shingles, component_id): each document's set size, and the least id that links reach from it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = stage(_scan(docs, n))
-    classes = every.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
+    classes = every.where("n > 0").groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch"))
 
     keyed = classes.where("node IS NOT NULL").select("node", F.col("digest").bitwiseAND(F.lit(~1)).alias("key"))
     rows = _shared_tiles(_tiles(docs, n, num, den)).select(
         "tile", F.col("class").bitwiseAND(F.lit(~1)).alias("key"), (F.col("class").bitwiseAND(F.lit(1)) == 1).alias("visits"))
     shared = stage(rows.join(keyed, "key").select("tile", "node", "visits"))
-    looks = stage(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "signature"))
-    sets = _full_sets(docs, looks.select("node"), n)
+    looks = stage(classes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "n", "signature", "sketch"))
 
     # each class against the first one of its tiles
-    first = _streamed(shared.join(looks, "node").withColumn("group", F.col("node")), _with_first, num, den)
+    first = _streamed(shared.join(looks.drop("sketch"), "node").withColumn("group", F.col("node")), _with_first, num, den)
     first = first.groupBy("b").agg(F.min("a").alias("a"))  # one for each
     first = stage(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stage(_linked(first, sets, num, den))
+    links = stage(_linked(first, looks, docs, n, num, den))
 
     # what may join two groups: the likeliest pair of each group, as long as that finds links, then all pairs
     tried, groups, merges = first, stage(components(links)), MERGES
     while True:
         grouped = shared.join(groups, "node", "left").select("tile", "node", "visits", F.coalesce("component", "node").alias("group"))
         several = grouped.groupBy("tile").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("tile")
-        open_rows = grouped.join(several, "tile").join(looks, "node")
+        open_rows = grouped.join(several, "tile").join(looks.drop("sketch"), "node")
         visit = partial(_all_pairs, one_each=merges > 0)
         pairs = stage(_streamed(open_rows, visit, num, den).join(tried, ["a", "b"], "left_anti"))
-        found = stage(_linked(pairs, sets, num, den))
+        found = stage(_linked(pairs, looks, docs, n, num, den))
         new = not found.isEmpty()
         if new:
             links = links.unionByName(found)

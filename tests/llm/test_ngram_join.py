@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -110,6 +111,40 @@ def test_small_tiles_and_batches(spark, prose, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_sketches_never_hide_a_shingle_in_common():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (3, 90), (64, 65), (500, 520), (3000, 4500)]:
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[:n * 3 // 4], rng.integers(0, 2**63, m - n * 3 // 4).astype(np.uint64)]))
+        a, b = (np.frombuffer(ngram_join._sketch(s), np.uint8) for s in (x, y))
+        assert ngram_join._bits_apart(a, b) == ngram_join._bits_apart(b, a) <= len(np.setxor1d(x, y))
+        assert ngram_join._bits_apart(a, a) == 0
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 12])
+def test_id_filters_hold_every_id(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "FILTER_MOST", most)
+    rng = random.Random(4)
+    rows = [(rng.randint(-2**62, 2**62), f"word {i}") for i in range(900)]
+    docs, wanted = spark.createDataFrame(rows, "doc_id long, text string"), [i for i, _ in rows[::3]]
+    got = {r.node for r in ngram_join._full_sets(docs, spark.createDataFrame([(i,) for i in wanted], "id long"), 3).collect()}
+    assert set(wanted) <= got
+    assert len(got) < 400
+
+
+def test_no_shuffle_of_texts_or_sets_that_no_link_needs(spark, prose):
+    """Unlike documents of one passage: no set of theirs is made for an exact comparison."""
+    rng = random.Random(8)
+    shared = prose(rng, 1_000)
+    texts = [shared + " " + prose(rng, 900) for _ in range(6)] + [prose(rng, 50)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    looks = ngram_join._scan(docs, 5).withColumnRenamed("doc_id", "node")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(6, 7)], "a long, b long")
+    assert [tuple(r) for r in ngram_join._likely(pairs, looks, 80, 100).collect()] == [(6, 7)]
+    plan = ngram_join._full_sets(docs, spark.createDataFrame([(1,)], "id long"), 5)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_nulls_and_no_rows(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (None, "only here"), (4, None), (5, "")]
     got = sorted(map(tuple, ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
