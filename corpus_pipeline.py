@@ -35,11 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.fit(learn.select("text", "lang", F.col("doc_id").alias("key")))
     if model is None:
         return docs
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = language_crf.predict(rows, model, ["row"], certainty=True)
-    short = F.regexp_count("row.text", F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")) < LEAST_WORDS
+    names = [c if c == "text" else f"own {i}" for i, c in enumerate(docs.columns)]  # none is one that is added
+    found = language_crf.predict(docs.toDF(*names), model, names, certainty=True)
+    short = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")) < LEAST_WORDS
     sure = (F.col("certainty") >= least_certainty(len(model.labels))) | short
-    return _restored(found.where((F.col("lang_pred") != language_crf.UNKNOWN) & sure), docs.columns)
+    return found.where((F.col("lang_pred") != language_crf.UNKNOWN) & sure).select(*[F.col(f"`{n}`") for n in names]).toDF(*docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

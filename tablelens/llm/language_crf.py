@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .word_hashes import Words, mix, words_of
 
@@ -224,13 +225,16 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], *, certainty:
         none = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("certainty")]
         return docs.select(*[F.col(f"`{k}`") for k in keep], *none[:len(added)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2 ** TABLE_BITS rows
+    once = "text" in keep and docs.schema["text"].dataType == StringType()  # a kept text is the one that is read
+    others = [k for k in keep if not (once and k == "text")]
+    places = [others.index(k) + 1 if k in others else 0 for k in keep]
 
     def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             text = batch.column(0)
-            found, score, sure = [], [], []
             for words in words_of(text):
+                found, score, sure = [], [], []
                 probs = label_words(words, model)
                 ascii_letter = np.zeros(len(words.data) + 1, np.int64)
                 np.cumsum(((words.data | 32) - 97 < 26) | (words.data >= 128), out=ascii_letter[1:])
@@ -249,12 +253,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], *, certainty:
                     found.append(model.labels[best])
                     score.append(min(1.0, float(own[best])))
                     sure.append(min(1.0, float(each.max(axis=1).mean(dtype=np.float64))) if certainty else 0.0)
-            new = [pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new[:len(added)]], names=[*batch.schema.names[1:], *added])
+                # the rows of each slice at once: neither side holds a second whole batch
+                rows = batch.slice(words.first_row, words.rows)
+                new = [pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in places], *new[:len(added)]], names=[*keep, *added])
 
-    kept = docs.select(F.col("text").cast("string").alias("the text"), *[F.col(f"`{k}`") for k in keep])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(classify, f"{fields}{', ' if fields else ''}lang_pred string, score double{', certainty double' if certainty else ''}")
+    sent = docs.select(F.col("text").cast("string").alias("the text"), *[F.col(f"`{k}`") for k in others])
+    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return sent.mapInArrow(classify, f"{fields}{', ' if fields else ''}lang_pred string, score double{', certainty double' if certainty else ''}")
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import stage
-from .token_ids import coder
+from .token_ids import coding
 
 #: Pieces (or left-over bins) that one task packs, and bins open at a time.
 GROUP_ROWS = 20_000
@@ -41,17 +41,17 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataF
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(tokenizer).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids += end
-                    for k, i in enumerate(range(0, len(ids), step)):
-                        chunk = ids[i:i + step]
-                        rows.append((doc_id, k, i // 4, len(chunk) // 4, zlib.crc32(chunk)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE)], schema=PIECE)
+        with coding(tokenizer) as encode:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    rows = []
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                        ids += end
+                        for k, i in enumerate(range(0, len(ids), step)):
+                            chunk = ids[i:i + step]
+                            rows.append((doc_id, k, i // 4, len(chunk) // 4, zlib.crc32(chunk)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE)], schema=PIECE)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Words remembered by one Python worker (some 0.2 kB each), which keeps them while it lives; when full, those not met since
-#: it was half full are forgotten. Only speed depends on it.
+#: Words remembered by one Python worker (some 0.2 kB each), which keeps them while it lives unless `coding` ends their use; when
+#: full, those not met since it was half full are forgotten. Only speed depends on it.
 REMEMBERED = 600_000
 #: The letters that stand for bytes without a printable one in both vocabularies.
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(0, 33), *range(127, 161), 173])}
@@ -34,6 +35,17 @@ def coder(name: str, remembered: int = REMEMBERED) -> "Coder":
     return _coders[name]
 
 
+@contextmanager
+def coding(name: str, remembered: int = REMEMBERED) -> Iterator[Callable[[list[str | None]], list[bytes]]]:
+    """The `encode` of a tokenizer file for one task. At its end the words are forgotten (the tokenizer stays): a worker lives on,
+    idle or with tasks of other steps, and its memory adds to theirs."""
+    own = coder(name, remembered)
+    try:
+        yield own.encode
+    finally:
+        own.known.forget()
+
+
 class Known(dict):
     """A dictionary that finds what is missing, first among what it held before it aged."""
 
@@ -48,6 +60,10 @@ class Known(dict):
         self.older = dict(self)
         self.clear()
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Coder:
     def __init__(self, name: str):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablelens.llm import decontaminate, language_crf
-from tablelens.llm.word_hashes import words_of
+from tablelens.llm.word_hashes import BYTES_AT_ONCE, words_of
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -70,6 +70,37 @@ def test_odd_texts_have_a_defined_language(spark):
     assert language_crf.predict(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_texts_go_to_the_tasks_once_and_come_back_in_small_batches(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, None if i == 7 else "".join(rng.choices("abcdefgh \n", k=2000)), "ab"[i % 2], i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `own row` long")
+    model = language_crf.fit(docs.where("doc_id < 20").select("text", "lang"))
+    calls, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, task, *more, **named: calls.append((df, task)) or plain(df, task, *more, **named))
+    keep = ["own row", "text", "doc_id"]
+    got = language_crf.predict(docs, model, keep, certainty=True)
+    ((sent, task),) = calls
+    table = sent.toArrow().combine_chunks()
+    size = sum(len(t or "") for _, t, *_ in rows)
+    assert table.nbytes < 1.1 * size
+    (batch,) = table.to_batches()
+    out = list(task(iter([batch])))
+    assert len(out) >= size / BYTES_AT_ONCE and max(b.nbytes for b in out) < 1.2 * BYTES_AT_ONCE
+    assert got.columns == [*keep, "lang_pred", "score", "certainty"]
+    assert sorted(map(tuple, got.select(*[f"`{k}`" for k in keep]).collect())) == [(r[3], r[1], r[0]) for r in rows]
+    alone = language_crf.predict(docs, model, ["doc_id"], certainty=True)
+    columns = ["doc_id", "lang_pred", "score", "certainty"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, alone.select(*columns).collect()))
+
+
+def test_language_id_keeps_columns_named_like_those_it_adds(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("lang IN ('en', 'de')").limit(200)
+    docs = docs.select("lang", "text", "doc_id", F.lit("taken").alias("lang_pred"), F.lit(-1.0).alias("certainty"), F.struct("n_chars").alias("row"))
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and out.count() > 100
+    assert out.exceptAll(docs).count() == 0
+
+
 def test_rare_labels_are_learned_and_copies_count_once(spark):
     rng = random.Random(9)
     def text(letters):

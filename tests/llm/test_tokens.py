@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +88,19 @@ def test_packing_of_the_documents(spark):
     assert used <= 1.05 * sum(r.length for r in rows) / 2048 + 1
 
 
+def test_no_words_are_held_after_packing(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    assert packing.pieces(docs, 64, "word_bpe_49k.json", 0).count() == 400
+
+    def held(batches):
+        list(batches)
+        from tablelens.llm.token_ids import _coders
+        yield pa.RecordBatch.from_pydict({"n": [len(c.known) + len(c.known.older) for c in _coders.values()] or [-1]})
+
+    found = [r.n for r in docs.mapInArrow(held, "n long").collect()]
+    assert max(found) == 0  # a worker that has packed, and nothing left in it
+
+
 def test_few_open_bins_close_the_fullest():
     bins, offsets, left = packing.best_fit([6, 5, 4, 9, 1], 10, 2)
     assert (bins, offsets) == ([0, 1, 0, 2, 2], [0, 0, 6, 0, 9]) and left == {1: 5}
