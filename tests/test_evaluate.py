@@ -177,6 +177,33 @@ def test_neighbours(spark, block_rows, k, n):
     assert [got[f"q{i:03d}"] for i in range(60)] == brute_neighbours(queries, train, tid, k)
 
 
+@pytest.mark.parametrize("k", [1, 5])
+def test_neighbours_are_the_same_in_boxes(k):
+    rng = np.random.default_rng(3)
+    known, asked = rng.integers(0, 6, size=(700, 3)) / 2, rng.integers(-1, 7, size=(300, 3)) / 2  # many equal distances
+    asked[7, 1] = np.nan
+    row, col, d2 = knn.closest(asked, known, k)
+    every = ((asked[:, None] - known[None]) ** 2).sum(axis=2)
+    want = [(i, j, every[i, j]) for i in range(300) if i != 7 for j in np.lexsort((np.arange(700), every[i]))[:k]]
+    assert list(zip(row, col, d2)) == want
+    known[3, 0] = np.inf
+    row, col, _ = knn.closest(asked[:5], known, k)
+    assert len(row) == 5 * k and 3 not in col
+
+
+def test_neighbours_compare_few_pairs(spark, monkeypatch):
+    """Four times the points on either side take about four times the pairs, not sixteen."""
+    plain, pairs = knn._squared, []
+    monkeypatch.setattr(knn, "_squared", lambda a, b: pairs.append(len(a) * len(b)) or plain(a, b))
+    seen = []
+    for n in (2_000, 8_000):
+        points = np.random.default_rng(n).normal(size=(n, 2))
+        pairs.clear()
+        knn.closest(points, points, 5)
+        seen.append(sum(pairs))
+    assert seen[1] < 6 * seen[0] and seen[1] < 0.1 * 8_000 ** 2
+
+
 def test_votes(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 0.0), ("b", 2.0), ("b", 0.0)], "qid string, y double")
     got = {r["qid"]: (r["prediction"], list(r["probability"])) for r in knn.vote_of_neighbours(df, 3).collect()}

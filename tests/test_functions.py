@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.functions import staging
 from tablelens.functions.columns import normalise_missing, ref, text_to_number, to_number
 from tablelens.functions.dates import date_parts, text_to_datetime
 from tablelens.functions.text import cell_text, shorten, significant
@@ -64,3 +65,12 @@ def test_shorten(spark):
 def test_odd_names(spark):
     df = spark.createDataFrame([(1, 2)], "`a.b` int, `c``d` int")
     assert df.select(ref("a.b"), ref("c`d")).first() == (1, 2)
+
+
+def test_many_rows_in_one_task_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(staging, "TASK_ROWS", 100)
+    rows = spark.range(1_000, numPartitions=1)
+    assert staging.spread(rows).select(F.spark_partition_id()).distinct().count() == 4
+    assert sorted(r[0] for r in staging.spread(rows).collect()) == list(range(1_000))
+    assert staging.spread(spark.range(150, numPartitions=1)).rdd.getNumPartitions() == 1
+    assert staging.spread(spark.range(1_000, numPartitions=7)).rdd.getNumPartitions() == 7
