@@ -99,13 +99,30 @@ def load_csv_quoted(spark, sf_dir):
     return load_table(spark, _written(spark, sf_dir, "conversations")).df
 
 
+def _as_one_file(spark, rows: DataFrame) -> str:
+    """A folder with one file of quoted fields: the parts are written by all tasks and put one after the other below the header."""
+    name = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    options = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.limit(0).coalesce(1).write.options(header=True, **options).csv(f"{name}-0")
+    rows.write.options(header=False, **options).csv(f"{name}-1")
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    files = hadoop.fs.Path(name).getFileSystem(conf)
+    out = files.create(hadoop.fs.Path(f"{name}.csv/part-00000.csv"))
+    for folder in (f"{name}-0", f"{name}-1"):
+        for part in sorted(f.getPath().toString() for f in files.listStatus(hadoop.fs.Path(folder)) if f.getPath().getName().startswith("part-")):
+            source = files.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            source.close()
+        files.delete(hadoop.fs.Path(folder), True)
+    out.close()
+    return f"{name}.csv"
+
+
 @query("load_csv_multiline", """
 SELECT doc_id, CASE WHEN trim(text) <> '' THEN text END AS text, lang, source FROM documents""")
 def load_csv_multiline(spark, sf_dir):
     """Whole texts with line breaks, quotes and separators as quoted fields of one file, read in splits of 256 kB."""
-    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}.csv"
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    docs.coalesce(1).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    path = _as_one_file(spark, table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     session = spark.newSession()
     session.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     session.conf.set("spark.sql.files.openCostInBytes", "1k")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import INFINITY_TEXT, MISSING_TOKENS, NUMBER_TEXT, ref
-from ..functions.staging import stage
+from ..functions.staging import few_tasks, stage
 from .records import records
 from .tidy import LoadError, unique_names
 
@@ -41,16 +41,17 @@ def charset_session(spark: SparkSession) -> SparkSession:
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
     """(line): the decoded lines of the source."""
-    return (
+    return few_tasks(
         spark.read.schema("line string").option("encoding", JAVA_NAMES[encoding]).option("sep", NO_SEPARATOR)
         .option("quote", "").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False).option("maxCharsPerColumn", -1).csv(path)
+        .option("ignoreTrailingWhiteSpace", False).option("maxCharsPerColumn", -1).csv(path),
+        spark.read.text(path),  # counting asks no decoder
     )
 
 
 def detect_encoding(spark: SparkSession, path: str | list[str]) -> str:
     """The first encoding that reads the whole text."""
-    if spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+    if few_tasks(spark.read.text(path)).where(~F.is_valid_utf8("value")).isEmpty():
         return C.ENCODINGS[0]
     other = charset_session(spark)
     for encoding in C.ENCODINGS[:-1]:
@@ -64,16 +65,22 @@ def layout(lines: DataFrame, header: str, separators: tuple[str, ...] = C.SEPARA
 
     The separator is the one that cuts most lines into as many fields as the header, more than one; None if there is a
     single column. A quote counts where a field begins with it; one inside a field is a letter like any other."""
-    aggs = [F.count_if(F.length("line") > 0).alias("n")]
     widths = {sep: len(_fields(header, sep)) for sep in separators}
+    quoted, cells, aggs = F.contains("line", F.lit('"')), [(F.length("line") > 0).alias("full")], []
     for i, sep in enumerate(separators):
         mark = re.escape(sep)
-        bare = F.regexp_replace("line", f'(^|{mark})"(?:[^"]++|"")*+"(?={mark}|$)', "$1")
-        width = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-        open_ = bare.rlike(f'(^|{mark})"')
-        aggs += [F.count_if((width == widths[sep]) & (F.length("line") > 0)).alias(f"same{i}"), F.max(F.when(~open_, width)).alias(f"most{i}"),
+        # lines without a quote, most of a long text, need no pattern
+        cells.append(F.when(quoted, F.regexp_replace("line", f'(^|{mark})"(?:[^"]++|"")*+"(?={mark}|$)', "$1")).otherwise(F.col("line")).alias(f"bare{i}"))
+    measured = [F.col("full")]
+    for i, sep in enumerate(separators):
+        bare, size = F.col(f"bare{i}"), F.octet_length if sep.isascii() else F.length
+        measured += [(size(bare) - size(F.replace(bare, F.lit(sep), F.lit(""))) + 1).alias(f"width{i}"),
+                     (F.contains(bare, F.lit('"')) & bare.rlike(f'(^|{re.escape(sep)})"')).alias(f"open{i}")]
+    for i, sep in enumerate(separators):
+        width, open_ = F.col(f"width{i}"), F.col(f"open{i}")
+        aggs += [F.count_if((width == widths[sep]) & F.col("full")).alias(f"same{i}"), F.max(F.when(~open_, width)).alias(f"most{i}"),
                  F.count_if(~open_ & (width > widths[sep])).alias(f"wider{i}"), F.count_if(open_).alias(f"open{i}")]
-    row = lines.agg(*aggs).first()
+    row = lines.select(*cells).select(*measured).agg(*aggs).first()
     usable = [i for i, sep in enumerate(separators) if widths[sep] > 1]
     best = max(usable, key=lambda i: row[f"same{i}"], default=None)
     if best is None or not row[f"same{best}"]:
@@ -130,7 +137,7 @@ def read_delimited(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
         notes.append(f"{n_wider:,} rows have more fields than the header; they are kept in '{names[-1]}'")
     # Text is parsed once into a columnar copy: an analysis reads the table many times, and nothing later
     # depends on the session of the encoding.
-    return stage(typed(raw, as_text={f"_{len(names) - 1}"} if n_extra else set()), spark).toDF(*names), encoding, separator, notes
+    return few_tasks(stage(typed(raw, as_text={f"_{len(names) - 1}"} if n_extra else set()), spark)).toDF(*names), encoding, separator, notes
 
 
 #: Columns whose cells are looked at in one pass.

@@ -75,7 +75,10 @@ def _suffix_inside(spark: SparkSession, path: str) -> str | None:
 def _text(spark: SparkSession, path: str) -> tuple[DataFrame, str, str, list[str]]:
     """Files with the same header are read together; those with another are matched by column names."""
     try:
-        lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        text = spark.read.text(path)
+        if len(text.inputFiles()) == 1:
+            return read_delimited(spark, path)
+        lines = text.where("_metadata.file_block_start = 0").select(
             "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i"))
         heads = lines.where(F.length("value") > 0).groupBy("file").agg(F.min_by("value", "i").alias("head"))
         groups = [sorted(r["files"]) for r in heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()]

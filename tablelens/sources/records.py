@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import stage
+from ..functions.staging import few_tasks, stage
 
 _ENDS = "file string, start long, opens boolean, stays boolean, text_if_out boolean, text_if_in boolean, begun_if_in boolean"
 _PARTS = "file string, owner long, start long, piece int, header boolean, record string"
@@ -32,7 +32,8 @@ _PARTS = "file string, owner long, start long, piece int, header boolean, record
 def decoded_lines(session: SparkSession, path: str | list[str], charset: str) -> DataFrame:
     """(file, start, line): the lines of each split (by its first byte) in their order, empty ones too."""
     line = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
-    return session.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), line.alias("line"))
+    scan = session.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return few_tasks(scan).select("file", "start", line.alias("line"))
 
 
 def _with_ends(lines: DataFrame, separator: str) -> DataFrame:
@@ -72,10 +73,6 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
                 yield (batch.column(0)[at].as_py(), batch.column(1)[at].as_py()), batch.slice(at, end - at)
 
 
-def _has_text(lines: pa.Array) -> pa.Array:
-    return pc.invert(pc.is_in(lines, value_set=pa.array(["", "\r"], lines.type)))
-
-
 def _bools(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(bool)
 
@@ -91,7 +88,7 @@ def _block_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if key:
                 yield row()
             key, told = block, [False, True, False, False, False]
-        opens, stays, text = _bools(part.column(3)), _bools(part.column(4)), _bools(_has_text(part.column(2)))
+        text, opens, stays = (_bools(part.column(k)) for k in (2, 3, 4))
         out, in_ = (_states(opens, stays, state) for state in told[:2])
         told = [bool(out[-1]), bool(in_[-1]), told[2] or bool((text & ~out[:-1]).any()), told[3] or bool((text & ~in_[:-1]).any()),
                 told[4] or bool((~in_[:-1]).any())]
@@ -181,11 +178,15 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records(session: SparkSession, path: str | list[str], charset: str, separator: str) -> DataFrame:
     """(file, header, record): every record with a character; `header` marks the first of each file."""
     lines = _with_ends(decoded_lines(session, path, charset), separator)
-    told = stage(entries(lines.mapInArrow(_block_ends, _ENDS)), session)
+    text = ~F.col("line").eqNullSafe("") & ~F.col("line").eqNullSafe("\r")
+    flags = lines.select("file", "start", text.alias("text"), "opens", "stays")  # no text leaves the JVM here
+    told = stage(entries(flags.mapInArrow(_block_ends, _ENDS)), session)
     # one row per split: the bytes of the source by those of a split
     known = lines.join(F.broadcast(told), ["file", "start"])
     parts = stage(known.select("file", "start", "line", "opens", "stays", "inside", "owner", "header").mapInArrow(_parts, _PARTS), session)
+    parts = few_tasks(parts)
     pieces = parts.where("piece IS NOT NULL").groupBy("file", "owner").agg(
         F.max("header").alias("header"), F.sort_array(F.collect_list(F.struct("start", "record"))).alias("p"))
     whole = pieces.select("file", "header", F.regexp_replace(F.array_join(F.col("p.record"), "\n"), r"\r\z", "").alias("record"))
-    return parts.where("piece IS NULL").select("file", "header", "record").unionByName(whole)
+    # put together once, as the records are read several times
+    return parts.where("piece IS NULL").select("file", "header", "record").unionByName(few_tasks(stage(whole, session)))

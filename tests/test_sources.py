@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablelens import LoadError, list_sheets, load_table
 from tablelens.sources import tidy as td
 from tablelens.sources.delimited import charset_session, header_names, layout, read_delimited
-from tablelens.sources.records import _states, records
+from tablelens.sources.records import _states, decoded_lines, records
 
 REGIONS = ["서울", "부산", "대구", "광주"] * 30
 AMOUNTS = [1000 + 37 * i for i in range(120)]
@@ -85,6 +85,20 @@ def test_every_split_finds_its_own_records(spark, tmp_path, split, encoding):
     assert sorted(map(str, map(tuple, loaded.collect()))) == sorted(map(str, want))
 
 
+def test_many_small_splits_take_few_tasks(spark, tmp_path):
+    rows = "".join(f'{i},"a\n""b"" {i}"\n' for i in range(3_000))
+    path = write(tmp_path / "s.csv", "id,text\n" + rows)
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    session.conf.set("spark.sql.files.openCostInBytes", "1")
+    lines = decoded_lines(session, path, "UTF-8")
+    n_splits = lines.select("start").distinct().count()
+    assert n_splits > 80 and lines.rdd.getNumPartitions() == 16  # four for each slot
+    got = load_table(session, path).df
+    assert got.rdd.getNumPartitions() <= 16
+    assert sorted(map(tuple, got.collect())) == [(i, f'a\n"b" {i}') for i in range(3_000)]
+
+
 def test_records_wider_than_the_header_and_a_quote_without_end(spark, tmp_path):
     got = load_table(spark, write(tmp_path / "w.csv", 'a,b\n1,"x\ny",more\n\n2,"z\n'))
     assert sorted(map(str, map(tuple, got.df.collect()))) == sorted(map(str, [(1, "x\ny", "more"), (2, "z", None)]))
