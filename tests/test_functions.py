@@ -74,3 +74,17 @@ def test_many_rows_in_one_task_are_dealt_out(spark, monkeypatch):
     assert sorted(r[0] for r in staging.spread(rows).collect()) == list(range(1_000))
     assert staging.spread(spark.range(150, numPartitions=1)).rdd.getNumPartitions() == 1
     assert staging.spread(spark.range(1_000, numPartitions=7)).rdd.getNumPartitions() == 7
+
+
+def test_many_rows_are_held_on_disk_and_removed(spark, monkeypatch):
+    rows = spark.range(50).selectExpr("id", "id * 2 AS y")
+    with staging.held(rows, 50) as few:
+        assert few.storageLevel.useMemory and few.count() == 50
+    monkeypatch.setattr(staging, "HELD_ROWS", 40)
+    before = list(staging._paths)
+    with staging.held(rows, 50) as many:
+        assert not many.storageLevel.useMemory and len(many.inputFiles()) >= 1
+        assert sorted(map(tuple, many.collect())) == [(i, 2 * i) for i in range(50)]
+        path = staging._paths[-1]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and staging._paths == before
